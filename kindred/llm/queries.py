@@ -23,8 +23,35 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.secret_scan import find_secrets
+
+    return find_secrets(_read(spark, d, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.bpe import tokenize
+
+    return tokenize(_read(spark, d, "documents"), tokenizer_path())
+
+
+def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.simhash import near_duplicates
+
+    return near_duplicates(_read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }
 
