@@ -23,6 +23,12 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.substring import remove_repeats
+
+    return remove_repeats(_read(spark, d, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     from kindred.llm.secret_scan import find_secrets
 
@@ -49,6 +55,7 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
