@@ -29,6 +29,18 @@ def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return remove_repeats(_read(spark, d, "documents"))
 
 
+def op4_ann(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.ann import nearest
+
+    return nearest(_read(spark, d, "embeddings"))
+
+
+def op5_html_text(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.htmltext import extract
+
+    return extract(_read(spark, d, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     from kindred.llm.secret_scan import find_secrets
 
@@ -56,6 +68,8 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ann": op4_ann,
+    "op5_html_text": op5_html_text,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
