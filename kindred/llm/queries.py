@@ -23,6 +23,12 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.warc import round_trip
+
+    return round_trip(_read(spark, d, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     from kindred.llm.substring import remove_repeats
 
@@ -67,6 +73,7 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ann": op4_ann,
     "op5_html_text": op5_html_text,
