@@ -71,6 +71,12 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_read(spark, d, "documents"))
 
 
+def op9_chat(spark: SparkSession, d: str) -> DataFrame:
+    from kindred.llm.chat import format_turns
+
+    return format_turns(_read(spark, d, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
 
