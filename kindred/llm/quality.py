@@ -65,7 +65,9 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("lost_chars", chars - F.char_length(F.array_join("__k", "")))
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
     d = d.withColumn("base_failed", failed)
-    d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * chars))
+    # the id, always true here, keeps the optimizer from copying all of the above into a filter on this column
+    verdict = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * chars)
+    d = d.withColumn("kept", verdict & (F.monotonically_increasing_id() >= 0))
     return d.drop("__w", "__h", "__s", "__f", "__l", "__k")
 
 
