@@ -10,14 +10,15 @@ maximal ones, and their words go.
 
 Documents are dealt by a hash of their id to parts of bounded size. Parts exchange packed arrays, not rows: first the
 distinct anchors of a part, by anchor; then, of windows about shared anchors, each with the smallest document of the part.
-A passage that a third of all documents hold is thus one entry for each part, wherever it goes. All steps are one plan:
-if an executor is lost, Spark makes its pieces anew.
+A passage that a third of all documents hold is thus one entry for each part, wherever it goes. The answers are bits, in the
+order of what was asked. All steps are one plan: if an executor is lost, Spark makes its pieces anew.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ LENGTH = 13
 SEED = 7
 #: Odd multipliers of the two lanes in which runs of word hashes are combined.
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Bytes of text of a part, on average.
+PART_BYTES = 10_000_000
 
 
 class _Hashes(dict):
@@ -61,151 +64,152 @@ def _runs(w: np.ndarray, n: int, lane: int) -> np.ndarray:
     return _mix(out)
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words, anchor's hash of every window)."""
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(words) < LENGTH:
-        return w, np.zeros(0, np.uint64)
-    seeds = _runs(w, SEED, 0)
-    return w, np.lib.stride_tricks.sliding_window_view(seeds, LENGTH - SEED + 1).min(axis=1)
-
-
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes part at the six ASCII spaces only
 
 
-def _dealt(values: np.ndarray, n: int) -> np.ndarray:
-    """The exchange's target of each hash: equal ranges of its upper bits, which keeps sorted arrays in pieces."""
-    return ((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-
-
-def _part_anchors(n: int):
-    """A part's documents -> (to, part, blob): its distinct anchors, twice where two of its documents have one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = [np.unique(anchors(_split(t))[1]) for t in pdf["text"]]
-        ids, first = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
-        if len(ids) < len(pdf):  # rows of equal id are one document here
-            each = [np.unique(np.concatenate([each[k] for k in np.flatnonzero(first == i)])) for i in range(len(ids))]
-        a, count = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-        to = _dealt(a, n)
-        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(a) else np.zeros(0, int)
-        ends = [*cut[1:], len(a)]
-        rows = [(int(to[s]), int(pdf["part"].iloc[0]), a[s:e].tobytes(), np.packbits(count[s:e] > 1).tobytes()) for s, e in zip(cut, ends, strict=False)]
-        return pd.DataFrame(rows, columns=["to", "part", "blob", "twice"])
-
-    return run
+class Part:
+    """The words of some documents in one row: their hashes, and of each window its start, its document and its anchor."""
+
+    def __init__(self, docs: pd.DataFrame):
+        self.words = [_split(t) for t in docs["text"]]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.ids = docs["doc_id"].to_numpy(np.int64)
+        self.w = w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.size.sum()))
+        self.end = np.cumsum(self.size)
+        seeds = _runs(w, SEED, 0)
+        least = seeds[: max(0, len(w) - LENGTH + 1)]
+        for i in range(1, LENGTH - SEED + 1):
+            least = np.minimum(least, seeds[i : i + len(least)])
+        windows = np.maximum(self.size - LENGTH + 1, 0)
+        self.doc = np.repeat(np.arange(len(windows)), windows)
+        self.at = np.arange(len(self.doc)) + np.repeat(self.end - self.size - (np.cumsum(windows) - windows), windows)
+        self.anchor = least[self.at]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors in order, and whether two of the documents have one."""
+        order = np.argsort(self.anchor)
+        a, d = self.anchor[order], self.ids[self.doc[order]]
+        new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        return a[new], (np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)) if len(a) else np.zeros(0, bool)
+
+    def windows(self, anchors: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows about shared anchors, as rows of WINDOW, and their starts: the extension of every seed."""
+        some = shared[np.searchsorted(anchors, self.anchor)] if len(anchors) else np.zeros(0, bool)
+        at = self.at[some]
+        r = np.zeros(len(at), WINDOW)
+        h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for i in range(LENGTH):
+            x = self.w[at + i]
+            h, g = h * LANES[0] + x, g * LANES[1] + x
+        r["h"], r["g"], r["doc"] = _mix(h), _mix(g), self.ids[self.doc[some]]
+        return r, at
+
+
+#: Two hashes of a window and a document that has it.
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
 
 
-def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All parts' anchors of one range -> of each part those that two documents have."""
-    each = [np.frombuffer(b, np.uint64) for b in pdf["blob"]]
-    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool) for a, t in zip(each, pdf["twice"], strict=True)]
-    a, count = np.unique(np.concatenate([*each, *(x[t] for x, t in zip(each, twice, strict=True))]), return_counts=True)
-    a = a[count > 1]
-    rows = [(int(p), got.tobytes()) for p, x in zip(pdf["part"], each, strict=True) if len(got := x[_among(x, a)])]
-    return pd.DataFrame(rows, columns=["part", "blob"])
+def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal windows the one of the smallest document, sorted; and of each row the place of its equal there."""
+    order = np.lexsort((rows["doc"], rows["g"], rows["h"]))
+    r = rows[order]
+    if not len(r):
+        return r, order
+    new = np.concatenate([[True], (r["h"][1:] != r["h"][:-1]) | (r["g"][1:] != r["g"][:-1])])
+    place = np.empty(len(r), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return r[new], place
 
 
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+def _cuts(values: np.ndarray, n: int) -> np.ndarray:
+    """Where the exchange cuts sorted hashes: n equal ranges of the upper 32 bits, so n + 1 places."""
+    return np.searchsorted(((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1))
 
 
-def _joined(blobs: pd.Series, kind: np.dtype | type = np.uint64) -> np.ndarray:
-    return np.sort(np.concatenate([*(np.frombuffer(b, kind) for b in blobs), np.zeros(0, kind)]))
+def _bits(asked: pd.DataFrame, cuts: np.ndarray, size: int) -> np.ndarray:
+    """The answers about a part's sorted entries, put together from those of the ranges."""
+    out = np.zeros(size, bool)
+    for to, bits in zip(asked["to"], asked["bits"], strict=True):
+        a, b = cuts[int(to)], cuts[int(to) + 1]
+        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+    return out
 
 
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
+def _part_anchors(n: int):
+    """A part's documents -> (to, part, blob, twice): its distinct anchors, marked where two of its documents have one."""
 
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        a, twice = Part(docs).anchors()
+        cuts, part = _cuts(a, n), int(docs["part"].iloc[0])
+        rows = [(to, part, a[s:e].tobytes(), np.packbits(twice[s:e]).tobytes()) for to, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+        return pd.DataFrame(rows, columns=["to", "part", "blob", "twice"])
 
-def _windows(w: np.ndarray, a: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and both hashes of the windows about shared anchors: the extension of every seed."""
-    at = np.flatnonzero(_among(a, shared))
-    if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for i in range(LENGTH):
-        x = w[at + i]
-        h, g = h * LANES[0] + x, g * LANES[1] + x
-    return at, _mix(h), _mix(g)
+    return run
 
 
-def _first(rows: np.ndarray) -> np.ndarray:
-    """Of equal windows the one of the smallest document; sorted by hash."""
-    rows = rows[np.lexsort((rows["doc"], rows["g"], rows["h"]))]
-    if not len(rows):
-        return rows
-    new = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
-    return rows[np.concatenate([[True], new])]
+def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All parts' anchors of one range -> to each part, which of its anchors two documents have."""
+    each = [np.frombuffer(b, np.uint64) for b in pdf["blob"]]
+    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool) for a, t in zip(each, pdf["twice"], strict=True)]
+    a = np.sort(np.concatenate([*each, *(x[t] for x, t in zip(each, twice, strict=True))]))
+    a = a[1:][a[1:] == a[:-1]]  # has its repeats, which a search may meet
+    to = int(pdf["to"].iloc[0])
+    rows = []
+    for p, x in zip(pdf["part"], each, strict=True):
+        hit = a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(0, bool)
+        if hit.any():
+            rows.append((int(p), to, np.packbits(hit).tobytes()))
+    return pd.DataFrame(rows, columns=["part", "to", "bits"])
 
 
 def _part_windows(n: int):
-    """A part's documents and shared anchors -> (to, part, blob): its distinct windows about them, with their first document."""
+    """A part's documents and which of their anchors are shared -> (to, part, blob): its distinct windows about those, with their first document."""
 
     def run(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        shared = _joined(hits["blob"])
-        got = []
-        for i, t in zip(docs["doc_id"] if len(shared) else (), docs["text"], strict=False):
-            at, h, g = _windows(*anchors(_split(t)), shared)
-            r = np.zeros(len(at), WINDOW)
-            r["h"], r["g"], r["doc"] = h, g, i
-            got.append(r)
-        r = _first(np.concatenate([*got, np.zeros(0, WINDOW)]))
-        to = _dealt(r["h"], n)
-        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(r) else np.zeros(0, int)
-        rows = [(int(to[s]), int(docs["part"].iloc[0]), r[s:e].tobytes()) for s, e in zip(cut, [*cut[1:], len(r)], strict=False)]
+        rows = []
+        if len(docs) and len(hits):
+            part = Part(docs)
+            a, _ = part.anchors()
+            r, _ = _first(part.windows(a, _bits(hits, _cuts(a, n), len(a)))[0])
+            cuts, name = _cuts(r["h"], n), int(docs["part"].iloc[0])
+            rows = [(to, name, r[s:e].tobytes()) for to, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
         return pd.DataFrame(rows, columns=["to", "part", "blob"])
 
     return run
 
 
 def _first_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All parts' windows of one range -> to each part, those of its windows that some document has, with the very first one."""
+    """All parts' windows of one range -> to each part, which of its windows another part has in a smaller document."""
     each = [np.frombuffer(b, WINDOW) for b in pdf["blob"]]
-    place = np.repeat(np.arange(len(each)), [len(x) for x in each])
     rows = np.concatenate(each)
-    order = np.lexsort((rows["doc"], rows["g"], rows["h"]))
-    r = rows[order]
-    new = np.concatenate([[True], (r["h"][1:] != r["h"][:-1]) | (r["g"][1:] != r["g"][:-1])])
-    least = np.empty(len(r), np.int64)
-    least[order] = r["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = rows.copy()
-    out["doc"] = least
-    ends = np.cumsum(np.bincount(place, minlength=len(each)))
-    return pd.DataFrame([(int(p), out[e - len(x) : e].tobytes()) for p, x, e in zip(pdf["part"], each, ends, strict=True)], columns=["part", "firsts"])
+    r, place = _first(rows)
+    earlier = r["doc"][place] < rows["doc"]
+    ends, to = np.cumsum([len(x) for x in each]), int(pdf["to"].iloc[0])
+    return pd.DataFrame([(int(p), to, np.packbits(earlier[e - len(x) : e]).tobytes()) for p, x, e in zip(pdf["part"], each, ends, strict=True)], columns=["part", "to", "bits"])
 
 
-def _kept(with_text: bool):
-    """A part's documents, its shared anchors and their windows' first documents -> what is left of each document."""
+def _kept(n: int, with_text: bool):
+    """A part's documents and the answers about their anchors and windows -> what is left of each document."""
 
     def run(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        shared = _joined(hits["blob"].dropna())
-        firsts = _first(np.concatenate([*(np.frombuffer(b, WINDOW) for b in hits["firsts"].dropna()), np.zeros(0, WINDOW)]))
-        h_all, g_all, d_all = (np.ascontiguousarray(firsts[c]) for c in ("h", "g", "doc"))
+        part = Part(docs)
+        gone = np.zeros(len(part.w), bool)
+        about = hits[hits["step"] == 1] if len(hits) else hits
+        if len(about):
+            a, _ = part.anchors()
+            r, at = part.windows(a, _bits(about, _cuts(a, n), len(a)))
+            first, place = _first(r)
+            elsewhere = _bits(hits[hits["step"] == 2], _cuts(first["h"], n), len(first))
+            at = at[elsewhere[place] | (first["doc"][place] < r["doc"])]
+            covers = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + LENGTH, minlength=len(gone) + 1)
+            gone = np.cumsum(covers[: len(gone)]) > 0
         rows = []
-        for i, t in zip(docs["doc_id"], docs["text"], strict=True):
-            words = _split(t)
-            gone = np.zeros(len(words), bool)
-            if len(d_all) and len(words) >= LENGTH:
-                at, h, g = _windows(*anchors(words), shared)
-                lo = np.searchsorted(h_all, h)
-                earlier = np.zeros(len(at), bool)
-                step = 0
-                while True:  # one round unless two windows have the same first hash
-                    k = np.minimum(lo + step, len(h_all) - 1)
-                    alike = (lo + step < len(h_all)) & (h_all[k] == h)
-                    if not alike.any():
-                        break
-                    earlier |= alike & (g_all[k] == g) & (d_all[k] < i)
-                    step += 1
-                covers = np.zeros(len(words) + 1, np.int64)
-                np.add.at(covers, at[earlier], 1)
-                np.add.at(covers, at[earlier] + LENGTH, -1)
-                gone = np.cumsum(covers[:-1]) > 0
-            kept = b" ".join(words if not gone.any() else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
-            rows.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
+        for i, words, n_words, end in zip(docs["doc_id"], part.words, part.size.tolist(), part.end.tolist(), strict=True):
+            cut = gone[end - n_words : end]
+            some = int(cut.sum())
+            kept = b" ".join([w for w, x in zip(words, cut.tolist(), strict=True) if not x] if some else words)
+            rows.append((i, n_words, some, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return run
@@ -223,22 +227,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = parts(spark)
     d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    own = d.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "part")
-    dealt = own.groupBy("part").applyInPandas(_part_anchors(n), "to int, part int, blob binary, twice binary")
-    shared = dealt.groupBy("to").applyInPandas(_shared_anchors, "part int, blob binary")
+    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    deal = n * max(1, round(total / n / PART_BYTES))
+    own = d.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(deal)).cast("int")).repartition(n, "part")
+    asked = own.groupBy("part").applyInPandas(_part_anchors(n), "to int, part int, blob binary, twice binary")
+    shared = asked.groupBy("to").applyInPandas(_shared_anchors, "part int, to int, bits binary")
     windows = own.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(_part_windows(n), "to int, part int, blob binary")
-    firsts = windows.groupBy("to").applyInPandas(_first_windows, "part int, firsts binary")
-    answers = shared.withColumn("firsts", F.lit(None).cast("binary")).unionByName(firsts.withColumn("blob", F.lit(None).cast("binary")))
-    left = own.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_kept(keep_text), out)
-    nameless = d.where("doc_id is null").withColumn("part", F.lit(0)).mapInPandas(_untouched(keep_text), out)
-    return left.unionByName(nameless)
+    firsts = windows.groupBy("to").applyInPandas(_first_windows, "part int, to int, bits binary")
+    answers = shared.withColumn("step", F.lit(1)).unionByName(firsts.withColumn("step", F.lit(2)))
+    left = own.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_kept(n, keep_text), out)
+    return left.unionByName(d.where("doc_id is null").mapInPandas(_untouched(n, keep_text), out))
 
 
-def _untouched(with_text: bool):
+def _untouched(n: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = _kept(with_text)
-        none = pd.DataFrame({"blob": [], "firsts": []})
+        keep = _kept(n, with_text)
         for b in batches:
-            yield keep(b, none).assign(doc_id=None).astype({"doc_id": "Int64"})
+            yield keep(b.assign(doc_id=0), pd.DataFrame()).assign(doc_id=None).astype({"doc_id": "Int64"})
 
     return run
