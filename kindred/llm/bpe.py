@@ -11,9 +11,10 @@ A table of all states by all tokens would have 2.5 billion cells, so each gadget
 part, right part, rank) and an arc is looked up by running the gadgets backwards: the arc that was there last was added
 by the younger of the two tokens' gadgets, from an arc of that token's part nearest to the other. Looked-up arcs are kept.
 
-Encoding walks the automaton over the words that the pre-tokenizer's pattern cuts: for every prefix of a word the token
-that ends its only path is found from the tables, and the labels are read back from the end. Decoding emits the byte
-labels of the arcs. A word's path is kept for as long as the bounded cache holds it.
+Encoding walks the automaton over the words that the pre-tokenizer's pattern cuts: it takes the longest arc that spells the
+next letters, and steps back from a place where no arc goes on. Only one path spells the whole word, so what it ends
+with is the encoding. Decoding emits the byte labels of the arcs. A word's path is kept for as long as the bounded cache
+holds it.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from kindred.llm.common import ship
 #: The pre-tokenizer's pattern of byte-level BPE, and the bytes that stand for themselves in its vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
-#: Words and arcs that a worker keeps; the caches start anew beyond it.
-CACHE_WORDS = 1_000_000
-CACHE_ARCS = 1_000_000
+#: Words of a generation of a worker's cache, which keeps two, and arcs, after which the arcs' cache starts anew.
+CACHE_WORDS = 200_000
+CACHE_ARCS = 200_000
+#: Bytes of ids after which a worker hands over what it has.
+HELD_BYTES = 4 << 20
 #: A word longer than this is not kept.
 CACHE_BYTES = 64
 
@@ -76,8 +79,13 @@ class Automaton:
             c = self.by_label[self.labels[a] + self.labels[b]]
             if self.merged.setdefault(a * n + b, r) == r and not self.rank[c]:
                 self.rank[c], self.left[c], self.right[c] = r, a, b
-        self.longest = max(map(len, self.by_label))
         self.arcs: dict[int, bool] = {}
+        # labels that no text leads to are no arcs of the first state; of the others, the longest by their first two bytes
+        self.by_label = {x: t for x, t in self.by_label.items() if self.arc(-1, t)}
+        self.arcs.clear()
+        self.reach: dict[bytes, int] = {}
+        for x in self.by_label:
+            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.words = _Paths(self)
@@ -110,23 +118,42 @@ class Automaton:
         return known
 
     def path(self, word: bytes) -> list[int]:
-        """The labels of the only path that spells ``word``."""
-        whole = self.by_label.get(word)
-        if whole is not None and self.arc(-1, whole):
-            return [whole]
-        by_label, arc, longest = self.by_label, self.arc, self.longest
-        last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                t = by_label.get(word[start:end])
-                if t is not None and arc(-1, t) and (not start or arc(last[start], t)):
-                    last[end] = t
-                    break
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+        """The labels of the only path that spells ``word``: from each place the longest arc first; places from which none leads on are left for good."""
+        by_label, reach, arcs, arc, n = self.by_label, self.reach, self.arcs, self.arc, self.n
+        t = by_label.get(word)
+        if t is not None:
+            return [t]
+        labels: list[int] = []
+        sizes: list[int] = []
+        dead: set[int] = set()
+        last, at, length = -1, 0, len(word)
+        size = min(reach.get(word[:2], 1), length)
+        while at < length:
+            while size:
+                t = by_label.get(word[at : at + size])
+                if t is not None and at + size not in dead:
+                    if last < 0:
+                        break
+                    known = arcs.get(last * n + t)
+                    if arc(last, t) if known is None else known:
+                        break
+                size -= 1
+            if size:
+                labels.append(t)
+                sizes.append(size)
+                last = t
+                at += size
+                size = reach.get(word[at : at + 2], 1)
+                if size > length - at:
+                    size = length - at
+            else:
+                dead.add(at)
+                labels.pop()
+                size = sizes.pop()
+                last = labels[-1] if labels else -1
+                at -= size
+                size -= 1
+        return labels
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
@@ -142,19 +169,24 @@ class Automaton:
 
 
 class _Paths(dict):
-    """Word -> its ids in bytes."""
+    """Word -> its ids in bytes. What a full generation held is still found in the next and moves on when it is used."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = np.array(self.automaton.path(raw), "<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+        ids = self.old.get(word)
+        if ids is None:
+            raw = word.encode()
+            ids = np.array(self.automaton.path(raw), "<u4").tobytes()
+            if len(raw) > CACHE_BYTES:
+                return ids
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -169,15 +201,20 @@ def automaton(path: str) -> Automaton:
 
 
 def _encoded(path: str, keep: bool):
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton(path)
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = a.encode(text or "")
-                decoded = a.decode(ids)
-                rows.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([np.frombuffer(ids, "<u4").tolist()] if keep else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]).astype({"n_tokens": "int64"})
+                rows.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(a.decode(ids).encode()).hexdigest(), *([np.frombuffer(ids, "<i4")] if keep else [])))
+                held += len(ids) * keep
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -191,4 +228,4 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(_encoded(tokenizer, keep_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * keep_ids)
+    return rows.mapInPandas(_encoded(tokenizer, keep_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
