@@ -3,42 +3,32 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions import ship as package
+
+
 #: The six ASCII white-space characters that separate words, as text and as a Java regular expression.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 #: Rows that a side of a join may have to be sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
 
-_shipped: set[str] = set()
+#: Rows of a batch that goes to a Python worker, where the session has Spark's own number: texts are long.
+BATCH_ROWS = 1000
+ROWS_CONF, SPARKS_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, on any cluster, once for each application."""
-    app = spark.sparkContext.applicationId
-    root = Path(__file__).resolve().parents[2]
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    if str(root) in (os.environ.get("PYTHONPATH") or "").split(os.pathsep):
-        return
-    folder = tempfile.mkdtemp()
-    name = f"{folder}/kindred_llm.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        z.write(root / "kindred/__init__.py", "kindred/__init__.py")
-        for p in sorted((root / "kindred/llm").glob("*.py")):
-            z.write(p, f"kindred/llm/{p.name}")
-    spark.sparkContext.addPyFile(name)
-    atexit.register(shutil.rmtree, folder, True)
+    """Make ready for Python workers: they can import this package, and get batches that fit texts."""
+    package.ship(spark)
+    if spark.conf.get(ROWS_CONF) == SPARKS_ROWS:
+        spark.conf.set(ROWS_CONF, BATCH_ROWS)
 
 
 def parts(spark: SparkSession) -> int:

@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -26,7 +30,7 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 def op2_warc(spark: SparkSession, d: str) -> DataFrame:
     from kindred.llm.warc import round_trip
 
-    return round_trip(_read(spark, d, "pages"))
+    return round_trip(_read(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -90,4 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
