@@ -1,0 +1,505 @@
+"""Each operator on small fixtures with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names; and against brute force."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kindred.llm import ann, bpe, chat, common, graph, htmltext, mixing, quality, queries, secret_scan, simhash, substring, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PROSE = "The quick brown fox, they say, jumps over the lazy dog again. "
+LONG = " ".join(f"word{i}" for i in range(60_000)) + "."
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [None, "", "  \n\t", "one two", prose(80, 1), prose(80, 1), prose(80, 2) + "\n" + prose(80, 1), LONG, "x y z " * 40, "a | b | c | d | e\n" * 30, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + prose(70, 3)]
+    rows = [(i, t, "en", None if i % 4 == 3 else f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows.append(rows[4])  # a repeated row
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("kept", "n_words", "fp", "component_id", "size", "spans", "part", "node", "__row", "key")}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+# 1 quality rules
+
+
+def brute_quality(t):
+    w = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = {}
+    for x in tri:
+        n[x] = n.get(x, 0) + 1
+    rep = {i + k for i, x in enumerate(tri) if n[x] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)
+
+
+def test_quality(docs, empty):
+    got = quality.with_quality(docs)
+    assert got.columns.count("kept") == 1 and quality.with_quality(empty).count() == 0 == quality.clean(empty).count()
+    want = sorted(((r["doc_id"], *brute_quality(r["text"])) for r in docs.collect()), key=str)
+    assert by(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    assert kept[4] and kept[7] and not kept[0] and not kept[8] and not kept[9]
+    assert {r["doc_id"] for r in quality.clean(docs.select("doc_id", "text", "n_chars")).collect()} == {k for k, v in kept.items() if v}
+
+
+def test_quality_lines(spark):
+    good = prose(60, 5)
+    d = spark.createDataFrame([(1, good + "\nHome | About | Contact | Login\n© All rights reserved.\nCLICK!! HERE!! NOW!!")], "doc_id int, text string")
+    assert quality.clean(d).first()["text"] == good
+
+
+# 2 WARC
+
+
+def test_warc_round_trip(spark):
+    x = [(1, "http://a.com/x", "h" * 2000), (2, "http://a.com/x", "h" * 2000), (2, "http://a.com/x", "h" * 2000), (3, None, None), (4, "http://A.com/b c\n", "s"), (5, "q", "s"), (None, "u", "h" * 2000), (7, "http://www.b.co.uk:8080/Z?q", "é" * 600), (6, "zz", "é" * 600)]
+    df = spark.createDataFrame(x, "page_id long, url string, html string").withColumn("archive", F.lit("clash"))
+    got = by(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    top = {"h" * 2000: 2, "é" * 600: 7}
+    want = [(p, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), *(("revisit", top[h]) if h in top and p != top[h] else ("response", None))) for p, _, h in x]
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_files_and_lookup(spark, tmp_path):
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".example.com/"), F.col("id")).alias("url"), F.repeat(F.concat(F.lit("p"), F.col("id")), 20).alias("html"))
+    a = warc.write(df)
+    i = warc.index(a)
+    some = warc.lookup(i, df.where("page_id in (0, 1, 777, 1999)").unionByName(spark.createDataFrame([(5, "http://nowhere/", "")], "page_id long, url string, html string")))
+    assert by(warc.read(a, some), "page_id") == [(0,), (1,), (1999,), (777,)]
+    (f, *_) = warc.export(a, str(tmp_path))
+    z = zlib.decompressobj(31)
+    head, block, http, payload = warc.parse(z.decompress(open(f, "rb").read()))
+    assert head["warc-type"] == "response" and int(http["content-length"]) == len(payload)
+    assert warc.surt("https://user@WWW.Example.co.uk:443/A?b#c") == "uk,co,example)/a?b"
+
+
+# 3 substring dedup
+
+
+def brute_repeats(rows):
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - 12):
+            x = tuple(w[k : k + 13])
+            first[x] = min(first.get(x, i), i)
+    out = []
+    for i, w in words:
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeats(docs, empty):
+    assert by(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_repeats_of_random_pieces(spark):
+    r = random.Random(4)
+    pieces = [prose(r.randint(8, 30), k)[:-1] for k in range(12)]
+    rows = [(i, " ".join(r.choice(pieces) for _ in range(r.randint(0, 6)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert by(substring.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+    null = spark.createDataFrame([(None, pieces[0]), (1, pieces[0])], "doc_id long, text string")
+    assert {x["n_removed"] for x in substring.remove_repeats(null).collect()} == {0}
+
+
+# 4 nearest neighbours
+
+
+def test_ann_recall_and_ties(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(6, 24))
+    x = (centres[r.integers(0, 6, 3000)] + 0.4 * r.normal(size=(3000, 24))).astype(np.float32)
+    x[100:700] = x[100]  # one very common vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9050, [0.0] * 24), (9100, [float("nan")] * 24), (9150, [None] + [1.0] * 23), (None, [1.0] * 24), (0, x[0].tolist()), (9200, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit("clash"))
+    got = {}
+    for q, k, v, s in sorted(tuple(t) for t in ann.nearest(df).collect()):
+        got.setdefault(q, []).append((k, v, s))
+    assert set(got) == set(range(0, 3000, 50))
+    d = x.astype(np.float64)
+    n = np.sqrt((d**2).sum(axis=1))
+    hits = 0
+    for q, rows_ in got.items():
+        s = (d * d[q]).sum(axis=1) / (n * n[q])
+        s[q] = -9
+        best = np.lexsort((np.arange(3000), -s))[:5]
+        assert [k for k, *_ in rows_] == [1, 2, 3, 4, 5]
+        assert all(abs(t - s[v]) < 1e-12 for _, v, t in rows_)
+        hits += len({v for _, v, _ in rows_} & set(best.tolist()))
+    assert hits >= 0.95 * 5 * len(got)
+    assert [v for _, v, _ in got[150]] == [100, 101, 102, 103, 104]
+    assert ann.nearest(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert by(ann.nearest(two), "query_id", "vec_id") == [(0, 1)]
+
+
+def test_anisotropic_loss_keeps_inner_products():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2000, 16)).astype(np.float32)
+    m = ann.Quantiser(x, 2)
+    u = ann.unit(x)
+    left = u - m.cells[m.cell(x)]
+    left = left / m.scale[m.cell(x)][:, None]
+    codes = m._codes(u, left)
+    e = left - np.concatenate([m.books[j][codes[:, j]] for j in range(8)], axis=1)
+    plain = left - np.concatenate([(b := ann.kmeans(np.ascontiguousarray(left[:, 2 * j : 2 * j + 2]), 16))[ann._assign(np.ascontiguousarray(left[:, 2 * j : 2 * j + 2]), b)] for j in range(8)], axis=1)
+    if m.eta > 1:
+        assert ((e * u).sum(axis=1) ** 2).mean() <= ((plain * u).sum(axis=1) ** 2).mean()
+
+
+# 5 HTML
+
+
+def test_html(spark):
+    page = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site to make it better.</div>
+    <article><h1>Tom &amp; Jerry</h1><p>First   paragraph of the <b>article</b> with some words, and a <a href="x>y">link</a>.<p>Short.</p></article>
+    <aside>A side note that is long enough to be taken for a paragraph of text.</aside><div id="comments"><p>Nice article, I liked it a lot, thank you.</p></div><footer>&copy; x</footer></body></html>"""
+    want = "Tom & Jerry\nFirst paragraph of the article with some words, and a link.\nShort."
+    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<"), (5, "u", "<p>" + "word, " * 50_000), (1, "u", page), (6, "u", "<script>never closed"), (7, "u", "<!-- open")]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    assert got[1] == (want, len(want)) and got[2] == got[3] == got[6] == got[7] == ("", 0)
+    assert got[5][1] == len("word, " * 50_000) - 1
+    assert htmltext.extract(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_tree_on_held_out_pages():
+    """Grown on all training pages but one, it must label the blocks of that one."""
+    lines = [x for x in htmltext.TRAINING.split("\n") if x.strip()]
+    right = total = 0
+    for i in range(len(lines)):
+        old = htmltext.TRAINING
+        try:
+            htmltext.TRAINING = "\n".join(lines[:i] + lines[i + 1 :])
+            tree = htmltext.grow(*htmltext.training_rows())
+            htmltext.TRAINING = lines[i]
+            xs, ys = htmltext.training_rows()
+        finally:
+            htmltext.TRAINING = old
+        right += sum(htmltext.decide(tree, x) == y for x, y in zip(xs, ys, strict=True))
+        total += len(ys)
+    assert right >= 0.9 * total
+
+
+def test_html_of_the_pages_table(spark, data):
+    got = {r["page_id"]: r["text"] for r in queries.op5_html_text(spark, data).collect()}
+    import html as H
+
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>(?=<p>)", inner)]
+        assert got[r["page_id"]] == "\n".join(x for x in parts if x)
+
+
+# 6 secrets
+
+
+def brute_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "ToKeN", "api_key", "apikey", "password", "ſecret", "é", '"', "'", " ", "=", ":", "AKIA", "ABCD1234EFGH5678", "0a1b2c3d4e5f6071829304a5b6", "x", "abc", "\n", "-", "."]), max_size=14).map("".join))
+def test_base_spans(t):
+    assert [s for s in secret_scan.scan(t) if s[1] < 3] == brute_spans(t)
+
+
+def test_secrets(docs, empty):
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs).collect()}
+    assert got[10]["n_assign"] == 1 == got[10]["n_hex"] and "random:" in got[10]["spans"] and got[0]["spans"] == "" == got[7]["spans"]
+    assert got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.find_secrets(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.without_secrets(docs).collect()}
+    assert clean[10].startswith("[secret]") and clean[4] == prose(80, 1) and clean[0] is None
+
+
+def test_battery_tells_random_from_prose():
+    r = random.Random(9)
+    found = sum(bool(secret_scan.random_spans([(0, "".join(r.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)))])) for _ in range(300))
+    assert found >= 270
+    assert not secret_scan.random_spans([(0, "internationalisationofthingswithnumbers12and34")])
+    assert not secret_scan.random_spans([(0, "0123456789abcdef0123456789abcdef")] * 1)
+    assert not any(secret_scan.random_spans([(0, "a" * n + "1")]) for n in range(20, 60))
+
+
+# 7 BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["the", "in", "ing", "a", "aa", "aaaa", "  ", " ", "\n", "'s", "<|endoftext|>", "é", "世界", "12", "==", "🙂"]), max_size=15).map("".join)))
+def test_bpe_is_the_library(tokenizer, s):
+    a = bpe.automaton(queries.tokenizer_path())
+    want = tokenizer.encode(s, add_special_tokens=False).ids
+    got = a.encode(s)
+    assert np.frombuffer(got, "<u4").tolist() == want
+    assert a.decode(got) == tokenizer.decode(want, skip_special_tokens=False) == s
+
+
+def test_gadgets_of_a_small_automaton(tmp_path):
+    """All paths of the automaton: just one spells each string, and it is what merging by rank gives."""
+    letters = {chr(b) if b in bpe.PLAIN_BYTES else None: b for b in range(256)}
+    alphabet = list(bpe.byte_letters())
+    merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "a"), ("ab", "ab"), ("aa", "aa"), ("b", "b")]
+    vocab = {x: i for i, x in enumerate([*alphabet, *dict.fromkeys(a + b for a, b in merges)])}
+    assert letters
+    (tmp_path / "t.json").write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}}))
+    auto = bpe.Automaton(str(tmp_path / "t.json"))
+    name = {v: k for k, v in vocab.items()}
+
+    def merged(word):
+        w = list(word)
+        while True:
+            ranks = [(merges.index(p), i) for i, p in enumerate(zip(w, w[1:], strict=False)) if p in merges]
+            if not ranks:
+                return w
+            r, _ = min(ranks)
+            i, out = 0, []
+            while i < len(w):
+                if i + 1 < len(w) and (w[i], w[i + 1]) == merges[r]:
+                    out.append(w[i] + w[i + 1])
+                    i += 2
+                else:
+                    out.append(w[i])
+                    i += 1
+            w = out
+
+    for n in range(1, 9):
+        for k in range(2**n):
+            word = "".join("ab"[k >> j & 1] for j in range(n))
+            assert [name[t] for t in auto.path(word.encode())] == merged(word)
+
+
+def test_bpe_query(docs, empty, tokenizer):
+    got = {r["doc_id"]: r for r in bpe.tokenize(docs, queries.tokenizer_path(), keep_ids=True).collect()}
+    for r in docs.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        g = got[r["doc_id"]]
+        assert g["ids"] == ids and g["n_tokens"] == len(ids) and g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and g["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    assert bpe.tokenize(empty, queries.tokenizer_path()).count() == 0
+
+
+# 8 SimHash
+
+
+def brute_components(fps):
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def plain_fingerprint(t):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint_and_components(docs, empty):
+    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in docs.collect()}
+    want = brute_components(fps)
+    got = by(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
+    assert got == sorted([(i, f"{fps[i]:016x}", want[i]) for i in [*fps, 4]], key=str)
+    assert simhash.near_duplicates(empty).count() == 0
+    left = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert left == set(want.values())
+
+
+@pytest.mark.parametrize("crowded", [2048, 20])
+def test_trie_join_of_clusters(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    r = random.Random(11)
+    fps, i = {}, 0
+    for _ in range(40):
+        x = r.getrandbits(64)
+        for _ in range(r.randint(1, 12)):
+            fps[i] = x
+            for _ in range(r.randint(0, 3)):
+                x ^= 1 << r.randrange(64)
+            i += 1
+    rows = [(v - (1 << 64) if v >> 63 else v, k) for k, v in fps.items()]
+    each = spark.createDataFrame(rows, "fp long, doc_id long").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    edges = common.table(simhash.links(each), "links")
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    want = brute_components(fps)
+    first = {}
+    for k, v in fps.items():
+        first.setdefault(v, k)
+    assert {k: got.get(k, k) for k in first.values()} == {k: want[k] for k in first.values()}
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(50)]
+    star = [(1000, 1000 + i) for i in range(1, 300)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([*chain, *star, (7, 7)], "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(51)}, **{1000 + i: 1000 for i in range(300)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 9 chat
+
+
+def test_levels_and_cycles(spark):
+    x = [(1, "a", []), (1, "b", ["a"]), (1, "c", ["b"]), (1, "d", ["a", "c"]), (1, "e", ["d", "none"]), (2, "p", ["q"]), (2, "q", ["p"]), (2, "r", ["q"]), (3, "a", ["a"])]
+    x += [(4, f"n{i}", [f"n{i - 1}"]) for i in range(40)]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat.levels(spark.createDataFrame(x, "conv_id long, call_id string, after array<string>")).collect()}
+    assert [got[1, k] for k in "abcde"] == [0, 1, 2, 3, 4] and got[2, "p"] is got[2, "q"] is got[2, "r"] is None and got[3, "a"] == 0
+    assert [got[4, f"n{i}"] for i in range(40)] == list(range(40))
+
+
+def test_chat_lines(spark):
+    call = json.dumps({"tool_calls": [{"id": "k", "function": {"name": "add", "arguments": '{"b": 2.0, "a": "é"}'}}]})
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", '{"tool_call_id": "k", "content": "3"}'), (None, None, None, None), (3, 0, "user", None), (3, 0, "user", None), (3, 1, "assistant", "x"), (3, 2, "user", "y" * 100_000), (4, 5, "assistant", "nobody asked")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit("clash"))
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "integer"}}}
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_turns(df, {"add": schema, "reply": chat.REPLY}).collect()}
+    assert got[1, 0]["line"] == '{"arguments":{"a":"é","b":2},"call_id":"k","conv_id":1,"kind":"call","level":0,"name":"add","turn":0}'
+    assert got[1, 0]["error"] == "/a: not of type integer" and got[1, 0]["linked"] and got[1, 1]["linked"]
+    assert not got[3, 0]["valid"] and got[3, 2]["valid"] and got[3, 2]["level"] == 1 and not got[4, 5]["linked"] and got[None, None]["kind"] == "text"
+    assert chat.format_turns(df.limit(0)).count() == 0
+
+
+def test_schema_faults():
+    s = {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "array", "items": {"type": "number", "minimum": 0}, "maxItems": 2}, "y": {"enum": ["a"]}, "z": {"type": "string", "pattern": "^a", "maxLength": 2}}}
+    assert chat.faults({"x": [1, 2.5]}, s) == []
+    assert chat.faults({"x": [-1, 1, 1], "y": "b", "z": "bcd", "w": 0}, s) == ["/w: not allowed", "/x/0: minimum", "/x: maxItems", "/y: not in enum", "/z: maxLength", "/z: pattern"]
+    assert chat.faults(True, {"type": "integer"}) and not chat.faults(2.0, {"type": "integer"})
+
+
+# 10 mixing
+
+
+def test_targets(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    total, cap, w = 2015, {"a": 30, "b": 3000, "c": 3000, None: 15}, {"a": 1, "b": 2, "c": 3, None: 1}
+    free = set(cap)
+    want = {}
+    while True:
+        rest = total - sum(want.values())
+        share = {k: rest * w[k] / sum(w[x] for x in free) for k in free}
+        over = {k for k in free if share[k] > cap[k]}
+        if not over:
+            want |= share
+            break
+        want |= {k: cap[k] for k in over}
+        free -= over
+    assert got == pytest.approx(want)
+
+
+def test_mixing(docs, empty, spark):
+    got = [r.asDict() for r in mixing.mix(docs).collect()]
+    assert len(got) == docs.count() and sorted(map(str, got)) == sorted(str(r.asDict()) for r in mixing.mix(docs).collect())
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and mixing.mix(empty).count() == 0
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    m = mixing.mix(many).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 50 for r in m)
+    copies = mixing.mixed(many).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in copies} == {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(many).collect() if r["taken"]}
+
+
+# the queries with SQL, and the pipeline
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_is_its_sql(name, spark, data):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    cur = con.execute(queries.ORACLES[name])
+    df = queries.QUERIES[name](spark, data)
+    assert df.columns == [x[0] for x in cur.description]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(cur.fetchall(), key=key)
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_step_by_step(spark, data, tokenizer):
+    rows = [r.asDict() for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    columns = list(rows[0])
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    quality_, near, secrets, mix, tokens = (f for _, f in corpus_pipeline.STAGES)
+
+    kept = common.table(quality_(spark, docs, data), "q")
+    assert kept.columns == columns
+    ok = {r["doc_id"] for r in quality.with_quality(docs).where("kept").select("doc_id").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == ok
+    good = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").collect()}
+    assert all(r["doc_id"] in ok for r in rows if r["doc_id"] in good and not brute_quality(r["text"])[5])
+
+    one = common.table(near(spark, kept, data), "n")
+    comp = brute_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in kept.collect()})
+    assert one.columns == columns and {r["doc_id"] for r in one.collect()} == set(comp.values())
+
+    safe = common.table(secrets(spark, one, data), "s")
+    assert safe.columns == columns
+    texts = {r["doc_id"]: r["text"] for r in one.collect()}
+    for r in safe.collect():
+        assert not brute_spans(r["text"]) and r["n_chars"] == len(r["text"])
+        assert brute_spans(texts[r["doc_id"]]) or "[secret]" in r["text"] or r["text"] == texts[r["doc_id"]]
+
+    mixed_ = common.table(mix(spark, safe, data), "m")
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(safe).collect() if r["copies"]}
+    assert mixed_.columns == columns and {r["doc_id"]: r["count"] for r in mixed_.groupBy("doc_id").count().collect()} == want
+
+    last = tokens(spark, mixed_, data).collect()
+    text = {r["doc_id"]: r["text"] for r in mixed_.collect()}
+    assert len(last) == sum(want.values()) and all(r["ids"] == tokenizer.encode(text[r["doc_id"]], add_special_tokens=False).ids for r in last)
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, data).collect()) == sorted((r["doc_id"], r["ids_sha256"]) for r in last)
