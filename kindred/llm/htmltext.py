@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import ship
 
 #: Elements of HTML by what they mean to the cutter.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "button", "canvas", "head")
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp")
+UNSEEN = ("noscript", "template", "svg", "object", "select", "button", "canvas")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,10 +42,14 @@ NAMES = {
 NAMED = {w: z for z, ws in NAMES.items() for w in ws.split()}
 KINDS = ("-", "nav", "header", "footer", "side", "notice", "form", "comments", "share")
 
+#: What stands in a tag after its name: after an equals sign a value with or without quotes, elsewhere anything.
+_ATTRS = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[\"'])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"<!--.*?(?:-->|\Z)"
+    # raw text goes on to the end of the page if it isn't closed; an unseen element that isn't closed is only its tag
+    rf"|<(?P<raw>{'|'.join(RAW)})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<unseen>{'|'.join(UNSEEN)})\b{_ATTRS}>.*?</(?P=unseen)\s*>"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})>"
     r"|</?[a-z!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )

@@ -194,6 +194,18 @@ def test_html(spark):
     assert htmltext.extract(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_odd_markup():
+    text = "A paragraph of text that has words enough to be one, and more."
+    odd = [
+        f"<article><p title=it's>{text}<p data-x=\"a>b\">{text}</article>",
+        f"<head><meta x><article><p>{text}</p><button>Buy</button><p>{text}</p><select><option>x</select></article>",
+        f"<article><p>{text}</p><svg><text>no</text></svg><p class=y'>{text}",
+        f"<ARTICLE><P>{text}</P><!-- <p>no</p> --><P>{text}</P><object></ARTICLE>",
+    ]
+    for page in odd:
+        assert htmltext.main_text(page) == f"{text}\n{text}"
+
+
 def test_html_tree_on_held_out_pages():
     """Grown on all training pages but one, it must label the blocks of that one."""
     lines = [x for x in htmltext.TRAINING.split("\n") if x.strip()]
