@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from kindred.functions.columns import bucket, clip, f_beta, lit
 
 
+#: Ranges of scores between 0 and 1 for running sums.
+RANGES = 1024
+
+
 def per_anchor(anchors: DataFrame, truth: DataFrame, chosen: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(anchors' columns, g, k, tp, f[, seen]): gold and chosen set sizes, true ones among the chosen, F0.5, gold among candidates.
 
@@ -91,13 +95,20 @@ def recall_at(ranked: DataFrame, truth: DataFrame, caps: list[int], rank: str =
 def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", by: str | None = None) -> DataFrame:
     """AUC (average ranks on ties), average precision by distinct thresholds, log loss and Brier score; null where one class is missing.
 
-    Rows are first counted by distinct score, so what is sorted is the scores, not the rows.
+    Rows are counted by distinct score. Running sums go over ranges of scores first and then inside each range, so no task
+    sorts all scores, however many there are.
     """
     key = [by] if by else []
     s = df.groupBy(*key, F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    up = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*key).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0))).withColumn("tp", F.sum("pos").over(down)).withColumn("upto", F.sum("n").over(down))
+    s = s.withColumn("__b", bucket(F.col("p"), RANGES))
+    up, down = (lambda w: w.rowsBetween(Window.unboundedPreceding, -1)), (lambda w: w.rowsBetween(Window.unboundedPreceding, 0))
+    c = s.groupBy(*key, "__b").agg(F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
+    over, under = Window.partitionBy(*key).orderBy("__b"), Window.partitionBy(*key).orderBy(F.col("__b").desc())
+    first = lambda x, w: F.coalesce(F.sum(x).over(up(w)), F.lit(0))
+    c = c.select(*key, "__b", first(F.col("__n") - F.col("__pos"), over).alias("__below"), first(F.col("__pos"), under).alias("__tp"), first(F.col("__n"), under).alias("__upto"))
+    inside, back = Window.partitionBy(*key, "__b").orderBy("p"), Window.partitionBy(*key, "__b").orderBy(F.col("p").desc())
+    s = s.join(c, [*key, "__b"])
+    s = s.withColumn("below", F.col("__below") + first(F.col("n") - F.col("pos"), inside)).withColumn("tp", F.col("__tp") + F.sum("pos").over(down(back))).withColumn("upto", F.col("__upto") + F.sum("n").over(down(back)))
     q = clip(F.col("p"), 1e-7)
     neg = F.col("n") - F.col("pos")
     a = s.groupBy(*key).agg(

@@ -61,6 +61,7 @@ def test_legal_segments_abbreviations():
     assert R.split_legal(["ltd"]) == (["ltd"], [])
     assert R.segment("olaniqpetcare", {"olaniq": 3, "pet": 10, "care": 10}) == ["olaniq", "pet", "care"]
     assert R.segment("frontierm", {"frontier": 5}) == ["frontierm"]
+    assert R.split_concatenated(["petcarecom", "petcareshop", "other"], {"petcarecom"}, {"pet": 9, "care": 9}) == ["pet", "care", "petcareshop", "other"]
     assert all(R.is_abbreviation(a, b) for a, b in (("rd", "road"), ("pvt", "private"), ("bd", "boulevard"), ("fbg", "faubourg")))
     assert not any(R.is_abbreviation(a, b) for a, b in (("st", "south"), ("rd", "ridge")))
     assert R.token_similarity("r", "rue") == 0.5 and R.token_similarity("rd", "road") == 0.9 and R.token_similarity("12", "13") == 0

@@ -2,9 +2,9 @@
 
 import pytest
 
-from kindred.plans import decisions, relations, texts
+from kindred.plans import decisions, features, relations, texts
 
-ALL = {n: (f, c.oracles.get(n)) for c in (decisions.C, texts.C, relations.C) for n, f in c.queries.items()}
+ALL = {n: (f, c.oracles.get(n)) for c in (decisions.C, texts.C, features.C, relations.C) for n, f in c.queries.items()}
 
 
 def key(row):

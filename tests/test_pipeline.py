@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from kindred.functions import normalize as N
 from kindred.functions import records as R
 from kindred.operators import blocking, calibration, decision, evaluation, models, sampling
+from kindred.plans import scoring
 from kindred.plans.control import Stages
-from kindred.sources import files, generator
+from kindred.sources import files, generator, report
 from kindred.streaming.chunks import run_chunks
 
 
@@ -51,6 +52,21 @@ def test_lists_round_trip_and_pass_the_check(spark, tmp_path):
     assert back.count() == 5
 
 
+def test_scores_and_reports_of_files(spark, tmp_path):
+    gold, match, cand = (tmp_path / f"{x}.tsv" for x in ("gold", "match", "cand"))
+    gold.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\t\nS1-3\tS2-9\n")
+    match.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\tS2-4\nS1-3\t\n")
+    cand.write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\tS2-4\nS1-3\t\n")
+    out = scoring.score_files(spark, str(match), str(gold), str(cand))
+    assert {r["s1"]: round(r["f"], 4) for r in out["anchors"].collect()} == {"S1-1": 0.8333, "S1-2": 0.0, "S1-3": 0.0}
+    assert {r["bucket"] for r in out["budget"].collect()} == {"extra_missed", "singleton_merge", "missed_blocking"}
+    report.write_report({"By kind": out["budget"]}, str(tmp_path / "r.md"), "# Run")
+    assert "| extra_missed | 1 |" in (tmp_path / "r.md").read_text()
+    a, b = (report.package([str(gold), str(match)], str(tmp_path / f"{x}.zip")) for x in "ab")
+    assert files.sha256(a) == files.sha256(b)
+    assert scoring.keep_variant(0.002, 0.001) and not scoring.keep_variant(0.002, 0.001, 10, 5)
+
+
 def test_end_to_end_quality(spark, folder):
     src = lambda k: files.read_source(spark, f"{folder}/train/train_source{k}.tsv").withColumn("src", F.lit(f"S{k}"))
     gold = files.explode_gold(files.read_tsv(spark, f"{folder}/train/train_ground_truth.tsv"))
