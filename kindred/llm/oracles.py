@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm.quality import BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS
+from kindred.llm.quality import BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, SHORT_LINE
 
 #: The words of column ``text`` of a subquery.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -16,7 +16,7 @@ r AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, t) AS n FRO
 c AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS p FROM r, (VALUES (0), (1), (2)) v(k)) GROUP BY rid),
 l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 k AS (SELECT rid, l, list_filter(l, lambda x: NOT (
-  NOT regexp_matches(x, '[.,;:!?…。！？]')
+  (length(x) < {SHORT_LINE} AND NOT regexp_matches(x, '[.,;:!?…。！？]'))
   OR (len(regexp_extract_all(x, '[#*$%&|<>~^={{}}\\\x{{BB}}›•\x{{B7}}]')) >= 3 AND len(regexp_extract_all(x, '[#*$%&|<>~^={{}}\\\x{{BB}}›•\x{{B7}}]')) * 25 > length(x))
   OR (len(regexp_extract_all(x, '[!?]{{2,}}|\.{{4,}}')) >= 3 AND len(regexp_extract_all(x, '[!?]{{2,}}|\.{{4,}}')) * 30 > length(x))
   OR (length(x) <= 240 AND regexp_matches(x, '{_boiler}')))) AS kept FROM l),

@@ -15,6 +15,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document goes if rules remove more than this share (in percent) of the characters in its lines.
 MAX_LOST_PERCENT = 40
+#: Below so many characters a line without any punctuation is taken for a menu entry or a heading.
+SHORT_LINE = 80
 BOILERPLATE = (
     r"(?i)\b(licensed under|all rights reserved|copyright (\(c\)|\xA9)|privacy policy|cookie policy|terms of (use|service)|"
     r"enable javascript|click here|sign up|log ?in to|subscribe (now|to)|read more|share (this|on)|powered by|lorem ipsum)\b"
@@ -25,7 +27,7 @@ def _line_fails(line: Column) -> Column:
     n = F.char_length(line)
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>~^={}\\\xBB›•\xB7]"))
     shouts = F.regexp_count(line, F.lit(r"[!?]{2,}|\.{4,}"))
-    unpunctuated = ~line.rlike(r"[.,;:!?…。！？]")
+    unpunctuated = (n < SHORT_LINE) & ~line.rlike(r"[.,;:!?…。！？]")
     navigation = (marks >= 3) & (marks * 25 > n)
     shouting = (shouts >= 3) & (shouts * 30 > n)
     boilerplate = (n <= 240) & line.rlike(BOILERPLATE)

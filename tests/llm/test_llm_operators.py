@@ -73,6 +73,8 @@ def test_quality_lines(spark):
     good = prose(60, 5)
     d = spark.createDataFrame([(1, good + "\nHome | About | Contact | Login\n© All rights reserved.\nCLICK!! HERE!! NOW!!")], "doc_id int, text string")
     assert quality.clean(d).first()["text"] == good
+    bare = spark.createDataFrame([(1, prose(60, 6)[:-1]), (2, "\n".join(prose(8, k)[:-1] for k in range(9)))], "doc_id int, text string")
+    assert [r["doc_id"] for r in quality.clean(bare).collect()] == [1]
 
 
 # 2 WARC
