@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document draws u from a hash of its id; its exponential key is -ln(u) / weight. A source whose target is T of S
-words takes floor(T / S) complete epochs and, for the rest, the documents of the smallest keys up to the budget. What
-decides a document is therefore one threshold for each source. The threshold is found by two rounds of sums over key
+words takes floor(T / S) complete epochs and, for the rest, the documents of the smallest keys up to the budget, and one
+more that best fills what is then missing. What decides a document is therefore a threshold and an id for each source. The threshold is found by two rounds of sums over key
 ranges, so no task ever sorts a whole source. DataFrame functions only.
 """
 
@@ -68,10 +68,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> D
 
 
 def plan(base: DataFrame) -> DataFrame:
-    """(source, source_size, target, epochs, last_key, last_id) from keyed rows that are already written.
+    """(source, source_size, target, epochs, budget, last_key, last_id, low, fill_key, fill_id) from keyed rows that are already written.
 
-    A row is in the fractional part if (key, doc_id) is not above (last_key, last_id). Rows of equal key and id go
-    together. The document in which the budget ends is in if that comes nearer to the target.
+    A row is in the fractional part if (key, doc_id) is not above (last_key, last_id), the last that fits the budget, or
+    if it is the one that fills what is missing best. Rows of equal key and id go together.
     """
     b = base.where("size > 0").withColumn("r1", _range(F.col("key"), 1)).withColumn("r2", _range(F.col("key"), 2))
     t = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -96,26 +96,37 @@ def plan(base: DataFrame) -> DataFrame:
     rest = inside(b, two, "r2").groupBy("source", "key", "doc_id").agg(F.sum("size").alias("n"))
     order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first())
     rest = rest.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = rest.join(two.select(F.col("source").alias("__s"), "budget", "done", "at"), F.col("source").eqNullSafe(F.col("__s")))
-    end = F.col("done") + F.col("upto")
-    near = rest.where((end <= F.col("budget")) | (end - F.col("budget") < F.col("budget") - (end - F.col("n"))))
-    last = near.groupBy("source").agg(F.max(F.struct("key", F.col("doc_id"))).alias("last"))
-    bound = two.select(F.col("source").alias("__b"), F.col("at").alias("low"))
-    last = last.withColumnRenamed("source", "__l")
+    ends = two.select(F.col("source").alias("__s"), "budget", "done")
+    fits = rest.join(ends, F.col("source").eqNullSafe(F.col("__s"))).where(F.col("done") + F.col("upto") <= F.col("budget"))
+    last = fits.groupBy("source").agg(F.max(F.struct("upto", "key", "doc_id")).alias("last")).withColumnRenamed("source", "__l")
+    bound = two.select(F.col("source").alias("__b"), F.col("at").alias("low"), "done")
     out = t.join(bound, F.col("source").eqNullSafe(F.col("__b")), "left").join(last, F.col("source").eqNullSafe(F.col("__l")), "left")
-    return out.select("source", "source_size", "target", "epochs", "budget", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"), "low")
+    gap = F.col("budget") - F.coalesce(F.col("done") + F.coalesce(F.col("last.upto"), F.lit(0)), F.lit(0))
+    out = out.select("source", "source_size", "target", "epochs", "budget", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"), "low", gap.alias("gap"))
+    out = small(table(out, "prefix"))
+    # one document more: of those left, that whose size is nearest to what is missing, if that is an improvement
+    left = b.join(out.withColumnRenamed("source", "__p"), F.col("source").eqNullSafe(F.col("__p"))).where(F.col("budget") > 0).where(~_in_prefix())
+    left = left.groupBy("source", "key", "doc_id").agg(F.sum("size").alias("n"), F.first("gap").alias("gap")).withColumn("off", F.abs(F.col("n") - F.col("gap"))).where("off < gap")
+    fill = left.groupBy(F.col("source").alias("__f")).agg(F.min(F.struct("off", "key", "doc_id")).alias("f"))
+    out = out.join(fill, F.col("source").eqNullSafe(F.col("__f")), "left")
+    return out.select("source", "source_size", "target", "epochs", "budget", "last_key", "last_id", "low", F.col("f.key").alias("fill_key"), F.col("f.doc_id").alias("fill_id"))
+
+
+def _in_prefix() -> Column:
+    """Whether a row (key, doc_id) is not above its source's (last_key, last_id), or in a range of keys below that of the budget's end."""
+    same = (F.col("key") == F.col("last_key")) & (F.col("last_id").isNull() == F.col("doc_id").isNull())
+    upto = (F.col("key") < F.col("last_key")) | (same & F.coalesce(F.col("doc_id") <= F.col("last_id"), F.lit(True)))
+    return F.coalesce(upto, _range(F.col("key"), 2) < F.col("low"), F.lit(False))
 
 
 def decided(base: DataFrame, p: DataFrame) -> DataFrame:
     """``base`` and source_size, target, copies and taken of each row."""
     p = p.withColumnRenamed("source", "__p")
     d = base.join(p, F.col("source").eqNullSafe(F.col("__p")), "left")
-    same = (F.col("key") == F.col("last_key")) & (F.col("last_id").isNull() == F.col("doc_id").isNull())
-    upto = (F.col("key") < F.col("last_key")) | (same & F.coalesce(F.col("doc_id") <= F.col("last_id"), F.lit(True)))
-    below = _range(F.col("key"), 2) < F.col("low")
-    extra = (F.col("budget") > 0) & F.coalesce(upto, below, F.lit(False))
+    more = F.coalesce((F.col("key") == F.col("fill_key")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), F.lit(False))
+    extra = (F.col("budget") > 0) & (_in_prefix() | more)
     d = d.withColumn("copies", F.col("epochs") + extra.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return d.drop("__p", "epochs", "budget", "last_key", "last_id", "low")
+    return d.drop("__p", "epochs", "budget", "last_key", "last_id", "low", "fill_key", "fill_id")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:

@@ -63,7 +63,8 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS
 t AS (SELECT source, n, least(cap, w * (SELECT level FROM l WHERE cap >= level * w ORDER BY cap / w, level LIMIT 1)) AS target FROM l),
 e AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS epochs, target - CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END * n AS budget FROM t),
 r AS (SELECT source, key, doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY key, doc_id) AS upto FROM (SELECT source, key, doc_id, sum(size) AS n FROM k WHERE size > 0 GROUP BY source, key, doc_id)),
-x AS (SELECT r.source, r.key, r.doc_id FROM r JOIN e ON e.source IS NOT DISTINCT FROM r.source WHERE budget > 0 AND (upto <= budget OR (upto - r.n < budget AND upto - budget < budget - (upto - r.n))))
+g AS (SELECT r.*, e.budget, e.budget - coalesce(max(upto) FILTER (upto <= budget) OVER (PARTITION BY r.source), 0) AS gap FROM r JOIN e ON e.source IS NOT DISTINCT FROM r.source WHERE budget > 0),
+x AS (SELECT source, key, doc_id FROM g WHERE upto <= budget UNION ALL SELECT source, key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(n - gap), key, doc_id) AS rk FROM g WHERE upto > budget AND abs(n - gap) < gap) WHERE rk = 1)
 SELECT k.doc_id, k.size, CAST(e.n AS BIGINT) AS source_size, e.target, CAST(k.size * (e.epochs + CASE WHEN x.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
  FROM k JOIN e ON e.source IS NOT DISTINCT FROM k.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM k.source AND x.key = k.key AND x.doc_id = k.doc_id"""
 
