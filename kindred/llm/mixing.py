@@ -32,14 +32,15 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 def with_key(rows: DataFrame, seed: int = 7) -> DataFrame:
     """``rows`` with doc_id and text, and their size and key."""
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}"))
+    nameless = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), nameless), F.lit(f"|{seed}"))
     u = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
     d = rows.withColumn("size", word_count(F.col("text")))
     return d.withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size")))
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, key) of every row. A null id, source or text is a value like any other."""
+    """(doc_id, source, size, key) of every row. A null source or text is a value like any other; rows of null ids are told apart by their texts."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
     return with_key(rows, seed).drop("text")
 

@@ -75,6 +75,8 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, less the lines that fail; same columns, n_chars brought up to date if there is one."""
-    d = with_quality(docs, text).where("kept")
-    out = {text: F.col("clean_text")} | ({"n_chars": F.char_length("clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return d.select(*[(out[c].alias(c) if c in out else F.col(f"`{c}`")) for c in docs.columns if c in d.columns])
+    rest = [c for c in docs.columns if c != text]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True)).alias("__row"), F.col(f"`{text}`").alias("text"))
+    d = with_quality(d).where("kept")
+    out = {text: F.col("clean_text")} | ({"n_chars": F.char_length("clean_text").cast("long")} if "n_chars" in rest else {})
+    return d.select(*[out.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

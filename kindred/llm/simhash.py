@@ -224,7 +224,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A null or empty text has fingerprint zero and is linked like any other. Rows of equal id each get a row; an id that
     is null is in no component (component_id null). Other columns are not read. An empty table gives none.
     """
-    prints = table(fingerprints(docs, doc_id, text), "fingerprints")
+    return _labelled(table(fingerprints(docs, doc_id, text), "fingerprints"))
+
+
+def _labelled(prints: DataFrame) -> DataFrame:
     each = table(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     edges = table(links(each.where("doc_id is not null")), "links")
     found = components(edges.select("a", "b")).withColumnRenamed("node", "doc_id")
@@ -234,6 +237,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` less all but the document of the smallest id of each component, same columns."""
-    kept = near_duplicates(docs, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`") == F.col("__keep"), "left_semi")
+    """``docs`` less all but the document of the smallest id of each component, same columns. Of rows of equal id one stays;
+    rows of a null id are in no component and stay."""
+    prints = table(fingerprints(docs, doc_id, text), "fingerprints")
+    id_ = F.col(f"`{doc_id}`")
+    others = table(_labelled(prints).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "others")
+    left = docs.join(others, id_ == F.col("__id"), "left_anti")
+    again = table(prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    if not again.limit(1).count():
+        return left
+    once = left.join(again, id_ == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    return left.join(again, id_ == F.col("__id"), "left_anti").unionByName(once)

@@ -66,7 +66,9 @@ def test_quality(docs, empty):
     assert by(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
     kept = {r["doc_id"]: r["kept"] for r in got.collect()}
     assert kept[4] and kept[7] and not kept[0] and not kept[8] and not kept[9]
-    assert {r["doc_id"] for r in quality.clean(docs.select("doc_id", "text", "n_chars")).collect()} == {k for k, v in kept.items() if v}
+    clean = quality.clean(docs).collect()
+    assert {r["doc_id"] for r in clean} == {k for k, v in kept.items() if v} and {(r["kept"], r["n_words"]) for r in clean} == {("clash", "clash")}
+    assert quality.clean(docs).columns == docs.columns
 
 
 def test_quality_lines(spark):
@@ -369,8 +371,10 @@ def test_fingerprint_and_components(docs, empty):
     got = by(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
     assert got == sorted([(i, f"{fps[i]:016x}", want[i]) for i in [*fps, 4]], key=str)
     assert simhash.near_duplicates(empty).count() == 0
-    left = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
-    assert left == set(want.values())
+    left = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert left == sorted(set(want.values()))
+    nameless = docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+    assert simhash.one_of_each(nameless).count() == docs.count() == simhash.near_duplicates(nameless).where("component_id is null").count()
 
 
 @pytest.mark.parametrize("crowded", [2048, 20])
