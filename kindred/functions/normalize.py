@@ -24,9 +24,12 @@ STEPS = (
     (r"([a-z])([0-9])", r"\1 \2"),
     (r"[^a-z0-9]+", " "),
 )
-ADDRESS_STEPS = (
+CODE_STEPS = (
     (r"(^|[^0-9])([0-9]{3}) ([0-9]{3})($|[^0-9])", r"\1\2\3\4"),
     (r"(^|[^0-9])0+([1-9])", r"\1\2"),
+)
+ADDRESS_STEPS = (
+    *CODE_STEPS,
     *((rf"(^|[^a-z]){k}($|[^a-z])", rf"\1{v}\2") for k, v in sorted(STATES.items(), key=lambda kv: (-len(kv[0]), kv[0]))),
 )
 #: Letters that stand for digits inside a word.
@@ -92,7 +95,14 @@ def tokens_sql(expr: str) -> str:
 
 def clean_address(c: Column) -> Column:
     """Folded address: postal codes in one piece, no zeros before house numbers, states abbreviated."""
-    return steps(fold_latin(c), ADDRESS_STEPS)
+    return address_steps(fold_latin(c))
+
+
+def address_steps(c: Column) -> Column:
+    """ADDRESS_STEPS; those of the states run only where one of their names stands."""
+    c = steps(c, CODE_STEPS)
+    names = "|".join(sorted(STATES, key=lambda k: (-len(k), k)))
+    return F.when(c.rlike(rf"(^|[^a-z])({names})($|[^a-z])"), steps(c, ADDRESS_STEPS[len(CODE_STEPS) :])).otherwise(c)
 
 
 def numbers(toks: Column) -> Column:

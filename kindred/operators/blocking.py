@@ -27,8 +27,9 @@ def frequencies(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     return df.join(sizes, "part").select("part", "tok", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf"), "n")
 
 
-def pruned(freq: DataFrame) -> DataFrame:
-    cap = F.greatest(F.lit(float(LEAST_CAP)), F.least(F.col("n") * MAX_SHARE, F.lit(float(MAX_RECORDS))))
+def pruned(freq: DataFrame, share: float = MAX_SHARE, most: int = MAX_RECORDS) -> DataFrame:
+    """The tokens that are rare enough; a smaller share suits texts of many words, whose rare ones suffice to find them."""
+    cap = F.greatest(F.lit(float(LEAST_CAP)), F.least(F.col("n") * share, F.lit(float(most))))
     return freq.where(F.col("df") <= cap)
 
 

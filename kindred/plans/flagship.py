@@ -9,6 +9,7 @@ from kindred.functions import normalize as N
 from kindred.operators import blocking, decision
 from kindred.plans.texts import sizes
 from kindred.sources.files import id_lists
+from kindred.sources.shared import table
 from kindred.sources.tables import records
 
 
@@ -20,8 +21,8 @@ def resolve(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """
     r = records(spark, d)
     toks = F.concat(N.tokens(N.fold_latin(F.col("name"))), F.transform(N.tokens(N.clean_address(F.col("addr"))), lambda w: F.concat(F.lit("@"), w)))
-    t = blocking.token_table(r, toks)
-    w = blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes(spark, d))))
+    t = table(blocking.token_table(r, toks), "tokens")
+    w = table(blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes(spark, d)), share=0.004)), "weights")
     pairs = blocking.top_forward(blocking.cosines(w), k)
     scored = pairs.select("s1", "cand", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("score"))).alias("p"))
     chosen = decision.run_policy(scored, "hard")

@@ -11,6 +11,7 @@ from kindred.functions import records as R
 from kindred.functions import strings as S
 from kindred.operators import blocking, dense, ranking
 from kindred.plans.contract import Catalogue
+from kindred.sources.shared import table
 from kindred.sources.tables import read, records
 
 C = Catalogue()
@@ -184,7 +185,8 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def toks(spark: SparkSession, d: str, which: str = "name") -> DataFrame:
-    return blocking.token_table(records(spark, d), name_toks() if which == "name" else addr_toks())
+    """Tokens, normalized once for all that reads them."""
+    return table(blocking.token_table(records(spark, d), name_toks() if which == "name" else addr_toks()), f"tokens-{which}")
 
 
 def weights(spark: SparkSession, d: str, which: str = "name") -> DataFrame:
@@ -193,7 +195,7 @@ def weights(spark: SparkSession, d: str, which: str = "name") -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str, which: str = "name") -> DataFrame:
-    return blocking.cosines(weights(spark, d, which))
+    return blocking.cosines(table(weights(spark, d, which), f"weights-{which}"))
 
 
 @C.add("default_idf", "part:s tok:s df:i idf:d fallback:d", f"SELECT part, tok, df, idf, max(idf) OVER (PARTITION BY part) AS fallback FROM ({FREQ(TOK)})")
