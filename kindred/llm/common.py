@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import ship as package
+from kindred.sources.shared import table
+
+__all__ = ["SPACES", "SPACES_RE", "parts", "ship", "small", "table", "without", "words_of"]
 
 
 #: The six ASCII white-space characters that separate words, as text and as a Java regular expression.
@@ -36,25 +34,6 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-    return where
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already written) marked for broadcast if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
