@@ -351,12 +351,11 @@ def _(spark, d):
 @C.add("chunked_scoring_stream", "event_id:i q:d", "SELECT event_id, 1 / (1 + exp(-value / 100)) AS q FROM events")
 def _(spark, d):
     """Events scored in micro-batches with resume; input, output and state in the shared folder of spark.checkpoint.dir."""
-    import tempfile
     import uuid
 
+    from kindred.sources.shared import shared_dir
     from kindred.streaming.chunks import run_chunks
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kindred-stream-")
-    root = f"{shared}/chunks-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     read(spark, d, "events").repartition(4).write.parquet(f"{root}/in")
     return run_chunks(spark, f"{root}/in", f"{root}/out", f"{root}/state", lambda b: b.withColumn("q", X.sigmoid(F.col("value") / 100)), 2)

@@ -10,15 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-    return where
+    if where:
+        return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        folder = tempfile.mkdtemp(prefix="kindred-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own[app] = f"file://{folder}"
+    return _own[app]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
