@@ -125,3 +125,21 @@ def test_expected_f_against_all_outcomes(spark):
         assert got[i][0] == pytest.approx(want, abs=1e-9)
         assert want[got[i][1]] == pytest.approx(max(want), abs=1e-8)
     assert one(spark, [([0.9, 0.6, 0.2],)], "p array<double>", decision.pmf(F.col("p")))[0][0] == pytest.approx([0.032, 0.344, 0.516, 0.108])
+
+
+def test_metrics_from_sql(spark):
+    S.register(spark)
+    assert spark.sql("SELECT jaro_winkler('martha', 'marhta'), lcs_similarity('abc', 'xbc'), token_set_ratio(NULL, 'a')").first()[:] == pytest.approx((0.9611111, 2 / 3, None), abs=1e-6)
+
+
+def test_every_query_named_in_the_coverage_is_registered():
+    import re
+    from pathlib import Path
+
+    import __spark_entry__ as driver
+
+    known = driver.queries()
+    text = Path(__file__).resolve().parents[1].joinpath("COVERAGE.md").read_text()
+    for row in text.split("\n")[6:]:
+        for name in re.findall(r"`(\w+)`", row.rsplit("|", 2)[-2]) if row else ():
+            assert name in known, name
