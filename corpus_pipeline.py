@@ -15,6 +15,7 @@ from kindred.llm.quality import clean
 from kindred.llm.queries import tokenizer_path
 from kindred.llm.secret_scan import without_secrets
 from kindred.llm.simhash import one_of_each
+from kindred.sources.tables import spread
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (_, stage) in enumerate(STAGES):
         docs = table(stage(spark, docs, sf_dir), f"stage-{i}")
     return docs

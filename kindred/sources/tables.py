@@ -12,6 +12,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is read in fewer pieces than there are: a small file is one split, and texts take long to
+    normalize. Tables of more splits than cores, which all large ones are, are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Entity records made of ``documents``: (entity_id, doc_id, src, cty, name, addr, text). A fifth are anchors (S1), the
     rest pool (S2, S3); the name is a text's first line, the address all others."""
@@ -19,7 +26,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     r = F.pmod("doc_id", F.lit(5))
     src = F.when(r == 0, "S1").when(r <= 2, "S2").otherwise("S3")
     cut = F.instr(t, "\n")
-    return read(spark, d, "documents").select(
+    return spread(read(spark, d, "documents").select("doc_id", "lang", "text")).select(
         F.concat_ws("-", src, F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("entity_id"),
         "doc_id",
         src.alias("src"),
