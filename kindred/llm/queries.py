@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.oracles import ORACLES
+from kindred.sources.tables import spread
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
