@@ -102,7 +102,8 @@ def address_steps(c: Column) -> Column:
     """ADDRESS_STEPS; those of the states run only where one of their names stands."""
     c = steps(c, CODE_STEPS)
     names = "|".join(sorted(STATES, key=lambda k: (-len(k), k)))
-    return F.when(c.rlike(rf"(^|[^a-z])({names})($|[^a-z])"), steps(c, ADDRESS_STEPS[len(CODE_STEPS) :])).otherwise(c)
+    one = lambda x: F.when(x.rlike(rf"(^|[^a-z])({names})($|[^a-z])"), steps(x, ADDRESS_STEPS[len(CODE_STEPS) :])).otherwise(x)
+    return F.get(F.transform(F.array(c), one), F.lit(0))  # bound to a variable, the steps so far run once
 
 
 def numbers(toks: Column) -> Column:

@@ -17,8 +17,11 @@ MAX_SHARE, MAX_RECORDS, LEAST_CAP = 0.02, 3000, 25
 
 
 def token_table(records: DataFrame, toks: Column) -> DataFrame:
-    """(part, side, id, tok) of records (cty, src, doc_id)."""
-    return records.select(F.col("cty").alias("part"), (F.col("src") != "S1").cast("int").alias("side"), F.col("doc_id").alias("id"), F.explode(toks).alias("tok"))
+    """(part, side, id, tok) of records (cty, src, doc_id).
+
+    The outer form, as for the inner one Spark would work out all tokens a second time to see whether there are any.
+    """
+    return records.select(F.col("cty").alias("part"), (F.col("src") != "S1").cast("int").alias("side"), F.col("doc_id").alias("id"), F.explode_outer(toks).alias("tok")).where("tok is not null")
 
 
 def frequencies(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
