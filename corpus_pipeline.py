@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from kindred.llm.bpe import tokenize
 from kindred.llm.common import table
 from kindred.llm.mixing import mixed
+from kindred.llm.nearcopies import one_of_each
 from kindred.llm.quality import clean
 from kindred.llm.queries import tokenizer_path
 from kindred.llm.secret_scan import without_secrets
-from kindred.llm.simhash import one_of_each
 from kindred.sources.tables import spread
 
 
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more): that of the smallest doc_id."""
     return one_of_each(docs)
 
 

@@ -239,11 +239,15 @@ def _labelled(prints: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less all but the document of the smallest id of each component, same columns. Of rows of equal id one stays;
     rows of a null id are in no component and stay."""
-    prints = table(fingerprints(docs, doc_id, text), "fingerprints")
+    return without_others(docs, _labelled(table(fingerprints(docs, doc_id, text), "fingerprints")), doc_id)
+
+
+def without_others(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` less the documents that ``labelled`` (doc_id, component_id; a row for each of theirs) has under another's id."""
     id_ = F.col(f"`{doc_id}`")
-    others = table(_labelled(prints).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "others")
+    others = table(labelled.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "others")
     left = docs.join(others, id_ == F.col("__id"), "left_anti")
-    again = table(prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    again = table(labelled.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
     if not again.limit(1).count():
         return left
     once = left.join(again, id_ == F.col("__id"), "left_semi").dropDuplicates([doc_id])

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kindred.llm import ann, bpe, chat, common, graph, htmltext, mixing, quality, queries, secret_scan, simhash, substring, warc
+from kindred.llm import ann, bpe, chat, common, graph, htmltext, mixing, nearcopies, quality, queries, secret_scan, simhash, substring, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -400,6 +400,35 @@ def test_trie_join_of_clusters(spark, monkeypatch, crowded):
     assert {k: got.get(k, k) for k in first.values()} == {k: want[k] for k in first.values()}
 
 
+def test_near_copies_down_to_the_least_similarity(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
+    for k in range(60):
+        base = [word() for _ in range(r.randint(60, 400))]
+        for m in range(1 + k % 7):  # changed words scattered over the text, some pairs above and some below the least
+            t = list(base)
+            for _ in range(int(len(t) * 0.03 * m / 6 * r.random() * 2)):
+                t[r.randrange(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    sets = [set(nearcopies.shingles(t).tolist()) for _, t in rows]
+    best = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            best[a] = best[b] = min(best[a], best[b])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(df).collect()} == dict(enumerate(best))
+    stage = dict(corpus_pipeline.STAGES)["near-duplicates"]
+    assert sorted(x["doc_id"] for x in stage(spark, df, "").collect()) == sorted(set(best))
+    assert nearcopies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_open_buckets_are_joined_by_any_pair():
+    a, b, c = (np.arange(x, x + 100, dtype=np.uint64) for x in (0, 10, 20))  # a-b and b-c are near, a-c is not
+    assert nearcopies.joins(np.array([7, 8, 9]), np.array([7, 8, 9]), [a, c, b]) == [(7, 9), (8, 9)]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(50)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
