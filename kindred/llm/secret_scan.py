@@ -1,6 +1,8 @@
 """Secret scans: three base patterns, and a battery of randomness tests for strings that no pattern names.
 
-A candidate is a run of 20 or more characters of base64's two alphabets. Its encoding is inferred: the smallest of
+A candidate is a run of 20 or more characters of base64's two alphabets; '=' belongs to it as padding at its end only, so a
+value is apart from the name before it. Where a run mixes both alphabets or fails the tests below as a whole, as a value in a path
+does, its pieces between '/' or '+' and those between '_' or '-' are candidates, if they are long enough. Its encoding is inferred: the smallest of
 hexadecimal (either case), base32, letters and digits, and base64 that holds all its characters and needs at least one
 of them. Three tests ask whether its symbols could be drawn at random from that alphabet: chi-squared for uniformity,
 runs above and below the alphabet's middle, and lag-1 serial correlation. A candidate passes if none rejects.
@@ -30,7 +32,11 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: At least 14 characters, as base32 has up to six of padding.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+MIN_RUN = 20
+#: What a piece of a run holds: base64url's characters, or base64's.
+PIECES = (re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9+/]+=*"))
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_SECRET = 6
 #: Level at which one of the three tests rejects randomness, and the share of false finds that is allowed.
@@ -56,10 +62,10 @@ PROSE_SAME_HEX = 0.26
 
 
 def encoding(s: str) -> str | None:
-    """The smallest encoding that holds ``s`` without its padding; None for letters only or digits only."""
+    """The smallest encoding that holds ``s`` without its padding; None for digits only, and without digits for letters of one case."""
     s = s.rstrip("=")
     seen = set(s)
-    if not seen & set(DIGITS) or not seen - set(DIGITS):
+    if not seen - set(DIGITS) or not seen & set(DIGITS) and not (seen & set(UPPER) and seen & set(LOWER)):
         return None
     return next((k for k, v in _SETS.items() if seen <= v), None)
 
@@ -100,21 +106,35 @@ def prose_p(chi: float, n: int, kind: str) -> float:
     return _tail((d + shift - chi) / math.sqrt(2 * (d + 2 * shift)))
 
 
+def tested(start: int, s: str) -> tuple[float, int, int] | None:
+    """(probability of prose, start, end) of a candidate, 1 if the battery rejects it; None if it is in no encoding."""
+    kind = encoding(s)
+    if kind is None:
+        return None
+    *ps, chi = battery(s, kind)
+    return (prose_p(chi, len(s.rstrip("=")), kind) if min(ps) >= REJECT else 1.0), start, start + len(s)
+
+
 def random_spans(runs: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    """Of the candidates (start, string) of one document, the spans that the battery and the false-discovery control find."""
-    tested = []
+    """Of the runs (start, string) of one document, the spans that the battery and the false-discovery control find; overlapping
+    ones are joined."""
+    found: list[tuple[float, int, int]] = []
     for start, s in runs:
-        kind = encoding(s)
-        if kind is None:
-            continue
-        *ps, chi = battery(s, kind)
-        if min(ps) >= REJECT:
-            tested.append((prose_p(chi, len(s.rstrip("=")), kind), start, start + len(s)))
+        whole = tested(start, s)
+        if whole is not None:
+            found.append(whole)
+        if whole is None or whole[0] == 1.0:
+            pieces = {(start + m.start(), m[0]) for p in PIECES for m in p.finditer(s) if MIN_RUN <= len(m[0]) < len(s)}
+            found += [t for at, x in sorted(pieces) if (t := tested(at, x)) is not None]
+    found.sort()
+    last = max((i for i, (p, *_) in enumerate(found, 1) if p <= FALSE_SHARE * i / len(found)), default=0)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found[:last]):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            tested.append((1.0, start, start + len(s)))
-    tested.sort()
-    last = max((i for i, (p, *_) in enumerate(tested, 1) if p <= FALSE_SHARE * i / len(tested)), default=0)
-    return sorted((a, b) for _, a, b in tested[:last])
+            out.append((a, b))
+    return out
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -124,7 +144,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if any(k in low for k in KEYWORDS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_SECRET]
     # both other patterns match inside runs only, as their characters are a run's and their matches longer than the least run
-    runs = [(m.start(), m[0]) for m in RUN.finditer(text)]
+    runs = [(m.start(), m[0]) for m in RUN.finditer(text) if len(m[0]) >= MIN_RUN]
     for at, s in runs:
         out += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(s)]
         out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(s)]

@@ -263,6 +263,25 @@ def test_secrets(docs, empty):
     assert clean[10].startswith("[secret]") and clean[4] == prose(80, 1) and clean[0] is None
 
 
+@pytest.mark.parametrize("form", ["AUTH_KEY={}", "x https://a.example/get?sig={}&n=1 y", "id={}\n", "see /v1/x_y/{} there", "my_name_{}", "HMAC_2=={}", "/srv/data/some_files/v2/{}/x"])
+def test_random_values_are_apart_from_their_names(form):
+    r = random.Random(form)
+    values = ["".join(r.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)) for _ in range(100)]
+    spans = lambda v: [(a, b) for a, k, b in secret_scan.scan(form.format(v)) if k == 3]
+    at = form.index("{")
+    assert sum(any(a <= at and b >= at + 40 for a, b in spans(v)) for v in values) >= 90
+    words = ["andwhenthemorningcametheyallwenthomeagain", "internationalisationofthingswithnumbers1", "getElementsByTagNameAndTheirAttributesOf"]
+    assert not any(spans(w) for w in words)
+
+
+def test_random_values_without_a_digit_and_with_padding():
+    r = random.Random(4)
+    letters = ["".join(r.choice(secret_scan.UPPER + secret_scan.LOWER) for _ in range(40)) for _ in range(100)]
+    assert sum(bool(secret_scan.random_spans([(0, x)])) for x in letters) >= 80
+    padded = "".join(r.choice(secret_scan.ENCODINGS["base64"]) for _ in range(42)) + "=="
+    assert secret_scan.scan(f"k={padded} z") == [(2, 3, 46)]
+
+
 def test_battery_tells_random_from_prose():
     r = random.Random(9)
     found = sum(bool(secret_scan.random_spans([(0, "".join(r.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)))])) for _ in range(300))
