@@ -52,6 +52,21 @@ def cosines(w: DataFrame, least: float = 1e-9) -> DataFrame:
     return s.where(F.col("score") > least)
 
 
+def copies(tokens: DataFrame, w: DataFrame, k: int) -> DataFrame:
+    """(part, s1, cand, score) of records of which no token is left in ``w``: those of the very same tokens, whose cosine is 1.
+
+    The pool's records are grouped first, a group's k smallest ids in one row: with equal scores no others are among an anchor's k best.
+    """
+    ids = ["part", "side", "id"]
+    left = tokens.join(w.select(*ids).distinct(), ids, "left_anti").groupBy(*ids).agg(F.sha2(F.to_json(F.sort_array(F.collect_list("tok"))), 256).alias("h"))
+    best = lambda *by: F.row_number().over(Window.partitionBy("part", "h", *by).orderBy("id"))
+    pool = left.where("side = 1").withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(64)))
+    pool = pool.withColumn("r", best("deal")).where(F.col("r") <= k).withColumn("r", best()).where(F.col("r") <= k)
+    groups = pool.groupBy("part", "h").agg(F.collect_list("id").alias("cands"))
+    found = left.where("side = 0").select("part", "h", F.col("id").alias("s1")).join(groups, ["part", "h"])
+    return found.select("part", "s1", F.explode("cands").alias("cand"), F.lit(1.0).alias("score"))
+
+
 def top_forward(scores: DataFrame, k: Column | int) -> DataFrame:
     """The k best pool records of each anchor."""
     r = F.row_number().over(Window.partitionBy("s1").orderBy(F.col("score").desc(), "cand"))

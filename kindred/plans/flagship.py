@@ -17,13 +17,14 @@ def resolve(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """(s1, matched_entity_ids) of every anchor of the records made of ``documents``.
 
     Name and address tokens are joined once; the k best pool records of an anchor compete with the mean of both cosines as
-    probability. A pool record goes to the anchor with the best claim.
+    probability. Records whose tokens are all too common meet those of the very same tokens. A pool record goes to the anchor
+    with the best claim.
     """
     r = records(spark, d)
     toks = F.concat(N.tokens(N.fold_latin(F.col("name"))), F.transform(N.tokens(N.clean_address(F.col("addr"))), lambda w: F.concat(F.lit("@"), w)))
     t = table(blocking.token_table(r, toks), "tokens")
-    w = table(blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes(spark, d)), share=0.004)), "weights")
-    pairs = blocking.top_forward(blocking.cosines(w), k)
+    w = table(blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes(spark, d)))), "weights")
+    pairs = blocking.top_forward(blocking.cosines(w).unionByName(blocking.copies(t, w, k)), k)
     scored = pairs.select("s1", "cand", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("score"))).alias("p"))
     chosen = decision.run_policy(scored, "hard")
     anchors = r.where("src = 'S1'").select(F.col("doc_id").alias("s1"))

@@ -87,6 +87,25 @@ def test_end_to_end_quality(spark, folder):
     assert losses + f == pytest.approx(1)
 
 
+def test_records_of_common_tokens_meet_their_copies(spark):
+    rows = [("a", side, i, t) for side, i, text in [(0, 1, "x y"), (0, 2, "x z"), (1, 11, "y x"), (1, 12, "x y"), (1, 13, "x y"), (1, 14, "x"), (0, 3, "x rare"), (1, 15, "x y rare")] for t in text.split()]
+    t = spark.createDataFrame([*rows, ("b", 1, 16, "x"), ("b", 1, 16, "y")], "part string, side int, id bigint, tok string")
+    w = t.where("tok = 'rare'").withColumn("w", F.lit(1.0))
+    assert {(r["s1"], r["cand"], r["score"]) for r in blocking.copies(t, w, 2).collect()} == {(1, 11, 1.0), (1, 12, 1.0)}
+    assert {r["cand"] for r in blocking.copies(t, w, 9).collect()} == {11, 12, 13}
+
+
+def test_flagship_finds_copies_of_common_passages(spark, tmp_path):
+    from kindred.plans.flagship import resolve
+
+    docs = spark.read.parquet(f"{os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001')}/documents.parquet")
+    one = docs.limit(1)
+    same = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma delta").alias("text")).crossJoin(one.drop("doc_id", "text")).select(docs.columns)
+    same.write.parquet(str(tmp_path / "documents.parquet"))
+    lists = resolve(spark, str(tmp_path)).collect()
+    assert lists and any(r["matched_entity_ids"] for r in lists)
+
+
 def test_folds_cover_each_row_once(spark):
     d = spark.range(103).withColumn("g", F.when(F.col("id") < 2, "a").otherwise("b"))
     out = sampling.stratified_folds(d, "id", F.col("g")).collect()
