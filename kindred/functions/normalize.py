@@ -195,6 +195,20 @@ def generator_keys(t: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 6))
 
 
+def shared_keys(t: Column) -> Column:
+    """Keys that a name shares with its website, handle, initials or another order: s_ sorted words; d_ all words joined, without the
+    first, the first two, initials of the first two, of the first three, of all, of all but the last and the last; four characters or more."""
+    w = F.filter(t, lambda x: ~x.rlike("^[0-9]+$"))
+    initials = F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), "")
+    last = F.coalesce(F.get(w, F.size(w) - 1), F.lit(""))
+    d = lambda *c: F.concat(F.lit("d_"), *c)
+    keys = F.array(
+        d(F.array_join(w, "")), F.concat(F.lit("s_"), F.array_join(F.array_sort(w), "_")), d(F.substring(initials, 1, 2)), d(F.left(initials, F.length(initials) - 1), last),
+        d(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), "")), d(F.array_join(F.slice(w, 1, 2), "")), d(F.substring(initials, 1, 3)), d(initials),
+    )
+    return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 4))
+
+
 def char_ngrams(word_list: Column, n: int) -> Column:
     """Character n-grams of each word with a space on both sides."""
     one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) + 2 - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(" "), w, F.lit(" ")).substr(i, F.lit(n)))

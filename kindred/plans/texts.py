@@ -162,6 +162,12 @@ def _(spark, d):
     return records(spark, d).select("doc_id", name_toks().alias("t")).select("doc_id", joined(N.generator_keys(F.col("t"))).alias("keys"))
 
 
+@C.add("shared_keys", "doc_id:i keys:s", f"""SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' ') AS keys FROM (SELECT doc_id, list_filter(['d_' || array_to_string(w, ''), 's_' || array_to_string(list_sort(w), '_'), 'd_' || substr(ini, 1, 2), 'd_' || substr(ini, 1, greatest(length(ini) - 1, 0)) || z, 'd_' || array_to_string(w[2:], ''), 'd_' || array_to_string(w[1:2], ''), 'd_' || substr(ini, 1, 3), 'd_' || ini], lambda x: length(x) >= 4) AS k
+ FROM (SELECT doc_id, w, coalesce(w[len(w)], '') AS z, array_to_string(list_transform(w, lambda x: substr(x, 1, 1)), '') AS ini FROM (SELECT doc_id, list_filter({NAME_SQL}, lambda w: NOT regexp_matches(w, '^[0-9]+$')) AS w FROM ({REC}))))""")
+def _(spark, d):
+    return records(spark, d).select("doc_id", name_toks().alias("t")).select("doc_id", joined(N.shared_keys(F.col("t"))).alias("keys"))
+
+
 @C.add("char_ngrams", "p_name:s n:i grams:i sample:s", "SELECT p_name, count(*) AS n, min(len(g)) AS grams, min(array_to_string(g, '.')) AS sample FROM (SELECT p_name, list_filter(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, greatest(length(w) + 2 - 2, 1) + 1), lambda i: substr(' ' || w || ' ', i, 3)))), lambda x: length(x) = 3) AS g FROM part) GROUP BY p_name")
 def _(spark, d):
     g = read(spark, d, "part").withColumn("g", N.char_ngrams(F.split("p_name", " "), 3))

@@ -82,6 +82,14 @@ def test_acronym_and_keys(spark):
     assert one(spark, [([],)], "t array<string>", N.name_tokens(F.col("t"))) == [([],)]
 
 
+def test_names_share_keys_with_their_other_forms(spark):
+    k = lambda t: set(one(spark, [(t.split(),)], "t array<string>", N.shared_keys(F.col("t")))[0][0])
+    assert k("stewart gustafson cooley") == {"d_stewartgustafsoncooley", "s_cooley_gustafson_stewart", "d_sg", "d_sgcooley", "d_gustafsoncooley", "d_stewartgustafson", "d_sgc"}
+    for name, form in (("stewart gustafson cooley", "sgc"), ("stewart gustafson cooley", "sg"), ("cameron cerrone fields", "ccfields"), ("economic development institute", "developmentinstitute"), ("a1 b c d e", "abcde"), ("ab cd", "cd ab")):
+        assert k(name) & k(form)
+    assert k("acme") == {"d_acme", "s_acme"} and k("") == k("7 8") == set()
+
+
 def test_metrics():
     assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert S.ratio("", "") == 1 and S.ratio("abc", "") == 0
