@@ -5,16 +5,18 @@ merges in rank order; the gadget for a merge (a, b) -> c changes the automaton s
 replaced by c: the state that a's arcs enter loses its arc b, and wherever an arc a leaves, an arc c is added that enters
 the state b's arcs entered. Since all arcs of one label enter one state, the state after a token is named by the token,
 and what is left of a state is which tokens may leave it. After all merges an arc t leaves state s exactly if the two
-stand side by side in some correct encoding, and of all ways to cut a word into tokens just one is a path.
-
-A table of all states by all tokens would have 2.5 billion cells, so each gadget is kept as one row of a table (left
-part, right part, rank) and an arc is looked up by running the gadgets backwards: the arc that was there last was added
-by the younger of the two tokens' gadgets, from an arc of that token's part nearest to the other. Looked-up arcs are kept.
-
-Encoding walks the automaton over the words that the pre-tokenizer's pattern cuts: it takes the longest arc that spells the
-next letters, and steps back from a place where no arc goes on. Only one path spells the whole word, so what it ends
-with is the encoding. Decoding emits the byte labels of the arcs. A word's path is kept for as long as the bounded cache
-holds it.
+stand side by side in some correct encoding, and of all ways to cut a word into tokens just one is a path. The gadgets are
+kept in order, one row each (left part, right part, rank); which arcs leave a state follows from them, the youngest first.
+
+Arcs are spelled out byte by byte and the automaton is made deterministic: a state of the table is the set of arcs that can
+be under way after the bytes so far, each as the token it leaves and the node it has reached in the trie of labels. As
+just one path spells any string, at most one arc ends with each byte: that token is the state's output. A table of all states
+would have no end worth having (the plain one, states by tokens, has 2.5 billion cells), so rows are compiled when a byte
+first leads to them and kept; a table that grows beyond TABLE_CELLS starts anew.
+
+Encoding makes one transition a byte over the words that the pre-tokenizer's pattern cuts, and never steps back; the
+tokens of the path are read from the outputs, from the word's end. Decoding emits the byte labels of the arcs. A
+word's path is kept for as long as the bounded cache holds it.
 """
 
 from __future__ import annotations
@@ -35,9 +37,13 @@ from kindred.llm.common import ship
 #: The pre-tokenizer's pattern of byte-level BPE, and the bytes that stand for themselves in its vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
-#: Words of a generation of a worker's cache, which keeps two, and arcs, after which the arcs' cache starts anew.
+#: Words of a generation of a worker's cache, which keeps two.
 CACHE_WORDS = 200_000
-CACHE_ARCS = 200_000
+#: Transitions that the table may have, after which it starts anew; known arcs likewise.
+TABLE_CELLS = 400_000
+CACHE_ARCS = 400_000
+#: Where a state's number keeps the token that an arc leaves, above the arc's node in the trie.
+LEFT = 32
 #: Bytes of ids after which a worker hands over what it has.
 HELD_BYTES = 4 << 20
 #: A word longer than this is not kept.
@@ -80,12 +86,22 @@ class Automaton:
             if self.merged.setdefault(a * n + b, r) == r and not self.rank[c]:
                 self.rank[c], self.left[c], self.right[c] = r, a, b
         self.arcs: dict[int, bool] = {}
-        # labels that no text leads to are no arcs of the first state; of the others, the longest by their first two bytes
+        # labels that no text leads to are no arcs of the first state
         self.by_label = {x: t for x, t in self.by_label.items() if self.arc(-1, t)}
-        self.arcs.clear()
-        self.reach: dict[bytes, int] = {}
-        for x in self.by_label:
-            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
+        # the trie of labels: (node, byte) -> node, and the token that ends in a node
+        self.down: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for x, t in self.by_label.items():
+            node = 0
+            for byte in x:
+                after = self.down.get(node << 8 | byte)
+                if after is None:
+                    after = self.down[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                node = after
+            self.token[node] = t
+        self.sizes = [len(x) for x in self.labels]
+        self._clear()
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.words = _Paths(self)
@@ -104,7 +120,7 @@ class Automaton:
         return False
 
     def arc(self, s: int, t: int) -> bool:
-        """Whether an arc t leaves the state after s; s is -1 for the first state."""
+        """Whether, after all gadgets, an arc t leaves the state after s; s is -1 for the first state."""
         key = s * self.n + t
         known = self.arcs.get(key)
         if known is None:
@@ -117,43 +133,51 @@ class Automaton:
             self.arcs[key] = known
         return known
 
+    def _clear(self) -> None:
+        """Start the table anew: state 0 is before the first byte, under way from it are the arcs of the first state."""
+        self.states: list[tuple[int, ...]] = [(0,)]  # each arc under way: the token it leaves, plus one, and its node
+        self.known = {self.states[0]: 0}
+        self.output: list[int] = [-1]
+        self.table: dict[int, int] = {}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition from ``state`` by ``byte``: every arc under way goes on in the trie; the one that ends is put out,
+        and the arcs that leave it are under way."""
+        down, token, under_way, ends = self.down, self.token, [], -1
+        for arc in self.states[state]:
+            s, node = (arc >> LEFT) - 1, arc & ((1 << LEFT) - 1)
+            after = down.get(node << 8 | byte)
+            if after is not None:
+                under_way.append((s + 1) << LEFT | after)
+                t = token[after]
+                if t >= 0 and (s < 0 or self.arc(s, t)):
+                    ends = t
+        if ends >= 0:
+            under_way.append((ends + 1) << LEFT)
+        key = (*under_way, ends)
+        to = self.known.get(key)
+        if to is None:
+            to = self.known[key] = len(self.states)
+            self.states.append(tuple(under_way))
+            self.output.append(ends)
+        self.table[state << 8 | byte] = to
+        return to
+
     def path(self, word: bytes) -> list[int]:
-        """The labels of the only path that spells ``word``: from each place the longest arc first; places from which none leads on are left for good."""
-        by_label, reach, arcs, arc, n = self.by_label, self.reach, self.arcs, self.arc, self.n
-        t = by_label.get(word)
-        if t is not None:
-            return [t]
-        labels: list[int] = []
-        sizes: list[int] = []
-        dead: set[int] = set()
-        last, at, length = -1, 0, len(word)
-        size = min(reach.get(word[:2], 1), length)
-        while at < length:
-            while size:
-                t = by_label.get(word[at : at + size])
-                if t is not None and at + size not in dead:
-                    if last < 0:
-                        break
-                    known = arcs.get(last * n + t)
-                    if arc(last, t) if known is None else known:
-                        break
-                size -= 1
-            if size:
-                labels.append(t)
-                sizes.append(size)
-                last = t
-                at += size
-                size = reach.get(word[at : at + 2], 1)
-                if size > length - at:
-                    size = length - at
-            else:
-                dead.add(at)
-                labels.pop()
-                size = sizes.pop()
-                last = labels[-1] if labels else -1
-                at -= size
-                size -= 1
-        return labels
+        """The labels of the only path that spells ``word``: one transition a byte, then the outputs from its end."""
+        if len(self.table) > TABLE_CELLS:
+            self._clear()
+        step, output, state, ends = self.table.get, self.output, 0, []
+        for byte in word:
+            to = step(state << 8 | byte)
+            state = self._compile(state, byte) if to is None else to
+            ends.append(output[state])
+        labels, at, sizes = [], len(word), self.sizes
+        while at:
+            t = ends[at - 1]
+            labels.append(t)
+            at -= sizes[t]
+        return labels[::-1]
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""

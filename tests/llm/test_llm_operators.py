@@ -348,6 +348,27 @@ def test_gadgets_of_a_small_automaton(tmp_path):
             assert [name[t] for t in auto.path(word.encode())] == merged(word)
 
 
+def test_bpe_makes_one_transition_a_byte(tokenizer, monkeypatch):
+    a = bpe.Automaton(queries.tokenizer_path())
+    compiled = []
+    plain = bpe.Automaton._compile
+    monkeypatch.setattr(bpe.Automaton, "_compile", lambda self, state, byte: (compiled.append((state, byte)), plain(self, state, byte))[1])
+    words = [w.encode() for w in (" internationalisation", "thethethe", "xqzzv", "世界世界", "aaaaaaaaaaaaaaaaa", " ", "\n\n\n")]
+    for w in words:
+        a.path(w)
+    assert len(compiled) == len(set(compiled)) == len(a.table) <= sum(map(len, words))
+    compiled.clear()
+    for w in words:
+        state = 0
+        for byte in w:
+            state = a.table[state << 8 | byte]  # a row of the table for each byte, and no other
+        assert a.output[state] == a.path(w)[-1]
+    assert not compiled
+    monkeypatch.setattr(bpe, "TABLE_CELLS", 5)  # a table that starts anew all the time gives the same
+    b = bpe.Automaton(queries.tokenizer_path())
+    assert [b.path(w) for w in words] == [a.path(w) for w in words] == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
 def test_bpe_query(docs, empty, tokenizer):
     got = {r["doc_id"]: r for r in bpe.tokenize(docs, queries.tokenizer_path(), keep_ids=True).collect()}
     for r in docs.collect():
