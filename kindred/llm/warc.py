@@ -1,13 +1,16 @@
 """WARC archives of captures and a two-level index over them.
 
-Archives. Records are gzip members, one after another, in archives of bounded size. A table holds them: a row is an archive,
-its bytes as they would stand in a .warc.gz file, and what an index needs to know of each record. Spark's writers put it
-into any store; ``export`` makes files of it.
-
-Index. The captures' keys (host reversed, then path) are sorted over range partitions. Each partition is a shard: lines in
-compressed blocks of LINES, and a sparse directory of the blocks' first keys. The shards' first keys are the upper level; there
-are as many as range partitions, a setting of the session. A key is found by a binary search among the shards, another in the
-shard's directory, and a read of one block's range; the line then names the archive and the record's range in it.
+Archives. Records are gzip members, one after another, in archives of bounded size. A table holds them: a row is a member, with
+its archive and the place where it begins there; an archive's members in order are the bytes of a .warc.gz file, which
+``export`` writes. The table's files lie in the order of archives and offsets, in small pages whose bounds the files name: a
+reader that is asked for one place reads the pages about it, from any store that Spark reads.
+
+Index. The captures' keys (host reversed, then path) are sorted over range partitions. Each partition is a shard of compressed
+blocks of LINES; the blocks' first keys are its sparse directory, columns of the same table that are read without the blocks. The
+shards' first keys are the upper level; there are as many as range partitions, a setting of the session. A key is found by
+a binary search among the shards, another in the shard's directory, and a read of one block; the line then names the
+archive and the record's range in it. Few asked keys (FEW) read only the blocks and records that they name; many are joined
+with them, block by block and record by record, so no task holds more of the index than a shard's directory.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import base64
 import bisect
 import hashlib
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark import TaskContext
@@ -35,7 +40,13 @@ LEVEL = 1
 NO_PAGE = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CAPTURE = "array<struct<key:string,page:bigint,line:string>>"
+#: Up to so many asked keys, blocks or records are read by their places alone.
+FEW = 64
+#: How the tables are laid out in files: rows groups and pages small enough for reads of one block or record.
+PAGES = {"parquet.block.size": 16 << 20, "parquet.page.size": 64 << 10}
+MEMBER = "archive string, offset bigint, length bigint, key string, page bigint, digest string, url string, member binary"
+BLOCK = "shard int, block int, first_key string, first_page bigint, lines binary"
+PLACE = "page bigint, archive string, offset bigint, length bigint"
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 
 
@@ -79,31 +90,32 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, dict[str, str], bytes]:
 
 
 def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    part, seq = TaskContext.get().partitionId(), 0
-    data, captures, at = [], [], 0
-
-    def archive() -> pd.DataFrame:
-        return pd.DataFrame([(f"{part:06d}-{seq:06d}", b"".join(data), captures)], columns=["archive", "data", "captures"])
-
+    part, seq, at = TaskContext.get().partitionId(), 0, 0
     for b in batches:
+        rows, held = [], 0
         for page, url, html, digest, to in zip(b["page_id"], b["url"], b["html"], b["digest"], b["refers_to"], strict=True):
             page, to = (None if pd.isna(x) else int(x) for x in (page, to))
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = z.compress(record(page, url, (html or "").encode(), digest, to)) + z.flush()
-            key = surt(url)
-            line = json.dumps({"archive": f"{part:06d}-{seq:06d}", "offset": at, "length": len(member), "digest": digest, "url": url}, ensure_ascii=False)
-            captures.append((key, NO_PAGE if page is None else page, line))
-            data.append(member)
+            rows.append((f"{part:06d}-{seq:06d}", at, len(member), surt(url), NO_PAGE if page is None else page, digest, url, member))
             at += len(member)
+            held += len(member)
             if at >= ARCHIVE_BYTES:
-                yield archive()
-                data, captures, at, seq = [], [], 0, seq + 1
-    if captures:
-        yield archive()
+                at, seq = 0, seq + 1
+            if held >= ARCHIVE_BYTES:
+                yield pd.DataFrame(rows, columns=_MEMBER)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_MEMBER)
+
+
+_MEMBER = [x.split()[0] for x in MEMBER.split(", ")]
+_BLOCK = [x.split()[0] for x in BLOCK.split(", ")]
+_PLACE = [x.split()[0] for x in PLACE.split(", ")]
 
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """The archives (archive, data, captures) of ``pages``, written: of equal payloads of LEAST_PAYLOAD bytes or more that of the
+    """The archives of ``pages``, written, a row for each record (MEMBER): of equal payloads of LEAST_PAYLOAD bytes or more that of the
     largest page_id is a response and others revisit it, smaller payloads are all responses."""
     ship(pages.sparkSession)
     body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
@@ -113,39 +125,42 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     d = d.join(again, (F.col("digest") == F.col("__d")) & (F.col("bytes") == F.col("__b")), "left")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("largest"))
     d = d.select("page_id", "url", "html", "digest", F.when(other, F.col("largest")).alias("refers_to"))
-    return table(d.mapInPandas(_written, f"archive string, data binary, captures {CAPTURE}"), "archives")
+    return table(d.mapInPandas(_written, MEMBER), "archives", PAGES)
 
 
 def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A sorted range of captures -> one shard: its blocks, and the directory of their first keys and ranges."""
-    blocks, directory, lines, at = [], [], [], 0
-    shard = TaskContext.get().partitionId()
+    """A sorted range of captures -> the blocks of one shard, each with its first key."""
+    shard, block = TaskContext.get().partitionId(), 0
+    lines: list[tuple[str, int, str]] = []
 
-    def close() -> None:
-        nonlocal at
+    def close() -> pd.DataFrame:
+        nonlocal block
         z = zlib.compress("\n".join(f"{k} {p} {x}" for k, p, x in lines).encode(), 6)
-        directory.append((lines[0][0], lines[0][1], at, len(z)))
-        blocks.append(z)
-        at += len(z)
+        out = pd.DataFrame([(shard, block, lines[0][0], lines[0][1], z)], columns=_BLOCK)
+        block += 1
         lines.clear()
+        return out
 
     for b in batches:
-        for row in zip(b["key"], b["page"], b["line"], strict=True):
-            lines.append(row)
+        for key, page, archive, offset, length, digest, url in zip(b["key"], b["page"], b["archive"], b["offset"], b["length"], b["digest"], b["url"], strict=True):
+            lines.append((key, page, json.dumps({"archive": archive, "offset": offset, "length": length, "digest": digest, "url": url}, ensure_ascii=False)))
             if len(lines) == LINES:
-                close()
+                yield close()
     if lines:
-        close()
-    if directory:
-        yield pd.DataFrame([(shard, directory[0][0], directory[0][1], b"".join(blocks), json.dumps(directory))], columns=["shard", "first_key", "first_page", "blocks", "directory"])
+        yield close()
 
 
 def index(archives: DataFrame) -> DataFrame:
-    """The shards (shard, first_key, first_page, blocks, directory) of archives, written."""
+    """The blocks of the index over archives (BLOCK), written; rows of one key and page, too, may lie in several shards."""
     n = parts(archives.sparkSession)
-    c = archives.select(F.explode("captures").alias("c")).select("c.*")
-    c = c.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page")
-    return table(c.mapInPandas(_shard, "shard int, first_key string, first_page bigint, blocks binary, directory string"), "index")
+    c = archives.select("key", "page", "archive", "offset", "length", "digest", "url")
+    c = c.repartitionByRange(n, "key", "page", "archive", "offset").sortWithinPartitions("key", "page", "archive", "offset")
+    return table(c.mapInPandas(_shard, BLOCK), "index", PAGES)
+
+
+def around(firsts: list[tuple[str, int]], w: tuple[str, int]) -> range:
+    """The places in ``firsts``, sorted first keys, of the pieces that may hold ``w``: equal keys may run on into the next."""
+    return range(max(0, bisect.bisect_left(firsts, w) - 1), max(1, bisect.bisect_right(firsts, w)))
 
 
 def _to_shard(heads: list[tuple[str, int, int]]):
@@ -153,68 +168,92 @@ def _to_shard(heads: list[tuple[str, int, int]]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = [surt(u) for u in b["url"]]
-            at = [heads[max(0, bisect.bisect_right(firsts, (k, p)) - 1)][2] for k, p in zip(key, b["page"], strict=True)]
-            yield pd.DataFrame({"shard": pd.Series(at, dtype="int32"), "key": key, "page": b["page"]})
+            rows = [(heads[i][2], *w) for w in zip((surt(u) for u in b["url"]), b["page"], strict=True) for i in around(firsts, w)]
+            yield pd.DataFrame(rows, columns=["shard", "key", "page"])
 
     return run
 
 
-def find(wanted: set[tuple[str, int]], directory: str, blocks: bytes) -> Iterator[tuple[int, dict]]:
-    """(page, what its line says) of the wanted (key, page) of one shard; reads the ranges of the blocks they are in."""
-    entries = json.loads(directory)
-    firsts = [(k, p) for k, p, *_ in entries]
-    by_block: dict[int, set[tuple[str, int]]] = {}
-    for w in wanted:
-        # equal lines may run on from one block into the next
-        for i in range(max(0, bisect.bisect_left(firsts, w) - 1), max(1, bisect.bisect_right(firsts, w))):
-            by_block.setdefault(i, set()).add(w)
-    for i, some in sorted(by_block.items()):
-        _, _, at, length = entries[i]
-        for line in zlib.decompress(blocks[at : at + length]).decode().split("\n"):
-            key, page, said = line.split(" ", 2)
-            if (key, int(page)) in some:
-                yield int(page), json.loads(said)
+def _to_block(asked: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
+    """A binary search in the directory of one shard for each key asked of it."""
+    entries = sorted(zip(directory["first_key"], directory["first_page"], directory["block"], strict=True))
+    firsts = [e[:2] for e in entries]
+    wanted = sorted(set(zip(asked["key"], asked["page"], strict=True)))
+    rows = [(int(directory["shard"].iloc[0]), entries[i][2], *w) for w in wanted for i in around(firsts, w)] if entries else []
+    return pd.DataFrame(rows, columns=["shard", "block", "key", "page"])
 
 
-def _located(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+def _in_block(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """What the lines of one block say of the keys asked of it."""
     wanted = set(zip(asked["key"], asked["page"].astype(int), strict=True))
-    got = [(p, x["archive"], x["offset"], x["length"]) for d, b in zip(shard["directory"], shard["blocks"], strict=True) for p, x in find(wanted, d, b)]
-    return pd.DataFrame(got, columns=["page", "archive", "offset", "length"])
+    rows = []
+    for z in block["lines"]:
+        for line in zlib.decompress(z).decode().split("\n"):
+            key, page, said = line.split(" ", 2)
+            if (key, int(page)) in wanted:
+                x = json.loads(said)
+                rows.append((int(page), x["archive"], x["offset"], x["length"]))
+    return pd.DataFrame(rows, columns=_PLACE)
+
+
+def _places(rows: DataFrame, *cols: str) -> list[tuple] | None:
+    """The distinct values of ``cols`` in ``rows``, which are written; None if they are more than FEW."""
+    some = rows.select(*cols).distinct().limit(FEW + 1).collect()
+    return [tuple(r) for r in some] if len(some) <= FEW else None
+
+
+def _at(df: DataFrame, places: list[tuple] | None, *cols: str) -> DataFrame:
+    """``df`` at ``places`` only: predicates that reach the files, of which then only some pages are read."""
+    if places is None:
+        return df
+    each = [reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in zip(cols, p, strict=True)]) for p in places]
+    return df.where(reduce(or_, each)) if each else df.where(F.lit(False))
 
 
-def lookup(shards: DataFrame, asked: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def lookup(blocks: DataFrame, asked: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page, archive, offset, length) of all captures of the asked (url, page_id); those not in the index have no rows."""
-    spark = shards.sparkSession
-    ship(spark)
+    ship(blocks.sparkSession)
+    directory = blocks.select("shard", "block", "first_key", "first_page")
     # one small row for each range partition: as many as spark.sql.shuffle.partitions at most
-    heads = sorted(tuple(r) for r in shards.select("first_key", "first_page", "shard").collect())
+    heads = sorted(tuple(r["h"]) for r in directory.groupBy("shard").agg(F.min(F.struct("first_key", "first_page", "shard")).alias("h")).collect())
     a = asked.select(F.coalesce(F.col(f"`{page_id}`").cast("bigint"), F.lit(NO_PAGE)).alias("page"), F.col(f"`{url}`").alias("url"))
-    if not heads:
-        return a.where(F.lit(False)).select("page", F.lit("").alias("archive"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).cast("bigint").alias("length"))
-    a = a.mapInPandas(_to_shard(heads), "shard int, key string, page bigint")
-    return a.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(_located, "page bigint, archive string, offset bigint, length bigint")
-
-
-def _read(where: pd.DataFrame, archive: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for data in archive["data"]:
-        for page, at, length in zip(where["page"], where["offset"], where["length"], strict=True):
-            warc, _, http, payload = parse(zlib.decompress(data[at : at + length], 31))
+    few = a.limit(FEW + 1).count() <= FEW
+    a = a.mapInPandas(_to_shard(heads), "shard int, key string, page bigint") if heads else a.select(F.lit(0).alias("shard"), F.col("url").alias("key"), "page").where(F.lit(False))
+    if few:
+        a = table(a, "asked")
+        directory = _at(directory, _places(a, "shard"), "shard")
+    hit = a.groupBy("shard").cogroup(directory.groupBy("shard")).applyInPandas(_to_block, "shard int, block int, key string, page bigint")
+    if few:
+        hit = table(hit, "hit")
+        blocks = _at(blocks, _places(hit, "shard", "block"), "shard", "block")
+    return hit.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(_in_block, PLACE)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for page, member in zip(b["page"], b["member"], strict=True):
+            warc, _, http, payload = parse(zlib.decompress(member, 31))
             digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
             kind = warc["warc-type"]
             if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"record {warc['warc-record-id']} is damaged")
             to = warc.get("warc-refers-to", "<urn:page:>")[len("<urn:page:") : -1]
             rows.append((None if page == NO_PAGE else page, len(payload) if kind == "response" else int(http["content-length"]), digest, kind, int(to) if to else None, warc["warc-target-uri"]))
-    out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
-    return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+        out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
+        yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
 
 def read(archives: DataFrame, where: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of the records at (archive, offset, length)."""
-    data = archives.select("archive", "data")
-    return where.groupBy("archive").cogroup(data.groupBy("archive")).applyInPandas(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of the records at (archive, offset).
+
+    Few places are read by themselves; up to the size bound of a broadcast the archives are read in place; beyond it records
+    meet the asked places in a join on both columns, which are even whatever is asked.
+    """
+    where = table(where.select("page", F.col("archive").alias("__archive"), F.col("offset").alias("__offset")), "where")
+    data = _at(archives.select("archive", "offset", "member"), _places(where, "__archive", "__offset"), "archive", "offset")
+    found = data.join(small(where), (F.col("archive") == F.col("__archive")) & (F.col("offset") == F.col("__offset")))
+    return found.select("page", "member").mapInPandas(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -228,11 +267,34 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return read(archives, lookup(index(archives), pages, page_id, url))
 
 
-def export(archives: DataFrame, folder: str) -> list[str]:
-    """Write each archive to ``folder`` as a .warc.gz file, one at a time; for a file system that the driver has."""
-    out = []
-    for r in archives.select("archive", "data").toLocalIterator():
-        p = Path(folder, f"{r['archive']}.warc.gz")
-        p.write_bytes(bytes(r["data"]))
-        out.append(str(p))
-    return out
+def _exported(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = out = None
+        for b in batches:
+            done = []
+            for archive, member in zip(b["archive"], b["member"], strict=True):
+                if archive != name:
+                    if out is not None:
+                        done.append(close(out, name))
+                    name = archive
+                    out = open(f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}", "wb")  # noqa: SIM115
+                out.write(member)
+            yield pd.DataFrame({"path": done})
+        if out is not None:
+            yield pd.DataFrame({"path": [close(out, name)]})
+
+    def close(out, name: str) -> str:
+        out.close()
+        path = f"{folder}/{name}.warc.gz"
+        os.replace(out.name, path)  # a task that is run again writes the same file
+        return path
+
+    return run
+
+
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive to ``folder``, which all executors must have, as a .warc.gz file; (path) of each. Every archive is
+    written by one task, none passes through the driver."""
+    ship(archives.sparkSession)
+    a = archives.select("archive", "offset", "member").repartition(parts(archives.sparkSession), "archive").sortWithinPartitions("archive", "offset")
+    return a.mapInPandas(_exported(folder), "path string")

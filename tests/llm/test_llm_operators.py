@@ -98,13 +98,46 @@ def test_warc_files_and_lookup(spark, tmp_path):
     i = warc.index(a)
     some = warc.lookup(i, df.where("page_id in (0, 1, 777, 1999)").unionByName(spark.createDataFrame([(5, "http://nowhere/", "")], "page_id long, url string, html string")))
     assert by(warc.read(a, some), "page_id") == [(0,), (1,), (1999,), (777,)]
-    (f, *_) = warc.export(a, str(tmp_path))
+    paths = sorted(r["path"] for r in warc.export(a, str(tmp_path)).collect())
+    assert len(paths) == a.select("archive").distinct().count() == len(list(tmp_path.iterdir()))
     z = zlib.decompressobj(31)
-    head, block, http, payload = warc.parse(z.decompress(open(f, "rb").read()))
+    head, block, http, payload = warc.parse(z.decompress(open(paths[0], "rb").read()))
     assert head["warc-type"] == "response" and int(http["content-length"]) == len(payload)
     assert warc.surt("https://user@WWW.Example.co.uk:443/A?b#c") == "uk,co,example)/a?b"
 
 
+def test_warc_reads_one_block_and_one_record(spark, monkeypatch):
+    """Bytes that come from the files when one page of many is looked up and read."""
+    monkeypatch.setattr(warc, "LINES", 64)
+    noise = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")), 512) for k in range(16)])
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 97, F.lit(".example.com/"), F.col("id")).alias("url"), noise.alias("html"))
+    a = warc.write(df)
+    i = warc.index(a)
+    stats = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    place = common.table(warc.lookup(i, df.where("page_id = 7777")), "place")
+    start = stats()
+    assert place.count() == 1
+    got = warc.read(a, place).collect()
+    record = stats() - start
+    assert [r["page_id"] for r in got] == [7777] and got[0]["payload_bytes"] == 2048
+    start = stats()
+    warc._at(i, [(0, 3)], "shard", "block").collect()
+    block = stats() - start
+    whole = lambda d: sum(__import__("os").path.getsize(f.removeprefix("file://")) for f in d.inputFiles())
+    assert record < whole(a) / 10 and block < whole(i) / 4
+    assert "PushedFilters: [" in warc._at(i, [(0, 3)], "shard", "block")._jdf.queryExecution().toString()
+    many = warc.read(a, warc.lookup(i, df.where("page_id % 7 = 0")))
+    assert sorted(r["page_id"] for r in many.collect()) == list(range(0, 20_000, 7))
+
+
+def test_warc_of_equal_captures_and_a_very_long_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 8)
+    rows = [(5, "http://a/x", "same")] * 300 + [(6, "http://a/x", "é" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.round_trip(df).groupBy("page_id", "payload_bytes", "record_type").count().collect()
+    assert sorted(tuple(r) for r in got) == [(5, 4, "response", 300), (6, 6_000_000, "response", 1)]
+
+
 # 3 substring dedup
 
 
