@@ -1,6 +1,6 @@
 """Nearest neighbours by cosine: score-aware (anisotropic) four-bit quantisation, table scans, exact reranking.
 
-Training. On at most TRAIN_ROWS rows, chosen by a hash of the id, k-means gives cells, and for each pair of dimensions 16
+Training. On at most TRAIN_ROWS rows, those of the least hashes of the id, k-means gives cells, and for each pair of dimensions 16
 centres quantise what a vector leaves after its cell's centre. The loss of a residual r of x is |r|^2 + (ETA - 1) (r.x)^2 /
 |x|^2: an error along x moves the inner products with x's neighbours, so it costs ETA times as much as one across.
 Codes and centres are chosen for that loss, by coordinate descent and by weighted least squares.
@@ -45,11 +45,17 @@ def taking_part(v: Column) -> Column:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row in double precision, times the power of two that brings its largest component to [0.5, 1): the cosine stays the
+    same to the last bit, and no square of any vector overflows or vanishes."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(axis=1) / 2
     return np.concatenate([(x[i : i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
@@ -180,17 +186,18 @@ def scan(model: Quantiser, kind: np.dtype, ids: bytes, codes: bytes, vectors: by
     cand, qs = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
     x, q = np.frombuffer(vectors, kind).reshape(len(cand), -1), np.frombuffer(qvectors, kind).reshape(len(qs), -1)
     c = np.frombuffer(codes, np.uint8).reshape(len(cand), -1)
-    norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+    exact, exact_q = scaled(x), scaled(q)
+    norm = np.sqrt((exact**2).sum(axis=1))
     for s in range(0, len(qs), 64):
         t = model.tables(q[s : s + 64])
         guess = np.zeros((t.shape[0], len(cand)), np.float32)
         for j in range(c.shape[1]):
             guess += t[:, j][:, c[:, j]]
         for k, g in enumerate(guess):
-            me, v = qs[s + k], q[s + k].astype(np.float64)
+            me, v = qs[s + k], exact_q[s + k]
             least = np.partition(g, len(g) - 1 - SHORTLIST)[len(g) - 1 - SHORTLIST] if len(g) > SHORTLIST + 1 else -np.inf
             i = np.flatnonzero((g >= least) & (cand != me))
-            score = (x[i].astype(np.float64) * v).sum(axis=1) / (norm[i] * np.sqrt((v * v).sum()))
+            score = (exact[i] * v).sum(axis=1) / (norm[i] * np.sqrt((v * v).sum()))
             best = np.lexsort((cand[i], -score))[:NEAREST]
             yield from zip([int(me)] * len(best), cand[i[best]].tolist(), score[best].tolist(), strict=True)
 
@@ -220,7 +227,9 @@ def nearest(vectors: DataFrame, every: int = 50, probed: float = PROBED, vec_id:
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = v.count()
     share = min(1.0, 1.5 * TRAIN_ROWS / max(n, 1))
-    chosen = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(TRAIN_ROWS).select("v").toPandas()["v"]
+    rank = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    # the rows of the least hashes, out of some more than enough
+    chosen = v.where(rank < F.lit(int(share * (1 << 20)) + 1)).orderBy(rank, "id", "v").limit(TRAIN_ROWS).select("v").toPandas()["v"]
     if not len(chosen):
         return empty
     lengths = chosen.map(len)
