@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,21 +31,40 @@ REPLY = {
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def canonical(x) -> str:
-    """JSON with sorted keys, no spaces, characters as they are; numbers that are whole are written as integers."""
+def number(v: float) -> str:
+    """A finite double as ECMAScript writes it: the shortest digits that read back as the same, with an exponent from 1e21 and below 1e-6."""
+    if not math.isfinite(v):
+        raise ValueError("not a JSON number")
+    if v == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(v)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent  # the value is 0.text times ten to the power of point
+    n = len(text)
+    if n <= point <= 21:
+        out = text + "0" * (point - n)
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text[0] + (f".{text[1:]}" if n > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + out
 
-    def plain(v):
-        if isinstance(v, dict):
-            return {k: plain(v[k]) for k in sorted(v)}
-        if isinstance(v, list):
-            return [plain(y) for y in v]
-        if isinstance(v, float):
-            if not math.isfinite(v):
-                raise ValueError("not a JSON number")
-            return int(v) if v.is_integer() and abs(v) < 1 << 53 else v
-        return v
 
-    return json.dumps(plain(x), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+def canonical(x) -> str:
+    """JSON in the canonical form of RFC 8785: no spaces, keys in order of UTF-16, characters as they are, numbers as ECMAScript
+    writes them; but integers keep all their digits. Raises ValueError for what that form can't hold: numbers that aren't
+    finite, and strings that aren't Unicode (lone surrogates)."""
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be"))) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(canonical, x)) + "]"
+    if isinstance(x, float):
+        return number(x)
+    if isinstance(x, str):
+        x.encode()
+    return json.dumps(x, ensure_ascii=False)
 
 
 def _of_type(x, t: str) -> bool:
@@ -150,8 +170,9 @@ def line_of(r, schemas: dict[str, dict]) -> tuple[bool | None, str, str]:
     if r.kind == "call":
         try:
             args = json.loads(r.arguments)
+            canonical(args)
             wrong = faults(args, schemas[r.name]) if r.name in schemas else ["unknown tool"]
-            out["arguments"] = json.loads(canonical(args))
+            out["arguments"] = args
         except (TypeError, ValueError, RecursionError):
             wrong, out["arguments"] = ["not JSON"], r.arguments
         valid, error = not wrong, "; ".join(wrong)
@@ -192,11 +213,11 @@ def conversations_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, Data
     """(calls, results, other rows) of conversations (conv_id, turn, role, text).
 
     An assistant turn whose text is a JSON object with tool_calls makes those calls, each after the calls that its ``after``
-    names; a tool turn of the form {"tool_call_id", "content"} is a result. Where turns are plain, each user turn t calls ``reply`` as
+    names; its content, if it has any, is a text of the assistant; a tool turn of the form {"tool_call_id", "content"} is a result. Where turns are plain, each user turn t calls ``reply`` as
     conv_id:t, after the call two turns before, and the assistant turn t + 1 is its result. Other turns are text.
     """
     t = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    asked = "tool_calls array<struct<id:string,after:array<string>,function:struct<name:string,arguments:string>>>"
+    asked = "content string, tool_calls array<struct<id:string,after:array<string>,function:struct<name:string,arguments:string>>>"
     t = t.withColumn("__j", F.when((F.col("role") == "assistant") & F.coalesce(F.ltrim("text").startswith("{"), F.lit(False)), F.from_json("text", asked)))
     t = t.withColumn("__r", F.when((F.col("role") == "tool") & F.coalesce(F.ltrim("text").startswith("{"), F.lit(False)), F.from_json("text", "tool_call_id string, content string")))
     makes, gives = F.coalesce(F.size("__j.tool_calls") > 0, F.lit(False)), F.col("__r.tool_call_id").isNotNull()
@@ -207,7 +228,10 @@ def conversations_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, Data
     plain = t.where(user).select("conv_id", name(0).alias("call_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), F.array(name(2)).alias("after"))
     results = t.where(gives).select("conv_id", F.col("__r.tool_call_id").alias("call_id"), "turn", F.col("__r.content").alias("content"))
     results = results.unionByName(t.where(reply).select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content")))
-    other = t.where(~(makes | gives | user | reply)).select("conv_id", "turn", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("role").alias("name"), F.lit(None).cast("string").alias("arguments"), F.col("text").alias("content"), F.lit(None).cast("bigint").alias("level"), F.lit(False).alias("linked"))
+    # what a calling turn says beside its calls
+    said = t.where(makes & (F.coalesce("__j.content", F.lit("")) != "")).select("conv_id", "turn", "role", F.col("__j.content").alias("text"))
+    rest = t.where(~(makes | gives | user | reply)).select("conv_id", "turn", "role", "text").unionByName(said)
+    other = rest.select("conv_id", "turn", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("role").alias("name"), F.lit(None).cast("string").alias("arguments"), F.col("text").alias("content"), F.lit(None).cast("bigint").alias("level"), F.lit(False).alias("linked"))
     return own.unionByName(plain), results, other
 
 
@@ -215,7 +239,8 @@ def format_turns(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Da
     """(conv_id, turn, kind, call_id, level, linked, valid, error, line) of every call, result and other turn of conversations.
 
     Rows of a null conv_id are in no conversation: not linked, no level. Null turns, roles and texts are values like any other
-    (a null text is an argument that is missing). Repeated rows have
+    (a null text is an argument that is missing). Arguments that aren't JSON, or hold strings that aren't Unicode, are kept as the
+    text they are and said to be "not JSON"; a calling turn's own content is a row of kind text. Repeated rows have
     equal identifiers and are linked alike. Other columns are not read. An empty table gives no rows.
     """
     spark = turns.sparkSession
