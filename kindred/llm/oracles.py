@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm.quality import BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, SHORT_LINE
-
 #: The words of column ``text`` of a subquery.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_boiler = BOILERPLATE.replace(r"\xA9", r"\x{A9}").replace("'", "''")
+#: The rules of op1 as RE2 has them, written out once more.
+_boiler = r"(?i)\b(licensed under|all rights reserved|copyright (\(c\)|©)|privacy policy|cookie policy|terms of (use|service)|enable javascript|click here|sign up|log ?in to|subscribe (now|to)|read more|share (this|on)|powered by|lorem ipsum)\b"
 
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -16,16 +15,16 @@ r AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, t) AS n FRO
 c AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS p FROM r, (VALUES (0), (1), (2)) v(k)) GROUP BY rid),
 l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 k AS (SELECT rid, l, list_filter(l, lambda x: NOT (
-  (length(x) < {SHORT_LINE} AND NOT regexp_matches(x, '[.,;:!?…。！？]'))
+  NOT regexp_matches(x, '[.,;:!?…。！？]')
   OR (len(regexp_extract_all(x, '[#*$%&|<>~^={{}}\\\x{{BB}}›•\x{{B7}}]')) >= 3 AND len(regexp_extract_all(x, '[#*$%&|<>~^={{}}\\\x{{BB}}›•\x{{B7}}]')) * 25 > length(x))
   OR (len(regexp_extract_all(x, '[!?]{{2,}}|\.{{4,}}')) >= 3 AND len(regexp_extract_all(x, '[!?]{{2,}}|\.{{4,}}')) * 30 > length(x))
-  OR (length(x) <= 240 AND regexp_matches(x, '{_boiler}')))) AS kept FROM l),
+  OR (regexp_matches(x, '{_boiler}') AND len(regexp_extract_all(x, '{_boiler}')) * 400 >= length(x)))) AS kept FROM l),
 s AS (SELECT d.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, len(k.l) - len(list_distinct(k.l)) AS n_dup_lines,
  coalesce(c.n, 0) AS n_repeat_words, len(k.l) AS n_lines, len(k.l) - len(k.kept) AS n_bad_lines, length(array_to_string(k.l, '')) AS chars, length(array_to_string(k.l, '')) - length(array_to_string(k.kept, '')) AS lost_chars
  FROM d JOIN w USING (rid) JOIN k USING (rid) LEFT JOIN c USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
- n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
- NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * lost_chars <= {MAX_LOST_PERCENT} * chars AS kept,
+ n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 40 * chars AS kept,
  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_bad_lines AS BIGINT) AS n_bad_lines, CAST(lost_chars AS BIGINT) AS lost_chars FROM s"""
 
 OP2 = """

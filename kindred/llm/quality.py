@@ -1,5 +1,8 @@
 """Quality rules, line first: each line meets punctuation, navigation and boilerplate rules; a document that loses too much goes.
 
+A line fails without any punctuation; with marks of menus, or shouting, beyond a share of its characters; or if it has a boilerplate
+phrase for every PHRASE_CHARS of them. All rules are asked of lines of every length.
+
 DataFrame functions only. Every document is handled in its own row, so nothing is shuffled.
 """
 
@@ -8,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import without, words_of
+from kindred.llm.common import words_of
 
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_bad_lines", "lost_chars", "clean_text", "kept")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document goes if rules remove more than this share (in percent) of the characters in its lines.
 MAX_LOST_PERCENT = 40
-#: Below so many characters a line without any punctuation is taken for a menu entry or a heading.
-SHORT_LINE = 80
+#: A boilerplate phrase speaks against so many characters of its line.
+PHRASE_CHARS = 400
 BOILERPLATE = (
     r"(?i)\b(licensed under|all rights reserved|copyright (\(c\)|\xA9)|privacy policy|cookie policy|terms of (use|service)|"
     r"enable javascript|click here|sign up|log ?in to|subscribe (now|to)|read more|share (this|on)|powered by|lorem ipsum)\b"
@@ -27,10 +30,10 @@ def _line_fails(line: Column) -> Column:
     n = F.char_length(line)
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>~^={}\\\xBB›•\xB7]"))
     shouts = F.regexp_count(line, F.lit(r"[!?]{2,}|\.{4,}"))
-    unpunctuated = (n < SHORT_LINE) & ~line.rlike(r"[.,;:!?…。！？]")
+    unpunctuated = ~line.rlike(r"[.,;:!?…。！？]")
     navigation = (marks >= 3) & (marks * 25 > n)
     shouting = (shouts >= 3) & (shouts * 30 > n)
-    boilerplate = (n <= 240) & line.rlike(BOILERPLATE)
+    boilerplate = line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PHRASE_CHARS >= n)
     return unpunctuated | navigation | shouting | boilerplate
 
 
@@ -41,10 +44,12 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     rows are judged alike. Input columns named like an output are replaced. Three-word windows are compared by a 64-bit
     hash of their words.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    src = docs if text in OUTPUTS else without(docs, *OUTPUTS)
+    own = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    # the row goes along as one column, so no name of its own can clash with those in between
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in own], F.lit(True)).alias("__row"), F.col(f"`{text}`").alias("__t"))
+    t = F.coalesce(F.col("__t"), F.lit(""))
     n = F.col("n_words")
-    d = src.withColumn("__w", words_of(F.col(f"`{text}`"))).withColumn("n_words", F.size("__w").cast("long"))
+    d = src.withColumn("__w", words_of(F.col("__t"))).withColumn("n_words", F.size("__w").cast("long"))
     d = d.withColumn(
         "__h",
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>")),
@@ -70,7 +75,7 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     # the id, always true here, keeps the optimizer from copying all of the above into a filter on this column
     verdict = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * chars)
     d = d.withColumn("kept", verdict & (F.monotonically_increasing_id() >= 0))
-    return d.drop("__w", "__h", "__s", "__f", "__l", "__k")
+    return d.select(*[F.col(f"__row.`{c}`").alias(c) for c in own], *OUTPUTS)
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
