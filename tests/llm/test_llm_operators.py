@@ -75,8 +75,13 @@ def test_quality_lines(spark):
     good = prose(60, 5)
     d = spark.createDataFrame([(1, good + "\nHome | About | Contact | Login\n© All rights reserved.\nCLICK!! HERE!! NOW!!")], "doc_id int, text string")
     assert quality.clean(d).first()["text"] == good
-    bare = spark.createDataFrame([(1, prose(60, 6)[:-1]), (2, "\n".join(prose(8, k)[:-1] for k in range(9)))], "doc_id int, text string")
-    assert [r["doc_id"] for r in quality.clean(bare).collect()] == [1]
+    bare = spark.createDataFrame([(1, prose(60, 6)[:-1]), (2, "\n".join(prose(8, k)[:-1] for k in range(9))), (3, prose(60, 6))], "doc_id int, text string")
+    assert [r["doc_id"] for r in quality.clean(bare).collect()] == [3]
+    long = "Privacy policy, cookie policy: " + prose(60, 7) + " All rights reserved."
+    rows = [(1, long, 1, 2), (2, prose(200, 8) + " Our privacy policy.", 3, 4)]
+    odd = spark.createDataFrame(rows, "doc_id int, text string, __w int, __row int")
+    got = {r["doc_id"]: r for r in quality.with_quality(odd).collect()}
+    assert got[1]["n_bad_lines"] == 1 and got[2]["n_bad_lines"] == 0 and (got[2]["__w"], got[2]["__row"]) == (3, 4)
 
 
 # 2 WARC
@@ -267,6 +272,34 @@ def test_ann_recall_and_ties(spark):
     assert by(ann.nearest(two), "query_id", "vec_id") == [(0, 1)]
 
 
+def test_ann_of_extreme_magnitudes(spark):
+    rows = [(0, [2.0**660] * 2), (1, [1.0, 1.0]), (2, [1e200, 0.0]), (3, [2.0**-660] * 2), (50, [1e-320, 0.0]), (4, [-1e308, 1e308])]
+    got = {}
+    for q, _, v, s in sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()):
+        got.setdefault(q, []).append((v, s))
+    half = 2**-0.5
+    assert [v for v, _ in got[0]] == [1, 3, 2, 50, 4] and [s for _, s in got[0]][:2] == [got[0][0][1]] * 2 and [s for _, s in got[0]] == pytest.approx([1, 1, half, half, 0])
+    assert [v for v, _ in got[50]] == [2, 0, 1, 3, 4] and [s for _, s in got[50]] == pytest.approx([1, half, half, half, -half])
+
+
+def test_ann_query_against_brute_force(spark, data):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r["embedding"] is not None]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    n = np.sqrt((x * x).sum(axis=1))
+    got = {}
+    for r in queries.op4_ann(spark, data).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
+    hits = 0
+    for q, best in got.items():
+        k = int(np.flatnonzero(ids == q)[0])
+        s = (x * x[k]).sum(axis=1) / (n * n[k])
+        order = [i for i in np.lexsort((ids, -s)) if i != k][:5]
+        hits += len({v for v, _ in best.values()} & set(ids[order].tolist()))
+        assert all(score == s[ids == v][0] for v, score in best.values())
+    assert hits >= 0.95 * 5 * len(got)
+
+
 def test_anisotropic_loss_keeps_inner_products():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 16)).astype(np.float32)
@@ -349,44 +382,90 @@ def brute_spans(t):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["token", "ToKeN", "api_key", "apikey", "password", "ſecret", "é", '"', "'", " ", "=", ":", "AKIA", "ABCD1234EFGH5678", "0a1b2c3d4e5f6071829304a5b6", "x", "abc", "\n", "-", "."]), max_size=14).map("".join))
 def test_base_spans(t):
-    assert [s for s in secret_scan.scan(t) if s[1] < 3] == brute_spans(t)
+    assert secret_scan.scan(t)[0] == brute_spans(t)
+
+
+LOWEST = secret_scan.step(0.01)
+
+
+def random_in(text):
+    return secret_scan.random_spans(secret_scan.scan(text)[1], LOWEST)
+
+
+def drawn(r, kind, n):
+    return "".join(r.choice(secret_scan.ENCODINGS[kind]) for _ in range(n))
 
 
 def test_secrets(docs, empty):
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs).collect()}
     assert got[10]["n_assign"] == 1 == got[10]["n_hex"] and "random:" in got[10]["spans"] and got[0]["spans"] == "" == got[7]["spans"]
     assert got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert secret_scan.find_secrets(empty).count() == 0
+    assert secret_scan.find_secrets(empty).count() == 0 == secret_scan.without_secrets(empty).count()
     clean = {r["doc_id"]: r["text"] for r in secret_scan.without_secrets(docs).collect()}
     assert clean[10].startswith("[secret]") and clean[4] == prose(80, 1) and clean[0] is None
 
 
+def test_secrets_query_is_brute_force_on_the_table(spark, data):
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = {i: secret_scan.candidates([(m.start(), m[0]) for m in secret_scan.RUN.finditer(t) if len(m[0]) >= 20]) for i, t in rows.items()}
+    ps = sorted(10 ** (-secret_scan.step(p) / secret_scan.STEPS) for f in found.values() for p, *_ in f)
+    last = max((p for i, p in enumerate(ps, 1) if p <= 0.01 * i / len(ps)), default=-1.0)
+    name = lambda spans: ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+    for r in queries.op6_secret_scan(spark, data).collect():
+        base = brute_spans(rows[r["doc_id"]])
+        n = [sum(k == j for _, k, _ in base) for j in range(3)]
+        listed = name([(a, secret_scan.KINDS[k], b) for a, k, b in base])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == n and r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        more = secret_scan.random_spans(found[r["doc_id"]], secret_scan.step(last) if last >= 0 else 1 << 30)
+        assert r["spans"] == name([(a, secret_scan.KINDS[k], b) for a, k, b in sorted([*base, *((a, 3, b) for a, b in more)])])
+
+
+def test_the_cut_is_that_of_benjamini_and_hochberg():
+    r = random.Random(2)
+    for share in (0, 0.02, 0.5, 1):
+        ps = [r.random() ** (12 if r.random() < share else 1) for _ in range(3000)]
+        steps = [secret_scan.step(p) for p in ps]
+        tops = sorted(10 ** (-k / secret_scan.STEPS) for k in steps)
+        found = max((i for i, p in enumerate(tops, 1) if p <= 0.01 * i / len(tops)), default=0)
+        lowest = secret_scan.cut({k: steps.count(k) for k in set(steps)})
+        assert sum(k >= lowest for k in steps) == found and (share < 0.5 or found > 0)
+    assert secret_scan.cut({}) > secret_scan.step(0.0)
+
+
 @pytest.mark.parametrize("form", ["AUTH_KEY={}", "x https://a.example/get?sig={}&n=1 y", "id={}\n", "see /v1/x_y/{} there", "my_name_{}", "HMAC_2=={}", "/srv/data/some_files/v2/{}/x"])
 def test_random_values_are_apart_from_their_names(form):
     r = random.Random(form)
-    values = ["".join(r.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)) for _ in range(100)]
-    spans = lambda v: [(a, b) for a, k, b in secret_scan.scan(form.format(v)) if k == 3]
+    values = [drawn(r, "base62", 40) for _ in range(100)]
     at = form.index("{")
-    assert sum(any(a <= at and b >= at + 40 for a, b in spans(v)) for v in values) >= 90
-    words = ["andwhenthemorningcametheyallwenthomeagain", "internationalisationofthingswithnumbers1", "getElementsByTagNameAndTheirAttributesOf"]
-    assert not any(spans(w) for w in words)
+    assert sum(any(a <= at and b >= at + 40 for a, b in random_in(form.format(v))) for v in values) >= 90
+    for w in ("andwhenthemorningcametheyallwenthomeagain", "internationalisationofthingswithnumbers1", "getElementsByTagNameAndTheirAttributesOf", "com_example_project_HTTPServer2Impl_test", "2024-01-15_report_final_version_v2"):
+        assert not random_in(w)
+
+
+@pytest.mark.parametrize(("kind", "n", "least"), [("digits", 40, 90), ("hex", 20, 95), ("HEX", 20, 95), ("lower", 60, 75), ("upper", 60, 75), ("base32", 32, 75), ("lower36", 24, 80), ("upper36", 24, 80), ("letters", 32, 90), ("base62", 20, 85), ("base64", 20, 85), ("base64url", 20, 85)])
+def test_random_strings_of_every_encoding_are_found(kind, n, least):
+    r = random.Random(kind)
+    assert sum(bool(random_in(drawn(r, kind, n))) for _ in range(200)) >= 2 * least
 
 
-def test_random_values_without_a_digit_and_with_padding():
+def test_random_values_with_padding():
     r = random.Random(4)
-    letters = ["".join(r.choice(secret_scan.UPPER + secret_scan.LOWER) for _ in range(40)) for _ in range(100)]
-    assert sum(bool(secret_scan.random_spans([(0, x)])) for x in letters) >= 80
-    padded = "".join(r.choice(secret_scan.ENCODINGS["base64"]) for _ in range(42)) + "=="
-    assert secret_scan.scan(f"k={padded} z") == [(2, 3, 46)]
+    padded = drawn(r, "base64", 42) + "=="
+    assert random_in(f"k={padded} z") == [(2, 46)]
 
 
 def test_battery_tells_random_from_prose():
-    r = random.Random(9)
-    found = sum(bool(secret_scan.random_spans([(0, "".join(r.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)))])) for _ in range(300))
-    assert found >= 270
-    assert not secret_scan.random_spans([(0, "internationalisationofthingswithnumbers12and34")])
-    assert not secret_scan.random_spans([(0, "0123456789abcdef0123456789abcdef")] * 1)
-    assert not any(secret_scan.random_spans([(0, "a" * n + "1")]) for n in range(20, 60))
+    tests = lambda s, kind: secret_scan.battery(s, kind)[:3]
+    assert tests("ab" * 30, "lower")[2] < 0.001 and tests("a" * 30 + "z" * 30, "lower")[1] < 0.001 and tests("e" * 20 + "abcdefghij", "lower")[0] < 0.001
+    assert not random_in("internationalisationofthingswithnumbers12and34")
+    assert not any(random_in("a" * n + "1") for n in range(20, 60))
+
+
+def test_random_spans_overlap_base_ones_and_join():
+    v = drawn(random.Random(5), "base62", 40)
+    base, found = secret_scan.scan(f"token={v}")
+    assert secret_scan.all_spans(base, found, LOWEST) == [(0, 0, 46), (6, 3, 46)]
+    assert secret_scan.redact(f"x token={v} y", LOWEST) == "x [secret] y"
 
 
 # 7 BPE
@@ -598,6 +677,25 @@ def test_chat_lines(spark):
     assert chat.format_turns(df.limit(0)).count() == 0
 
 
+def test_chat_of_surrogates_and_of_turns_that_say_something(spark):
+    odd = json.dumps({"content": "Let me see.", "tool_calls": [{"id": "k", "function": {"name": "add", "arguments": '{"a": "\\ud800"}'}}, {"id": "m", "function": {"name": "add", "arguments": "{"}}]})
+    df = spark.createDataFrame([(1, 0, "assistant", odd), (1, 1, "tool", '{"tool_call_id": "k", "content": null}'), (1, 2, "assistant", '{"tool_calls": [')], "conv_id long, turn long, role string, text string")
+    got = {(r["turn"], r["kind"], r["call_id"]): r for r in chat.format_turns(df, {"add": {}}).collect()}
+    assert got[0, "call", "k"]["error"] == "not JSON" == got[0, "call", "m"]["error"] and json.loads(got[0, "call", "k"]["line"])["arguments"] == '{"a": "\\ud800"}'
+    assert json.loads(got[0, "text", None]["line"]) == {"content": "Let me see.", "conv_id": 1, "kind": "text", "role": "assistant", "turn": 0}
+    assert len(got) == 5 and json.loads(got[2, "result", "1:1"]["line"])["content"] == '{"tool_calls": ['
+
+
+def test_canonical_json():
+    numbers = {1e16: "10000000000000000", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-6: "0.000001", 1e-7: "1e-7", 0.1: "0.1", -0.0: "0", 1.5e300: "1.5e+300", 123.456: "123.456", -2.0: "-2", 5e-324: "5e-324"}
+    assert {x: chat.canonical(x) for x in numbers} == numbers
+    assert chat.canonical({"\ue000": 1, "\U00010000": 2, "a": [None, True, "\x1f\n\"é"]}) == '{"a":[null,true,"\\u001f\\n\\"é"],"\U00010000":2,"\ue000":1}'
+    assert chat.canonical(2**70) == str(2**70)
+    for bad in (float("nan"), "\ud800", {"\udfff": 1}):
+        with pytest.raises(ValueError):
+            chat.canonical(bad)
+
+
 def test_schema_faults():
     s = {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "array", "items": {"type": "number", "minimum": 0}, "maxItems": 2}, "y": {"enum": ["a"]}, "z": {"type": "string", "pattern": "^a", "maxLength": 2}}}
     assert chat.faults({"x": [1, 2.5]}, s) == []
