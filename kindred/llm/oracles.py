@@ -55,7 +55,7 @@ SELECT * FROM c UNION ALL SELECT * FROM r UNION ALL SELECT * FROM o"""
 
 OP10 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len({WORDS}) AS size FROM documents),
-k AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln((('0x' || substr(md5(doc_id || '|7'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / CASE WHEN length(text) / greatest(size, 1)::DOUBLE BETWEEN 4 AND 9 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key FROM d),
+k AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln((('0x' || substr(md5(doc_id || '|7'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / (len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))) / (1.0::DOUBLE + 10.0::DOUBLE * (len(regexp_extract_all(text, '[#*$%&|<>]'))::DOUBLE / greatest(size, 1))) * CASE WHEN length(text) / greatest(size, 1)::DOUBLE BETWEEN 4 AND 9 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS key FROM d),
 s AS (SELECT source, sum(size)::DOUBLE AS n, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM k GROUP BY source),
 c AS (SELECT *, 3 * n AS cap, sum(n) OVER () AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
