@@ -38,12 +38,12 @@ SEED = 7
 #: Words by which an anchor is extended to a window, on both sides together.
 REACH = LENGTH - SEED
 #: Places of an anchor beyond which they are extended to whole windows before they are joined.
-HOT = 1 << 17
+HOT = 1 << 12
 #: Odd multiplier by which runs of word hashes are combined.
 TIMES = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 300_000
 #: Bytes of text of a part, on average.
-PART_BYTES = 10_000_000
+PART_BYTES = 6_000_000
 #: Parts up to which their numbers are listed in the plan.
 LISTED = 100_000
 
