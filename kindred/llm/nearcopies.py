@@ -1,13 +1,17 @@
-"""Near copies by the exact Jaccard similarity of their word shingles; belongs to the pipeline.
+"""SimHash near-dedup by five words and a Jaccard similarity of 0.8 or more; belongs to the pipeline.
 
 Two texts are near copies if the sets of their runs of SHINGLE words have a Jaccard similarity of LEAST or more. Texts of the
-very same set are one node. Candidates come from BANDS bands of ROWS minima of random hashes: nodes that agree on a band share
-its bucket, so a pair of similarity s is missed with probability (1 - s^ROWS)^BANDS, 5e-6 at 0.8 and less above. Nothing is
-taken for a copy without having been verified on the sets themselves.
+very same set are one node. Nodes get a SimHash fingerprint of their set and go through the trie self-join of ``simhash``; each of
+its links is a candidate. That join finds nearly all pairs above a similarity of some 0.97, but at 0.8 fingerprints differ in
+ten bits on average, and a budget that wide leaves a trie nothing to prune. So further candidates come from BANDS bands of ROWS
+minima of random hashes: nodes that agree on a band share its bucket, and a pair of similarity s is missed with
+probability (1 - s^ROWS)^BANDS, 5e-6 at 0.8 and less above. Nothing is taken for a copy without having been verified on the
+sets themselves.
 
 Verification needs not all pairs, only the same components. First each member of a bucket is compared with the bucket's
-smallest, which is linear. Buckets whose members are in one component then are done; in the others each member is compared with
-those outside its own component until one is left, so that no pair of a bucket that could join two components goes untested.
+smallest, which is linear, as are the trie's links, a forest. Buckets whose members are in one component then are done; in the
+others each member is compared with those outside its own component until one is left, so that no pair of a bucket that could
+join two components goes untested.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm import simhash
 from kindred.llm.common import ship, table
 from kindred.llm.graph import components
-from kindred.llm.simhash import SEED, without_others
+from kindred.llm.simhash import SEED
 
 SHINGLE = 5
 LEAST = 0.8
@@ -30,6 +35,8 @@ BANDS, ROWS = 40, 6
 #: Shingles that are hashed at a time, and rows to which what is compared with one node is dealt.
 AT_ONCE = 1024
 DEALS = 16
+#: Members of a block of a bucket, of which two meet in a task.
+BLOCK = 2048
 
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,7 +72,8 @@ def _key(h: np.ndarray) -> str:
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sets = [shingles(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "key": [_key(h) for h in sets], "buckets": [buckets(h) for h in sets]})
+        prints = np.array([simhash.majority(h) for h in sets], np.uint64).view(np.int64)
+        yield pd.DataFrame({"doc_id": b["doc_id"], "key": [_key(h) for h in sets], "fp": prints, "buckets": [buckets(h) for h in sets]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,23 +111,28 @@ def _joined(b: pd.DataFrame) -> pd.DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs`` (doc_id bigint not null, text): its rows (doc_id, node), and edges (a, b) that connect the nodes of near copies."""
+    """Of ``docs`` (doc_id bigint not null, text): its nodes (node, key, doc_id, its least), and edges (a, b) that connect the nodes of near copies."""
     ship(docs.sparkSession)
-    prints = table(docs.mapInPandas(_prints, "doc_id bigint, key string, buckets array<bigint>"), "prints")
-    each = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
+    prints = table(docs.mapInPandas(_prints, "doc_id bigint, key string, fp bigint, buckets array<bigint>"), "prints")
+    each = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
     each = table(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rows = prints.select("doc_id", "key").join(each.select("key", "node"), "key").select("doc_id", "node")
     dealt = each.select("node", F.explode("buckets").alias("bucket"))
     shared = table(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"), "buckets")
     members = table(dealt.join(shared, "bucket"), "members")
 
-    some = each.join(members.select("node").distinct(), "node").select("key", "node", "doc_id")
+    # candidates: the trie's links between fingerprints, nodes of one fingerprint, and members of a bucket with its smallest
+    alike = each.where(F.size("buckets") > 0).groupBy("fp").agg(F.min("node").alias("doc_id"), F.count("*").alias("n"))
+    alike = table(alike, "alike")
+    same = each.where(F.size("buckets") > 0).join(alike.where("n > 1").select("fp", F.col("doc_id").alias("a")), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    deal = F.pmod(F.xxhash64("b"), F.lit(DEALS)).alias("deal")
+    pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(same).unionByName(simhash.links(alike.select("fp", "doc_id")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    star = table(pairs.distinct().select("a", "b", deal), "stars")
+
+    some = each.join(star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct(), "node").select("key", "node", "doc_id")
     texts = docs.join(some.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
     found = texts.select("text").mapInPandas(_sets, "key string, hashes array<bigint>")
     sets = table(found.join(some.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
-    deal = F.pmod(F.xxhash64("b"), F.lit(DEALS)).alias("deal")
-    star = table(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct().select("a", "b", deal), "stars")
     hub = star.select("a", "deal").distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     pairs = star.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(hub, ["a", "deal"])
     both = F.size(F.array_intersect("x", "y"))
@@ -131,24 +144,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = held.where("n > 2").groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s"))
     open_ = table(open_.where("p < q").groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
     if open_.limit(1).count():
-        rest = held.join(open_, "bucket").join(sets, "node").select("bucket", "node", "part", "hashes")
-        edges = edges.unionByName(table(rest.groupBy("bucket").applyInPandas(_joined, "a bigint, b bigint"), "more"))
-    return rows, edges
+        # a large bucket is cut into blocks, each pair of which meets in a task of its own
+        k = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), k).cast("int")
+        rest = held.join(open_, "bucket").join(sets, "node").select("bucket", "node", "part", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
+        rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "hashes")
+        edges = edges.unionByName(table(rest.groupBy("bucket", "i", "j").applyInPandas(_joined, "a bigint, b bigint"), "more"))
+    return each.select("node", "key", "doc_id"), edges
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row with an id: component_id is the smallest doc_id that near copies lead to.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less all but the document of the smallest id of each group that near copies lead to, same columns.
 
-    Null and empty texts are copies of one another. Rows of equal id each get a row.
+    Null and empty texts are copies of one another. Of rows of equal id one stays, if it is the smallest of any of its texts' groups;
+    rows of a null id are in no group and stay. No row meets another by its group: only the groups' smallest ids are gathered.
     """
     d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
-    rows, edges = links(d)
-    part = table(rows, "rows").join(components(edges).withColumnRenamed("component", "c"), "node", "left").select("doc_id", F.coalesce("c", "node").alias("c"))
-    part = table(part, "labelled")
-    return part.join(part.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` less all but the document of the smallest id of each component, same columns. Of rows of equal id one stays;
-    rows of a null id are in no component and stay."""
-    return without_others(docs, table(near_copies(docs, doc_id, text), "components"), doc_id)
+    each, edges = links(d)
+    found = table(components(edges), "groups")
+    kept = each.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("doc_id").alias("doc_id"))
+    return simhash.kept_only(docs, kept.select("doc_id"), doc_id)

@@ -37,6 +37,14 @@ AT_ONCE = 2_000_000
 _TOP = np.uint64(1) << np.uint64(63)
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes as an unsigned integer: each bit's majority."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(h), 65536):
+        ones += np.unpackbits(h[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """The fingerprint of a text as an unsigned integer: of the hashes of all its shingles, each bit's majority."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
@@ -49,11 +57,7 @@ def fingerprint(text: str | None) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
         n = len(words) - SHINGLE + 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, dtype=np.int64)
-    h = np.fromiter((digest(s, SEED) for s in shingles), dtype=">u8", count=n)
-    for i in range(0, n, 65536):
-        ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), dtype=">u8", count=n))
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,16 +243,22 @@ def _labelled(prints: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less all but the document of the smallest id of each component, same columns. Of rows of equal id one stays;
     rows of a null id are in no component and stay."""
-    return without_others(docs, _labelled(table(fingerprints(docs, doc_id, text), "fingerprints")), doc_id)
+    labelled = _labelled(table(fingerprints(docs, doc_id, text), "fingerprints"))
+    return kept_only(docs, labelled.where("doc_id = component_id").select("doc_id"), doc_id)
+
 
+def kept_only(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is one of ``kept`` (doc_id), one for each, and those without an id, same columns.
 
-def without_others(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` less the documents that ``labelled`` (doc_id, component_id; a row for each of theirs) has under another's id."""
+    Of rows of equal id that of the least text stays, and of equal texts that of the least JSON of all columns.
+    """
     id_ = F.col(f"`{doc_id}`")
-    others = table(labelled.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "others")
-    left = docs.join(others, id_ == F.col("__id"), "left_anti")
-    again = table(labelled.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    kept = table(kept.select(F.col("doc_id").alias("__id")).distinct(), "kept")
+    left = docs.join(kept, id_ == F.col("__id"), "left_semi").unionByName(docs.where(id_.isNull()))
+    again = table(docs.where(id_.isNotNull()).groupBy(id_.alias("__id")).count().where("count > 1").select("__id"), "repeated")
     if not again.limit(1).count():
         return left
-    once = left.join(again, id_ == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns if docs.schema[c].dataType.simpleString() == "string"], F.to_json(row))
+    once = left.join(again, id_ == F.col("__id"), "left_semi").groupBy(id_.alias("__id")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
     return left.join(again, id_ == F.col("__id"), "left_anti").unionByName(once)

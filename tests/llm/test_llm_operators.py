@@ -635,12 +635,29 @@ def test_near_copies_down_to_the_least_similarity(spark):
         for a, b in near:
             best[a] = best[b] = min(best[a], best[b])
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(df).collect()} == dict(enumerate(best))
+    each, edges = nearcopies.links(df)
+    comp = {x["node"]: x["component"] for x in graph.components(common.table(edges, "edges")).collect()}
+    node = {x["key"]: x["node"] for x in each.collect()}
+    groups = [comp.get(n, n) for n in (node[nearcopies._key(nearcopies.shingles(t))] for _, t in rows)]
+    assert {frozenset(k for k, g in enumerate(groups) if g == h) for h in groups} == {frozenset(k for k, g in enumerate(best) if g == h) for h in best}
+    twice = df.unionByName(spark.createDataFrame([(5, "another text of the id"), (5, "a text of the same id"), (None, "x"), (None, "x")], "doc_id bigint, text string"))
+    one = [tuple(r) for r in nearcopies.one_of_each(twice).collect()]
+    assert one.count((None, "x")) == 2 and [t for i, t in one if i == 5] == [min("another text of the id", "a text of the same id", dict(rows)[5])]
     stage = dict(corpus_pipeline.STAGES)["near-duplicates"]
     assert sorted(x["doc_id"] for x in stage(spark, df, "").collect()) == sorted(set(best))
     assert nearcopies.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "LEAST", 0.95)  # far above what the bands bring together, so that buckets stay open
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*base[k * 4 :], *(f"v{i}" for i in range(k * 4))])) for k in range(40)]
+    one = {r["doc_id"] for r in nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert one == {0}
+
+
 def test_open_buckets_are_joined_by_any_pair():
     a, b, c = (np.arange(x, x + 100, dtype=np.uint64) for x in (0, 10, 20))  # a-b and b-c are near, a-c is not
     assert nearcopies.joins(np.array([7, 8, 9]), np.array([7, 8, 9]), [a, c, b]) == [(7, 9), (8, 9)]
@@ -724,6 +741,25 @@ def test_targets(spark):
     assert got == pytest.approx(want)
 
 
+def test_mixing_of_nameless_rows_equal_keys_and_empty_tables(spark):
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (None, "d e", "s"), (1, "x " * 30, "t"), (1, "x " * 30, "t"), (2, None, None), (3, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [r.asDict() for r in mixing.mix(df).collect()]
+    assert len(got) == 7
+    nameless = [r["taken"] for r in got if r["doc_id"] is None and r["size"] == 3]
+    assert len(nameless) == 2 and nameless[0] == nameless[1] and len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
+    assert mixing.mixed(df.limit(0)).count() == 0 == mixing.mix(df.where("size(split(text, ' ')) > 99")).count()
+
+
+def test_weights_are_by_quality(spark):
+    bad = "buy ### now ***\n" * 20
+    df = spark.createDataFrame([(1, prose(60, 1)), (2, bad), (3, "x " * 50), (4, None)], "doc_id long, text string")
+    w = {r["doc_id"]: r["w"] for r in df.select("doc_id", mixing.quality_weight(F.col("text"), mixing.word_count(F.col("text"))).alias("w")).collect()}
+    assert w[1] == 1 and w[2] < 0.02 and w[3] == 0.25 and w[4] > 0
+
+
 def test_mixing(docs, empty, spark):
     got = [r.asDict() for r in mixing.mix(docs).collect()]
     assert len(got) == docs.count() and sorted(map(str, got)) == sorted(str(r.asDict()) for r in mixing.mix(docs).collect())
