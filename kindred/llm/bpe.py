@@ -23,8 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
+from operator import getitem
 
 import numpy as np
 import pandas as pd
@@ -38,11 +41,11 @@ from kindred.llm.common import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 #: Words of a generation of a worker's cache, which keeps two.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Transitions that the table may have, after which it starts anew; known arcs likewise.
 TABLE_CELLS = 400_000
 CACHE_ARCS = 400_000
-#: Where a state's number keeps the token that an arc leaves, above the arc's node in the trie.
+#: Where the number of an arc under way keeps the token it leaves, plus one, above its node in the trie.
 LEFT = 32
 #: Bytes of ids after which a worker hands over what it has.
 HELD_BYTES = 4 << 20
@@ -56,6 +59,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Row(dict):
+    """A state: byte -> the next state, compiled when it is first asked for; the arcs under way in it, and the token whose arc ends in it."""
+
+    __slots__ = ("automaton", "size", "token", "under_way")
+
+    def __init__(self, automaton: Automaton, under_way: tuple[int, ...], token: int):
+        super().__init__()
+        self.automaton, self.under_way, self.token = automaton, under_way, token
+        self.size = automaton.sizes[token] if token >= 0 else 0
+
+    def __missing__(self, byte: int) -> _Row:
+        return self.automaton._compile(self, byte)
+
+
 class Automaton:
     """The tokenization automaton of one tokenizer file (the ``tokenizers`` library's JSON, byte-level BPE)."""
 
@@ -134,17 +151,16 @@ class Automaton:
         return known
 
     def _clear(self) -> None:
-        """Start the table anew: state 0 is before the first byte, under way from it are the arcs of the first state."""
-        self.states: list[tuple[int, ...]] = [(0,)]  # each arc under way: the token it leaves, plus one, and its node
-        self.known = {self.states[0]: 0}
-        self.output: list[int] = [-1]
-        self.table: dict[int, int] = {}
-
-    def _compile(self, state: int, byte: int) -> int:
-        """The transition from ``state`` by ``byte``: every arc under way goes on in the trie; the one that ends is put out,
+        """Start the table anew, with the row of the state before the first byte: under way from it are the arcs of the first state."""
+        self.start = _Row(self, (0,), -1)
+        self.states = {(0, -1): self.start}
+        self.cells = 0
+
+    def _compile(self, row: _Row, byte: int) -> _Row:
+        """The transition from ``row`` by ``byte``: every arc under way goes on in the trie; the one that ends is put out,
         and the arcs that leave it are under way."""
         down, token, under_way, ends = self.down, self.token, [], -1
-        for arc in self.states[state]:
+        for arc in row.under_way:
             s, node = (arc >> LEFT) - 1, arc & ((1 << LEFT) - 1)
             after = down.get(node << 8 | byte)
             if after is not None:
@@ -155,28 +171,23 @@ class Automaton:
         if ends >= 0:
             under_way.append((ends + 1) << LEFT)
         key = (*under_way, ends)
-        to = self.known.get(key)
+        to = self.states.get(key)
         if to is None:
-            to = self.known[key] = len(self.states)
-            self.states.append(tuple(under_way))
-            self.output.append(ends)
-        self.table[state << 8 | byte] = to
+            to = self.states[key] = _Row(self, key[:-1], ends)
+        row[byte] = to
+        self.cells += 1
         return to
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the only path that spells ``word``: one transition a byte, then the outputs from its end."""
-        if len(self.table) > TABLE_CELLS:
+        if self.cells > TABLE_CELLS:
             self._clear()
-        step, output, state, ends = self.table.get, self.output, 0, []
-        for byte in word:
-            to = step(state << 8 | byte)
-            state = self._compile(state, byte) if to is None else to
-            ends.append(output[state])
-        labels, at, sizes = [], len(word), self.sizes
+        rows = list(accumulate(word, getitem, initial=self.start))
+        labels, at = [], len(word)
         while at:
-            t = ends[at - 1]
-            labels.append(t)
-            at -= sizes[t]
+            row = rows[at]
+            labels.append(row.token)
+            at -= row.size
         return labels[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -192,6 +203,13 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Paths(dict):
     """Word -> its ids in bytes. What a full generation held is still found in the next and moves on when it is used."""
 
@@ -204,7 +222,7 @@ class _Paths(dict):
         ids = self.old.get(word)
         if ids is None:
             raw = word.encode()
-            ids = np.array(self.automaton.path(raw), "<u4").tobytes()
+            ids = _packed(self.automaton.path(raw))
             if len(raw) > CACHE_BYTES:
                 return ids
         if len(self) >= CACHE_WORDS:

@@ -529,17 +529,17 @@ def test_bpe_makes_one_transition_a_byte(tokenizer, monkeypatch):
     a = bpe.Automaton(queries.tokenizer_path())
     compiled = []
     plain = bpe.Automaton._compile
-    monkeypatch.setattr(bpe.Automaton, "_compile", lambda self, state, byte: (compiled.append((state, byte)), plain(self, state, byte))[1])
+    monkeypatch.setattr(bpe.Automaton, "_compile", lambda self, row, byte: (compiled.append((row.under_way, row.token, byte)), plain(self, row, byte))[1])
     words = [w.encode() for w in (" internationalisation", "thethethe", "xqzzv", "世界世界", "aaaaaaaaaaaaaaaaa", " ", "\n\n\n")]
     for w in words:
         a.path(w)
-    assert len(compiled) == len(set(compiled)) == len(a.table) <= sum(map(len, words))
+    assert len(compiled) == len(set(compiled)) == a.cells <= sum(map(len, words))
     compiled.clear()
     for w in words:
-        state = 0
+        row = a.start
         for byte in w:
-            state = a.table[state << 8 | byte]  # a row of the table for each byte, and no other
-        assert a.output[state] == a.path(w)[-1]
+            row = row[byte]  # one row of the table for each byte, and no other
+        assert row.token == a.path(w)[-1]
     assert not compiled
     monkeypatch.setattr(bpe, "TABLE_CELLS", 5)  # a table that starts anew all the time gives the same
     b = bpe.Automaton(queries.tokenizer_path())
