@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kindred.functions.lexicons import CANON, DROP, MARKED, PLAIN, STATES
+from kindred.functions.lexicons import CANON, DBA, DROP, LANDMARK, LEADING_LEGAL, LEGAL, MARKED, PLAIN, SPELLED, STATES, TLDS
 
 INDIC = r"[\x{0900}-\x{0D7F}]"
 #: Steps of a token string after folding; a replacement's \1 is the first group.
@@ -34,7 +34,18 @@ ADDRESS_STEPS = (
 )
 #: Letters that stand for digits inside a word.
 LEET = (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("8", "b"))
-DOMAIN = r"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:com|org|net|co|in|fr|de|es|io|biz|info)"
+_TLD = "|".join(sorted(TLDS, key=lambda t: (-len(t), t)))
+DOMAIN = rf"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:{_TLD})"
+#: The label before a domain's ending, a handle, and the marks that go where there is one of either.
+LABEL = rf"([^\s|()\[\]@#.]+)\.(?:{_TLD})\b"
+HANDLE = r"(?:^|\s)[@#]+(\S+)"
+MARKS = rf"\bwww\.|\.(?:{_TLD})\b|(?:^|\s)[@#]+"
+_FORMS = "|".join(" ".join(f) for f in LEGAL)
+_LEADS = "|".join(LEADING_LEGAL)
+#: The legal forms that end a name, a word staying; and those that begin it, two words staying. Neither pattern repeats over the
+#: words of a name, which may be very many.
+TRAILING = rf"((?: (?:{_FORMS}))+)$"
+LEADING = rf"^((?:(?:{_LEADS}) )+)[^ ]+ [^ ]"
 SKELETON = (
     (r"c([eiy])", r"s\1"),
     (r"g([eiy])", r"j\1"),
@@ -79,18 +90,102 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def words(c: Column) -> Column:
+    """The words of a folded string, not yet canonical."""
+    return split_words(steps(c, STEPS))
+
+
+def by_sound() -> dict[str, str]:
+    """Skeleton -> canonical word, of words of five letters or more and skeletons of three; those of two canonical words are out."""
+    from kindred.functions.records import skeleton as plain
+
+    known: dict[str, set[str]] = {}
+    for word, to in CANON.items():
+        if len(word) >= 5 and len(plain(word)) >= 3:
+            known.setdefault(plain(word), set()).add(to)
+    return {k: min(v) for k, v in known.items() if len(v) == 1}
+
+
+def canonical(ws: Column, foreign: Column | None = None) -> Column:
+    """Canonical words, those that carry nothing dropped. Where ``foreign``, words were read from an Indic script, and one that isn't
+    known stands for the canonical word that is spelled or sounds like it."""
+    m = canon_map()
+    one = lambda w: F.try_element_at(m, w)
+    if foreign is not None:
+        spelled, sounds = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (SPELLED, by_sound()))
+        heard = lambda w: F.when(foreign & ~w.rlike("^[0-9]+$"), F.coalesce(F.try_element_at(spelled, w), F.try_element_at(sounds, skeleton(w))))
+        known = F.transform(ws, lambda w: F.coalesce(one(w), heard(w), w))
+    else:
+        known = F.transform(ws, lambda w: F.coalesce(one(w), w))
+    return F.filter(known, lambda w: ~w.isin(*sorted(DROP)))
+
+
 def tokens(c: Column) -> Column:
     """Canonical tokens of a folded string; words that carry nothing are dropped."""
-    m = canon_map()
-    words = F.transform(split_words(steps(c, STEPS)), lambda w: F.coalesce(F.try_element_at(m, w), w))
-    return F.filter(words, lambda w: ~w.isin(*sorted(DROP)))
+    return canonical(words(c))
 
 
-def tokens_sql(expr: str) -> str:
+def words_sql(expr: str) -> str:
+    return f"list_filter(string_split({steps_sql(expr, STEPS)}, ' '), lambda w: w <> '')"
+
+
+def canonical_sql(ws: str) -> str:
     m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CANON.items()) + "}"
-    words = f"list_transform(list_filter(string_split({steps_sql(expr, STEPS)}, ' '), lambda w: w <> ''), lambda w: coalesce({m}[w], w))"
     drop = ", ".join(f"'{w}'" for w in sorted(DROP))
-    return f"list_filter({words}, lambda w: w NOT IN ({drop}))"
+    return f"list_filter(list_transform({ws}, lambda w: coalesce({m}[w], w)), lambda w: w NOT IN ({drop}))"
+
+
+def tokens_sql(expr: str) -> str:
+    return canonical_sql(words_sql(expr))
+
+
+def web_labels(c: Column) -> Column:
+    """Labels of web domains before their ending, and handles, in letters and digits only."""
+    found = F.concat(F.regexp_extract_all(c, F.lit(LABEL), F.lit(1)), F.regexp_extract_all(c, F.lit(HANDLE), F.lit(1)))
+    return F.filter(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[^a-z0-9]+", ""))), lambda x: x != "")
+
+
+def without_web_marks(c: Column, labels: Column) -> Column:
+    """``c`` without www, endings of domains and marks of handles, where it has any label."""
+    return F.when(F.size(labels) > 0, F.regexp_replace(c, MARKS, " ")).otherwise(c)
+
+
+def pieces(c: Column) -> Column:
+    """The pieces of a name: what cues of a second name, bars and brackets part."""
+    return F.split(F.regexp_replace(c, DBA, "|"), r"[|()\[\]]")
+
+
+def legal_apart(ws: Column) -> Column:
+    """(core, legal) of canonical words: forms at the end as long as a word is left, then at the beginning while more than two are."""
+    def apart(t: Column) -> Column:
+        tail = F.regexp_extract(t, TRAILING, 1)
+        core = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+        lead = F.regexp_extract(core, LEADING, 1)
+        rest = core.substr(F.length(lead) + 1, F.length(core))
+        forms = F.transform(F.regexp_extract_all(tail, F.lit(rf" ({_FORMS})\b"), F.lit(1)), lambda x: F.trim(x))
+        return F.struct(split_words(rest).alias("core"), F.concat(forms, split_words(lead)).alias("legal"))
+
+    return F.get(F.transform(F.array(F.array_join(ws, " ")), apart), F.lit(0))  # bound to a variable, patterns run on one string
+
+
+def legal_sql(ws: str) -> tuple[str, str]:
+    """SQL of (core, legal) of a list of canonical words."""
+    t = f"array_to_string({ws}, ' ')"
+    tail = f"regexp_extract({t}, '{TRAILING}', 1)"
+    core = f"substr({t}, 1, length({t}) - length({tail}))"
+    lead = f"regexp_extract({core}, '{LEADING}', 1)"
+    rest = f"substr({core}, length({lead}) + 1)"
+    split = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    return split(rest), rf"list_concat(regexp_extract_all({tail}, ' ({_FORMS})\b', 1), {split(lead)})"
+
+
+def before_landmark(s: Column) -> Column:
+    """What of a part of an address stands before the cue of a landmark; all of it without one."""
+    return F.when(s.rlike(LANDMARK), F.regexp_extract(s, rf"^(.*?)(?:{LANDMARK})", 1)).otherwise(s)
+
+
+def after_landmark(s: Column) -> Column:
+    return F.regexp_extract(s, rf"(?:{LANDMARK})(.*)", 1)
 
 
 def clean_address(c: Column) -> Column:
@@ -107,8 +202,8 @@ def address_steps(c: Column) -> Column:
 
 
 def numbers(toks: Column) -> Column:
-    """House numbers: digit tokens of fewer than five digits, in order, once each."""
-    return F.array_distinct(F.filter(toks, lambda w: w.rlike("^[0-9]{1,4}$")))
+    """House numbers: digit tokens of fewer than five digits, without zeros before them, in order, once each."""
+    return F.array_distinct(F.transform(F.filter(toks, lambda w: w.rlike("^[0-9]{1,4}$")), lambda w: F.regexp_replace(w, "^0+([0-9])", "$1")))
 
 
 def postal(c: Column) -> Column:
@@ -122,14 +217,14 @@ def domains(c: Column) -> Column:
 
 
 def repair_digits(c: Column) -> Column:
-    """Digits between letters that stand for letters (hospita1ity)."""
-    for digit, letter in LEET:
+    """Digits between letters that stand for letters (hospita1ity); twice, as a letter may be both behind one and before the next."""
+    for digit, letter in LEET * 2:
         c = F.regexp_replace(c, rf"([a-z]){digit}([a-z])", rf"$1{letter}$2")
     return c
 
 
 def repair_digits_sql(expr: str) -> str:
-    for digit, letter in LEET:
+    for digit, letter in LEET * 2:
         expr = f"regexp_replace({expr}, '([a-z]){digit}([a-z])', '\\1{letter}\\2', 'g')"
     return expr
 

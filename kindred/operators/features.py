@@ -72,7 +72,7 @@ def pair_features(pairs: DataFrame, normal: DataFrame) -> DataFrame:
     bare_full = (F.length("__a_a_full") == 0) | (F.length("__b_a_full") == 0)
     addr = lambda c: F.when(~bare, c)
     full = lambda c: F.when(~bare_full, c)
-    p = p.withColumns({"__na": R.align("a.n_core", "b.n_core", "a.n_w", "b.n_w"), "__aa": R.align("a.a_core", "b.a_core", "a.a_w", "b.a_w")})
+    p = p.withColumns({"__na": R.align("a.n_core", "b.n_core", "a.n_w", "b.n_w", R.MOST_TOKENS), "__aa": R.align("a.a_core", "b.a_core", "a.a_w", "b.a_w", R.MOST_TOKENS)})
     u = lambda c: F.array_distinct(F.col(c))
     at = lambda c, i: F.get(c, i) if i >= 0 else F.get(c, F.size(c) - 1)
     eq, conf, miss = legal_flags(F.col("a.n_legal"), F.col("b.n_legal"))

@@ -36,7 +36,7 @@ def _(spark, d):
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     r = web_records(spark, d)
-    normal = R.normalized(r)
+    normal = R.normalized(r, key="id")
     sizes = r.groupBy(F.col("cty").alias("part")).agg(F.count("*").alias("n"))
     toks = blocking.token_table(normal, F.concat("n_core", F.transform("a_core", lambda w: F.concat(F.lit("@"), w))))
     freq = blocking.frequencies(toks, sizes)

@@ -24,6 +24,8 @@ addr_toks = lambda: N.tokens(N.clean_address(F.col("addr")))
 NAME_SQL = N.tokens_sql(N.fold_latin_sql("name"))
 ADDR_SQL = N.tokens_sql(N.steps_sql(N.fold_latin_sql("addr"), N.ADDRESS_STEPS))
 joined = lambda c: F.array_join(c, " ")
+once_sql = lambda u: f"list_filter({u}, lambda el, i: list_position({u}, el) = i)"
+nums_sql = lambda t: f"list_transform(list_filter({t}, lambda w: regexp_matches(w, '^[0-9]{{1,4}}$')), lambda w: regexp_replace(w, '^0+([0-9])', '\\1'))"
 
 
 @C.add("coalesce_empty_views", "doc_id:i view:s joint:s", f"SELECT doc_id, CASE WHEN length(addr) > 0 THEN addr ELSE name END AS view, concat_ws(' | ', name, addr) AS joint FROM ({REC})")
@@ -78,7 +80,7 @@ def _(spark, d):
     return records(spark, d).select("doc_id", N.clean_address(F.col("addr")).alias("a"))
 
 
-@C.add("numbers_postal", "doc_id:i nums:s postal:s", f"SELECT doc_id, array_to_string(list_filter(u, lambda w, i: list_position(u, w) = i), ' ') AS nums, array_to_string(list_filter(p, lambda w, i: list_position(p, w) = i), ' ') AS postal FROM (SELECT doc_id, list_filter({N.tokens_sql(N.steps_sql(N.fold_latin_sql('text'), N.ADDRESS_STEPS))}, lambda w: regexp_matches(w, '^[0-9]{{1,4}}$')) AS u, regexp_extract_all(text, '[0-9]{{5,}}') AS p FROM ({REC}))")
+@C.add("numbers_postal", "doc_id:i nums:s postal:s", f"SELECT doc_id, array_to_string(list_filter(u, lambda w, i: list_position(u, w) = i), ' ') AS nums, array_to_string(list_filter(p, lambda w, i: list_position(p, w) = i), ' ') AS postal FROM (SELECT doc_id, {nums_sql(N.tokens_sql(N.steps_sql(N.fold_latin_sql('text'), N.ADDRESS_STEPS)))} AS u, regexp_extract_all(text, '[0-9]{{5,}}') AS p FROM ({REC}))")
 def _(spark, d):
     return records(spark, d).select("doc_id", joined(N.numbers(N.tokens(N.clean_address(F.col("text"))))).alias("nums"), joined(N.postal(F.col("text"))).alias("postal"))
 
@@ -150,7 +152,7 @@ def _(spark, d):
 
 
 @C.add("numloc_keys", "doc_id:i keys:s", f"""SELECT doc_id, array_to_string(flatten(list_transform(n[1:2], lambda x: list_transform(w[greatest(len(w) - 7, 1):], lambda y: x || '#' || y))), ' ') AS keys FROM (SELECT doc_id, list_filter(u, lambda x, i: list_position(u, x) = i) AS n, list_filter(v, lambda x, i: list_position(v, x) = i) AS w
- FROM (SELECT doc_id, list_filter(t, lambda x: regexp_matches(x, '^[0-9]{{1,4}}$')) AS u, list_filter(t, lambda w: length(w) >= 3{NOT_NUM}) AS v FROM (SELECT doc_id, {N.tokens_sql(N.steps_sql(N.fold_latin_sql('text'), N.ADDRESS_STEPS))} AS t FROM ({REC}))))""")
+ FROM (SELECT doc_id, {nums_sql('t')} AS u, list_filter(t, lambda w: length(w) >= 3{NOT_NUM}) AS v FROM (SELECT doc_id, {N.tokens_sql(N.steps_sql(N.fold_latin_sql('text'), N.ADDRESS_STEPS))} AS t FROM ({REC}))))""")
 def _(spark, d):
     t = records(spark, d).select("doc_id", N.tokens(N.clean_address(F.col("text"))).alias("t"))
     return t.select("doc_id", joined(N.house_locality(F.col("t"), N.numbers(F.col("t")))).alias("keys"))
@@ -340,7 +342,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return blocking.top_forward(scores(spark, d), 5).select("s1", "cand", "score").join(side("a", "s1"), "s1").join(side("b", "cand"), "cand")
 
 
-SIDE = f"SELECT doc_id, src, cty, nt, adt, pc, list_distinct(list_filter(adt, lambda w: regexp_matches(w, '^[0-9]{{1,4}}$'))) AS nums FROM (SELECT doc_id, src, cty, {NAME_SQL} AS nt, {ADDR_SQL} AS adt, list_distinct(regexp_extract_all(text, '[0-9]{{5,}}')) AS pc FROM ({REC}))"
+SIDE = f"SELECT doc_id, src, cty, nt, adt, pc, list_distinct({nums_sql('adt')}) AS nums FROM (SELECT doc_id, src, cty, {NAME_SQL} AS nt, {ADDR_SQL} AS adt, list_distinct(regexp_extract_all(text, '[0-9]{{5,}}')) AS pc FROM ({REC}))"
 PAIR = f"WITH n AS ({SIDE}), q AS (SELECT s1, cand, a.src AS asrc, b.src AS bsrc, a.cty AS acty, b.cty AS bcty, list_distinct(a.nt) AS an, list_distinct(b.nt) AS bn, list_distinct(a.adt) AS aa, list_distinct(b.adt) AS ba, a.nums AS anum, b.nums AS bnum, a.pc AS apc, b.pc AS bpc, a.nt AS an0, b.nt AS bn0, a.adt AS aa0, b.adt AS ba0 FROM ({FORWARD(TOK, 5)}) f JOIN n a ON a.doc_id = f.s1 JOIN n b ON b.doc_id = f.cand)"
 LI = lambda a, b: f"len(list_intersect({a}, {b}))"
 
@@ -392,19 +394,87 @@ def _(spark, d):
     return p.select("s1", "cand", "al.*", R.similarity(F.get("a.nt", F.lit(0)), F.get("b.nt", F.lit(0))).alias("first_sim"))
 
 
-@C.add("normalize_record", "doc_id:i n_core:s n_legal:s n_skel:s a_core:s a_landmark:s a_nums:s a_postal:s variants:i")
+_core, _forms = N.legal_sql("t")
+_canon = lambda x: N.canonical_sql(N.words_sql(x))
+#: The Latin path of records.normalized, stage by stage.
+NORMAL = f"""WITH f AS (SELECT doc_id, {N.repair_digits_sql(N.fold_latin_sql('name'))} AS n, {N.steps_sql(N.fold_latin_sql('addr'), N.ADDRESS_STEPS)} AS a FROM ({REC})),
+m AS (SELECT doc_id, a, CASE WHEN len(list_filter(list_concat(regexp_extract_all(n, '{N.LABEL}', 1), regexp_extract_all(n, '{N.HANDLE}', 1)), lambda x: regexp_replace(x, '[^a-z0-9]+', '', 'g') <> '')) > 0 THEN regexp_replace(n, '{N.MARKS}', ' ', 'g') ELSE n END AS n FROM f),
+p AS (SELECT doc_id, n, a, list_filter(list_transform(string_split_regex(regexp_replace(n, '{N.DBA}', '|', 'g'), '[|()\\[\\]]'), lambda x: {_canon('x')}), lambda t: len(t) > 0) AS p, string_split_regex(a, '[,;\\n]') AS s FROM m),
+c AS (SELECT doc_id, n, a, list_transform(p, lambda t: {_core}) AS v, flatten(list_transform(p, lambda t: {_forms})) AS l, flatten(list_transform(s, lambda x: {_canon(f"CASE WHEN regexp_matches(x, '{N.LANDMARK}') THEN regexp_extract(x, '^(.*?)(?:{N.LANDMARK})', 1) ELSE x END")})) AS a_core,
+ flatten(list_transform(s, lambda x: {_canon(f"regexp_extract(x, '(?:{N.LANDMARK})(.*)', 1)")})) AS a_landmark, {nums_sql("flatten(list_transform(s, lambda x: " + _canon(f"CASE WHEN regexp_matches(x, '{N.LANDMARK}') THEN regexp_extract(x, '^(.*?)(?:{N.LANDMARK})', 1) ELSE x END") + "))")} AS an, regexp_extract_all(a, '[0-9]{{5,}}') AS z FROM p),
+d AS (SELECT *, flatten(v) AS w, {_canon('n')} AS n_full FROM c),
+e AS (SELECT *, {once_sql('w')} AS core FROM d)
+SELECT doc_id, array_to_string(core, ' ') AS n_core, array_to_string(n_full, ' ') AS n_full, array_to_string(list_sort(list_distinct(l)), ' ') AS n_legal, array_to_string(list_filter(list_transform(core, lambda w: {N.skeleton_sql('w')}), lambda w: w <> ''), ' ') AS n_skel,
+ array_to_string(a_core, ' ') AS a_core, array_to_string(a_landmark, ' ') AS a_landmark, array_to_string({once_sql('an')}, ' ') AS a_nums, array_to_string({once_sql('z')}, ' ') AS a_postal, CASE WHEN len(v) > 1 THEN len(v) ELSE 0 END AS variants FROM e"""
+
+
+@C.add("normalize_record", "doc_id:i n_core:s n_full:s n_legal:s n_skel:s a_core:s a_landmark:s a_nums:s a_postal:s variants:i", NORMAL)
 def _(spark, d):
     r = R.normalized(records(spark, d))
-    return r.select("doc_id", *[joined(F.col(c)).alias(c) for c in ("n_core", "n_legal", "n_skel", "a_core", "a_landmark", "a_nums", "a_postal")], F.size("n_variants").alias("variants"))
+    return r.select("doc_id", *[joined(F.col(c)).alias(c) for c in ("n_core", "n_full", "n_legal", "n_skel", "a_core", "a_landmark", "a_nums", "a_postal")], F.size("n_variants").alias("variants"))
+
+
+@C.add("legal_forms", "p_partkey:i core:s legal:s", f"SELECT p_partkey, array_to_string({_core}, ' ') AS core, array_to_string({_forms}, ' ') AS legal FROM (SELECT p_partkey, string_split(CASE p_partkey % 6 WHEN 0 THEN 'ms shri ' || p_name WHEN 1 THEN p_name || ' pvt ltd' WHEN 2 THEN 'ltd' WHEN 3 THEN p_name || ' co ltd llc' WHEN 4 THEN 'sarl ' || string_split(p_name, ' ')[1] || ' gmbh co kg' ELSE p_name END, ' ') AS t FROM part)")
+def _(spark, d):
+    """Part names with legal forms around."""
+    k, n = F.pmod("p_partkey", F.lit(6)), F.col("p_name")
+    forms = F.when(k == 0, F.concat(F.lit("ms shri "), n)).when(k == 1, F.concat(n, F.lit(" pvt ltd"))).when(k == 2, F.lit("ltd")).when(k == 3, F.concat(n, F.lit(" co ltd llc"))).when(k == 4, F.concat(F.lit("sarl "), F.get(F.split(n, " "), F.lit(0)), F.lit(" gmbh co kg"))).otherwise(n)
+    x = read(spark, d, "part").select("p_partkey", N.legal_apart(F.split(forms, " ")).alias("x"))
+    return x.select("p_partkey", joined(F.col("x.core")).alias("core"), joined(F.col("x.legal")).alias("legal"))
+
+
+_LONG = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
+_SHORT = f"SELECT w AS x FROM ({_LONG}) UNION SELECT substr(w, 1, 2) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, length(w), 1) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || substr(w, length(w), 1) FROM ({_LONG}) UNION SELECT w || w FROM ({_LONG}) UNION SELECT replace(w, 'e', 'a') || 's' FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || '7' FROM ({_LONG})"
+_TOKENS = f"SELECT a.x, b.w AS y FROM ({_SHORT}) a JOIN ({_LONG}) b ON substr(a.x, 1, 1) = substr(b.w, 1, 1)"
+_PATTERN = lambda a: f"regexp_replace(regexp_replace({a}, '(.)', '\\1\\\\D*', 'g'), '\\\\D\\*$', '')"
+_ABB = lambda a, b: f"(length({a}) > 1 AND length({a}) < length({b}) AND NOT regexp_matches({a}, '[0-9]') AND regexp_matches({b}, CASE WHEN length({a}) > 2 THEN '^' || {_PATTERN(a)} || '\\D*$' ELSE '^(' || {a} || '\\D*|' || {_PATTERN(a)} || ')$' END))"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of part names against shortened and altered ones of the same first letter."""
+    w = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    c, n = F.col("w"), F.length("w")
+    first, last = F.substring(c, 1, 1), c.substr(n, F.lit(1))
+    forms = F.array(c, F.substring(c, 1, 2), first, F.concat(first, F.substring(c, 3, 1), last), F.concat(first, last), F.concat(c, c), F.concat(F.replace(c, F.lit("e"), F.lit("a")), F.lit("s")), F.concat(first, F.lit("7")))
+    x = w.select(F.explode(forms).alias("x")).distinct().withColumn("f", F.substring("x", 1, 1))
+    return x.join(w.select(c.alias("y"), first.alias("f")), "f").drop("f")
+
+
+@C.add("token_abbreviations", "x:s y:s short:b", f"SELECT x, y, {_ABB('x', 'y')} AS short FROM ({_TOKENS})")
+def _(spark, d):
+    return _tokens(spark, d).select("x", "y", R.abbreviates(F.col("x"), F.col("y")).alias("short"))
+
+
+@C.add("token_similarity", "x:s y:s sim:d", f"""SELECT x, y, CASE WHEN x = y THEN 1.0 WHEN {_ABB('x', 'y')} OR {_ABB('y', 'x')} THEN 0.9 WHEN regexp_matches(x, '^[0-9]+$') OR regexp_matches(y, '^[0-9]+$') THEN 0.0 WHEN least(length(x), length(y)) < 2 THEN CASE WHEN substr(x, 1, 1) = substr(y, 1, 1) THEN 0.5 ELSE 0.0 END
+ WHEN least(length(x), length(y)) > 3 THEN CASE WHEN jaro_winkler_similarity(x, y) >= 0.9 THEN jaro_winkler_similarity(x, y) WHEN length(x) >= 5 AND {N.skeleton_sql('x')} = {N.skeleton_sql('y')} THEN 0.85 ELSE 0.0 END ELSE 0.0 END AS sim FROM ({_TOKENS})""")
+def _(spark, d):
+    return _tokens(spark, d).select("x", "y", R.similarity("x", "y").alias("sim"))
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """(word, n) of the words of part names and of the records' names."""
+    from kindred.operators.lexicon import vocabulary
+
+    parts = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return vocabulary(parts.unionByName(records(spark, d).select(F.explode(name_toks()).alias("word"))))
 
 
 @C.add("segment_words", "host:s parts:s")
 def _(spark, d):
-    """Hosts' labels cut by a vocabulary of part names, which has at most 64 of them."""
-    words = [r[0] for r in read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().limit(1000).collect()]
-    cut = R.segmenter({w: 1 for w in words} | {"the": 5, "an": 5, "in": 5, "er": 5, "on": 5, "th": 5, "re": 5})
-    h = read(spark, d, "pages").select(F.explode(F.split(F.get(N.domains(F.col("url")), F.lit(0)), r"[.]")).alias("host")).distinct()
-    return h.select("host", joined(cut("host")).alias("parts"))
+    """All labels of all domains in the pages' URLs and run-together part names, cut by the whole vocabulary."""
+    p = read(spark, d, "pages").select(F.explode(F.flatten(F.transform(N.domains(F.col("url")), lambda x: F.split(x, "[.-]")))).alias("token"))
+    run = read(spark, d, "part").select(F.explode(F.array(F.replace("p_name", F.lit(" "), F.lit("")), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("com")))).alias("token"))
+    return R.segmented(p.unionByName(run), _vocabulary(spark, d)).select(F.col("token").alias("host"), joined("parts").alias("parts"))
+
+
+@C.add("normalize_web_names", "p_partkey:i n_core:s n_full:s")
+def _(spark, d):
+    """Part names run together as web addresses and handles, taken apart by the vocabulary."""
+    k, n = F.pmod("p_partkey", F.lit(3)), F.replace("p_name", F.lit(" "), F.lit(""))
+    web = F.when(k == 0, F.concat(F.lit("www."), n, F.lit(".com"))).when(k == 1, F.concat(F.lit("@"), n, F.lit(" Ltd"))).otherwise(F.col("p_name"))
+    r = read(spark, d, "part").select("p_partkey", web.alias("name"), F.lit("").alias("addr"))
+    r = R.normalized(r, key="p_partkey", vocabulary=_vocabulary(spark, d))
+    return r.select("p_partkey", joined("n_core").alias("n_core"), joined("n_full").alias("n_full"))
 
 
 @C.add("fold_any_script", "s:s folded:s")

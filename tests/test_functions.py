@@ -56,12 +56,16 @@ def test_transliteration_and_fold():
     assert R.fold("मित्र", {"मित्र": "friend"}) == "friend"
 
 
-def test_legal_segments_abbreviations():
-    assert R.split_legal("acme tools pvt ltd".split()) == (["acme", "tools"], ["pvt ltd"])
-    assert R.split_legal(["ltd"]) == (["ltd"], [])
+def test_legal_segments_abbreviations(spark):
+    apart = lambda s: tuple(one(spark, [(s.split(),)], "t array<string>", N.legal_apart(F.col("t")))[0][0])
+    assert apart("acme tools pvt ltd") == (["acme", "tools"], ["pvt ltd"]) and apart("ltd") == (["ltd"], []) and apart("") == ([], [])
+    assert apart("ms shri acme tools co ltd llc") == (["acme", "tools"], ["co ltd", "llc", "ms", "shri"]) and apart("sarl acme gmbh co kg") == (["sarl", "acme"], ["gmbh co kg"])
     assert R.segment("olaniqpetcare", {"olaniq": 3, "pet": 10, "care": 10}) == ["olaniq", "pet", "care"]
     assert R.segment("frontierm", {"frontier": 5}) == ["frontierm"]
-    assert R.split_concatenated(["petcarecom", "petcareshop", "other"], {"petcarecom"}, {"pet": 9, "care": 9}) == ["pet", "care", "petcareshop", "other"]
+    vocabulary = spark.createDataFrame([("pet", 9), ("care", 9), ("shop", 1)], "word string, n long")
+    words = spark.createDataFrame([("petcarecom",), ("petcareshop",), ("xyzxyz",), (None,)], "token string")
+    assert {r["token"]: r["parts"] for r in R.segmented(words, vocabulary).collect()} == {"petcarecom": ["pet", "care"], "petcareshop": ["pet", "care", "shop"], "xyzxyz": ["xyzxyz"]}
+    assert R.segmented(words, vocabulary.limit(0)).where("size(parts) > 1").count() == 0
     assert all(R.is_abbreviation(a, b) for a, b in (("rd", "road"), ("pvt", "private"), ("bd", "boulevard"), ("fbg", "faubourg")))
     assert not any(R.is_abbreviation(a, b) for a, b in (("st", "south"), ("rd", "ridge")))
     assert R.token_similarity("r", "rue") == 0.5 and R.token_similarity("rd", "road") == 0.9 and R.token_similarity("12", "13") == 0
@@ -70,7 +74,60 @@ def test_legal_segments_abbreviations():
 def test_alignment():
     same = R.soft_align(["acme", "tools"], ["tools", "acme"], [1.0, 2.0], [2.0, 1.0])
     assert same[0] == pytest.approx(1.0) and same[3] == 0
-    assert R.soft_align([], ["a"], [], [1.0]) == (0.0,) * 9
+    assert R.soft_align([], ["a"], [], [1.0]) == (0, 0, 0, 0, 1, 0, 0, 0, 1)
+    assert R.soft_align(["st", "r"], ["south", "rue"], [1.0, 4.0], [1.0, 2.0])[:3] == pytest.approx((0.5 * 6 / 8, 0.5 * 4 / 5, 0.5 * 2 / 3))
+
+
+def brute_align(a, b, wa, wb):
+    """The greedy choice spelled out."""
+    left, right, got = list(range(len(a))), list(range(len(b))), []
+    while True:
+        pairs = [(s * (wa[i] + wb[j]) / 2, s, i, j) for i in left for j in right if (s := R.token_similarity(a[i], b[j])) > 0]
+        if not pairs:
+            break
+        _, s, i, j = max(pairs)
+        left.remove(i)
+        right.remove(j)
+        got.append((s, i, j))
+    ta, tb = sum(wa), sum(wb)
+    shared = [min(wa[i], wb[j]) for s, i, j in got if s >= 0.85] or [0]
+    na, nb = sum(s * wa[i] for s, i, j in got), sum(s * wb[j] for s, i, j in got)
+    return (na + nb) / (ta + tb), na / ta, nb / tb, max([wa[i] for i in left], default=0), max([wb[j] for j in right], default=0), max(shared), min(shared), ta, tb
+
+
+@settings(max_examples=150, deadline=None)
+@given(*[st.lists(st.sampled_from("road rd ridge street st south private pvt praivet acme akme 12 7 r a international intl".split()), min_size=1, max_size=7)] * 2, st.randoms(use_true_random=False))
+def test_alignment_is_the_greedy_choice(a, b, r):
+    wa, wb = ([r.choice((0.5, 1.0, 2.0, 3.25)) for _ in x] for x in (a, b))
+    assert R.soft_align(a, b, wa, wb) == pytest.approx(brute_align(a, b, wa, wb))
+
+
+GOLDEN = [
+    ("olaniqpetcare.com", "", ["olaniq", "pet", "care"]),
+    ("Hospita1ity of Saint Mary Pvt. Ltd.", "", ["hospitality", "st", "mary"]),
+    ("Joe's L'Atelier (Acme Tools LLC)", "", ["joe", "atelier", "acme", "tools"]),
+    ("Olaniq Ltd d/b/a Pet Care", "", ["olaniq", "pet", "care"]),
+    ("\u092e\u093f\u0924\u094d\u0930 \u092a\u094d\u0930\u093e\u0907\u0935\u0947\u091f", "", ["mitra"]),
+    ("1st Street 12bis", "", ["1", "st", "12", "bis"]),
+]
+
+
+def test_golden_records(spark):
+    vocabulary = spark.createDataFrame([("olaniq", 3), ("pet", 10), ("care", 10)], "word string, n long")
+    df = spark.createDataFrame([(i, n, a) for i, (n, a, _) in enumerate(GOLDEN)] + [(90, "x", "00218 1st St, near Pune Station; Pune 411 001, Maharashtra"), (91, None, None)], "doc_id long, name string, addr string")
+    got = {r["doc_id"]: r for r in R.normalized(df, vocabulary=vocabulary).collect()}
+    for i, (_, _, core) in enumerate(GOLDEN):
+        assert got[i]["n_core"] == core, GOLDEN[i]
+    assert got[1]["n_legal"] == ["pvt ltd"] and got[2]["n_legal"] == ["llc"] and got[3]["n_variants"] == [["olaniq"], ["pet", "care"]] and got[4]["n_legal"] == ["pvt"]
+    a = got[90]
+    assert a["a_core"] == ["218", "1", "st", "pune", "411001", "mh"] and a["a_landmark"] == ["pune", "sta"] and a["a_nums"] == ["218", "1"] and a["a_postal"] == ["411001"]
+    assert got[91]["n_core"] == [] == got[91]["a_core"]
+
+
+def test_columns_of_tokens_agree_with_python(spark):
+    words = "rd road ridge st south pvt private bd boulevard fbg faubourg r rue a1 12 1st street".split()
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", R.abbreviates(F.col("a"), F.col("b")).alias("x"))
+    assert all(r["x"] == R.is_abbreviation(r["a"], r["b"]) for r in df.collect())
 
 
 def test_acronym_and_keys(spark):
