@@ -26,7 +26,7 @@ def token_table(records: DataFrame, toks: Column) -> DataFrame:
 
 def frequencies(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     """(part, tok, df, idf): records that have a token, of both sides; ``sizes`` is (part, n)."""
-    df = tokens.select("part", "id", "tok").distinct().groupBy("part", "tok").agg(F.count("*").alias("df"))
+    df = tokens.select("part", "side", "id", "tok").distinct().groupBy("part", "tok").agg(F.count("*").alias("df"))
     return df.join(sizes, "part").select("part", "tok", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf"), "n")
 
 
@@ -44,6 +44,22 @@ def weighted(tokens: DataFrame, freq: DataFrame) -> DataFrame:
     return w.select("part", "side", "id", "tok", (F.col("w") / norm).alias("w"))
 
 
+#: Documents from which a share caps how many may have a character n-gram, and that share.
+CAP_FROM, CHAR_SHARE = 2000, 0.2
+
+
+def char_weights(docs: DataFrame, words: Column, share: float = CHAR_SHARE) -> DataFrame:
+    """(id, tok, w) of runs of three and four characters within words: (1 + ln tf) * idf, each of ``docs`` (id) of length 1. Of CAP_FROM
+    documents or more, runs that more than ``share`` of them have are left out."""
+    from kindred.functions.normalize import char_ngrams
+
+    t = docs.select("id", F.explode(F.concat(char_ngrams(words, 3), char_ngrams(words, 4))).alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"))
+    n = docs.agg(F.count("*").alias("n"))
+    df = t.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("n") < CAP_FROM) | (F.col("df") <= share * F.col("n")))
+    w = t.join(df, "tok").withColumn("w", (1 + F.ln("tf")) * smooth_idf(F.col("n"), F.col("df")))
+    return w.select("id", "tok", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("w"))
+
+
 def cosines(w: DataFrame, least: float = 1e-9) -> DataFrame:
     """(part, s1, cand, score) of every anchor and pool record that share a token; score rounded so that noise decides no tie."""
     a = w.where("side = 0").select("part", "tok", F.col("id").alias("s1"), F.col("w").alias("wa"))

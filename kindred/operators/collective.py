@@ -17,15 +17,30 @@ def within(df: DataFrame, p: str = "p") -> DataFrame:
     return d.withColumn("gap", F.col("s1_max") - F.col(p)).withColumn("rel", safe_div(F.col(p), F.col("s1_max")))
 
 
+def rivals(df: DataFrame, p: str = "p") -> DataFrame:
+    """(cand, first_s1, cand_max, cand_2nd, n_claims, cand_sum, n_claims_strong): the two best claims of a record, and sums.
+
+    Ranks beyond two leave before the shuffle and sums are partial, so a record of very many claims is no single task's.
+    """
+    top = df.withColumn("__r", F.row_number().over(best_first("cand", p, "s1"))).where(F.col("__r") <= 2)
+    at = lambda k, c: F.max(F.when(F.col("__r") == k, F.col(c)))
+    top = top.groupBy("cand").agg(at(1, "s1").alias("first_s1"), at(1, p).alias("cand_max"), F.coalesce(at(2, p), lit(0)).alias("cand_2nd"))
+    sums = df.groupBy("cand").agg(F.count("*").alias("n_claims"), F.sum(p).alias("cand_sum"), F.count_if(F.col(p) > 0.5).alias("n_claims_strong"))
+    return top.join(sums, "cand")
+
+
+def with_rivals(df: DataFrame, p: str = "p") -> DataFrame:
+    """Adds the columns of ``rivals``, is_best, and rival_p: the best other claim of the record, 0 without one."""
+    d = df.join(rivals(df, p), "cand").withColumn("is_best", F.col("s1") == F.col("first_s1")).drop("first_s1")
+    return d.withColumn("rival_p", F.when(F.col("is_best"), F.col("cand_2nd")).otherwise(F.col("cand_max")))
+
+
 def across(df: DataFrame, p: str = "p") -> DataFrame:
     """Rank, margin over the rival and sums among the claims of a pool record, and whether each is the other's best."""
-    w, order = Window.partitionBy("cand"), best_first("cand", p, "s1")
-    d = df.withColumns({"rank_in_cand": F.row_number().over(order).cast("bigint"), "n_claims": F.count("*").over(w), "cand_sum": F.sum(p).over(w), "cand_max": F.max(p).over(w)})
-    d = d.withColumn("cand_2nd", F.coalesce(F.max(F.when(F.col("rank_in_cand") == 2, F.col(p))).over(w), lit(0)))
-    best = F.col("rank_in_cand") == 1
-    d = d.withColumn("margin", F.when(best, F.col(p) - F.col("cand_2nd")).otherwise(F.col(p) - F.col("cand_max"))).withColumn("is_best", best)
+    d = with_rivals(df, p).withColumn("margin", F.col(p) - F.col("rival_p"))
+    d = d.withColumn("rank_in_cand", F.row_number().over(best_first("cand", p, "s1")).cast("bigint"))
     mine = F.row_number().over(best_first("s1", p, "cand")) == 1
-    return d.withColumn("reciprocal", best & mine).drop("cand_2nd")
+    return d.withColumn("reciprocal", F.col("is_best") & mine).drop("cand_2nd")
 
 
 def sibling_support(df: DataFrame, sims: DataFrame, p: str = "p", order: str = "p", top_m: int = 10) -> DataFrame:
@@ -40,28 +55,60 @@ def sibling_support(df: DataFrame, sims: DataFrame, p: str = "p", order: str = "
     return df.join(s, ["s1", "cand"], "left").fillna(0, ["sib_support", "sib_count", "sib_sim"])
 
 
+#: What entity_features takes of a pair beside its score, 0 where the table has no such column; and of an anchor.
+PAIR_COLUMNS = ("n_cos", "a_cos", "j_cos", "n_sd", "a_sd", "post_eq", "post_conf")
+ANCHOR_COLUMNS = ("ntok_n", "ntok_a", "has_post", "name_freq", "name_idf")
+
+
+def _with_zeros(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), lit(0)) if c in df.columns else lit(0) for c in names})
+
+
 def entity_features(anchors: DataFrame, df: DataFrame, p: str = "p") -> DataFrame:
-    """One row for each anchor, zeros for those without candidates: best scores, mass, entropy and counts."""
-    s = group_summary(df, "s1", p, "cand").withColumn("gap", F.col("top1") - F.col("top2"))
-    return anchors.select("s1").join(s, "s1", "left").fillna(0)
+    """One row for each anchor, zeros for those without candidates: best scores, mass, entropy and counts; the largest cosines; of the
+    best candidate whether each is the other's best, how their names and addresses align, postal codes (1 agree, -1 conflict)
+    and the margin over its other claims; and the anchor's own tokens, postal code, log of its name's frequency and mean weight of its words."""
+    s = group_summary(df, "s1", p, "cand").select("s1", "top1", "top2", (F.col("top1") - F.col("top2")).alias("gap"), "mass", "entropy", "n03", "n05", "n07", "n")
+    d = _with_zeros(with_rivals(df, p), PAIR_COLUMNS).withColumn("__top", F.row_number().over(best_first("s1", p, "cand")) == 1)
+    top = lambda c: F.max(F.when(F.col("__top"), c))
+    more = d.groupBy("s1").agg(
+        F.max("n_cos").alias("max_ncos"), F.max("a_cos").alias("max_acos"), F.max("j_cos").alias("max_jcos"), top(F.col("is_best").cast("double")).alias("top1_recip"), top(F.col("n_sd")).alias("top1_nsd"), top(F.col("a_sd")).alias("top1_asd"),
+        top(F.col("post_eq") - F.col("post_conf")).alias("top1_post"), top(F.col(p) - F.col("rival_p")).alias("top1_margin"),
+    )
+    a = _with_zeros(anchors, ANCHOR_COLUMNS).select("s1", *[F.col(c).alias(f"s1_{c}") for c in ANCHOR_COLUMNS])
+    out = a.join(s.join(more, "s1"), "s1", "left").fillna(0)
+    return out.select("s1", *[F.col(c).alias(f"e_{c}") for c in out.columns if c != "s1"])
 
 
 def gate_features(anchors: DataFrame, df: DataFrame, p: str = "p") -> DataFrame:
-    """Like entity_features, with what rivals claim: their best score for the anchor's best candidate, strong rivals, and candidates lost."""
-    w = Window.partitionBy("cand")
-    d = df.withColumn("__n", F.count("*").over(w)).withColumn("__rk", F.row_number().over(best_first("cand", p, "s1")))
-    d = d.withColumn("__top", F.max(p).over(w)).withColumn("__second", F.coalesce(F.max(F.when(F.col("__rk") == 2, F.col(p))).over(w), lit(0)))
-    d = d.withColumn("rival", F.when(F.col("__rk") == 1, F.col("__second")).otherwise(F.col("__top"))).withColumn("n_rivals", F.count_if(F.col(p) > 0.5).over(w) - (F.col(p) > 0.5).cast("bigint"))
-    d = d.withColumn("__r", F.row_number().over(best_first("s1", p, "cand")))
-    at1 = lambda c: F.coalesce(F.max(F.when(F.col("__r") == 1, F.col(c))), lit(0))
-    g = d.groupBy("s1").agg(at1(p).alias("h_top1"), at1("rival").alias("h_rival_top"), at1("n_rivals").alias("h_rivals_top"), F.count_if((F.col(p) > 0.5) & (F.col("__rk") > 1)).alias("h_lost"), F.sum(p).alias("h_sum"), F.sum(entropy_term(F.col(p))).alias("h_entropy"), F.count("*").alias("h_n"))
+    """What tells whether an anchor has a match at all: its best scores, mass, counts and entropy; the meta-blocker's and the first
+    model's view (columns meta and p1, 0 without them); and what rivals claim of its best candidate and of those it loses."""
+    d = _with_zeros(with_rivals(df, p), ("meta", "p1")).withColumn("__r", F.row_number().over(best_first("s1", p, "cand")))
+    d = d.withColumn("__n", F.col("n_claims_strong") - (F.col(p) > 0.5).cast("bigint"))
+    at = lambda k, c: F.coalesce(F.max(F.when(F.col("__r") == k, F.col(c))), lit(0))
+    above = lambda t: F.count_if(F.col(p) > t)
+    g = d.groupBy("s1").agg(
+        at(1, p).alias("h_top1"), at(2, p).alias("h_top2"), at(3, p).alias("h_top3"), F.sum(p).alias("h_sum"), above(0.1).alias("h_n01"), above(0.3).alias("h_n03"), above(0.5).alias("h_n05"), above(0.7).alias("h_n07"), above(0.9).alias("h_n09"),
+        F.count("*").alias("h_ncand"), at(1, "meta").alias("h_meta_top"), F.max("meta").alias("h_meta_max"), at(1, "p1").alias("h_p1_top"), at(1, "rival_p").alias("h_rival_top"), at(1, "__n").alias("h_rival_n05_top"),
+        F.count_if((F.col(p) > 0.5) & (F.col("rival_p") > F.col(p))).alias("h_lost05"), F.sum(entropy_term(F.col(p))).alias("h_entropy"),
+    )
     return anchors.select("s1").join(g, "s1", "left").fillna(0)
 
 
-def stack_features(df: DataFrame, p: str = "p") -> DataFrame:
-    """Inputs of a second-level model: logit, place and share among an anchor's and among a record's pairs."""
-    a = across(within(df, p), p)
-    return a.select("s1", "cand", logit(F.col(p)).alias("lp"), F.col("rank_in_s1").alias("rank_s1"), F.col("gap").alias("gap_top"), F.col("rel").alias("rel_top"), F.col("s1_sum").alias("s1_mass"), "n_strong", "n_mid", F.col("n_cands").alias("s1_cnt"), F.col("n_claims").alias("rival_n"), F.col("rank_in_cand").alias("claim_rank"), F.col("margin").alias("margin_rival"))
+def stack_features(df: DataFrame, p: str = "p", members: tuple[str, ...] = ()) -> DataFrame:
+    """Inputs of a second-level model: logits of both models (p and p1; p for both without it), the meta-blocker's score, place and
+    share among an anchor's and among a record's pairs. Each of ``members``, logits of other scorers that may be missing, adds
+    itself, whether it is there, and its distance from the logit of p."""
+    d = df if "p1" in df.columns else df.withColumn("p1", F.col(p))
+    a = _with_zeros(across(within(d, p), p), ("meta",))
+    n_mid = F.count_if((F.col(p) > 0.2) & (F.col(p) <= 0.8)).over(Window.partitionBy("s1"))
+    cols = {
+        "lp2": logit(F.col(p)), "lp1": logit(F.col("p1")), "meta": F.col("meta"), "rank_s1": F.col("rank_in_s1"), "gap_top": F.col("gap"), "rel_top": F.col("rel"), "s1_mass": F.col("s1_sum"), "s1_strong": F.col("n_strong"), "s1_mid": n_mid,
+        "s1_cnt": F.col("n_cands"), "rival_p": F.col("rival_p"), "rival_n": F.col("n_claims_strong") - (F.col(p) > 0.5).cast("bigint"), "claim_rank": F.col("rank_in_cand"), "margin_rival": F.col("margin"),
+    }
+    for m in members:
+        cols |= {m: F.col(m), f"has_{m}": F.col(m).isNotNull().cast("int"), f"{m}_x_lp2": F.col(m) - logit(F.col(p))}
+    return a.select("s1", "cand", *[c.alias(k) for k, c in cols.items()])
 
 
 def profile(df: DataFrame, anchors: DataFrame, p: str = "p") -> DataFrame:

@@ -7,10 +7,11 @@ only shuffle of the decoder is the one that gathers an anchor's candidates, at m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import lit, odds
+from kindred.operators.collective import with_rivals
 from kindred.operators.ranking import best_first, grouped_rank
 
 MAX_CANDIDATES = 15
@@ -73,23 +74,26 @@ def selections(decoded: DataFrame, k: str = "k", key: str = "s1") -> DataFrame:
 
 def soft_exclusivity(df: DataFrame, gamma: float, p: str = "p") -> DataFrame:
     """Claims of a pool record that are not its best are worth ``gamma`` times as much."""
-    r = F.row_number().over(best_first("cand", p, "s1"))
-    return df.withColumn("q", F.when(r == 1, F.col(p)).otherwise(F.col(p) * gamma))
+    d = with_rivals(df, p)
+    return d.select(*df.columns, F.when(F.col("is_best"), F.col(p)).otherwise(F.col(p) * gamma).alias("q"))
 
 
 def exclusivity(df: DataFrame, mode: str = "hard", lam: float = 1.0, p: str = "p") -> DataFrame:
     """Adds q: p as it is (none), zero for all but a record's best claim (hard), its odds against its rivals' (joint), or both (hardjoint)."""
-    first = F.row_number().over(best_first("cand", p, "s1")) == 1
-    o = odds(F.col(p))
-    rivals = F.sum(o).over(Window.partitionBy("cand")) - o
-    joint = o / (1 + o + lam * F.greatest(rivals, lit(0)))
-    q = {"none": F.col(p), "hard": F.when(first, F.col(p)).otherwise(lit(0)), "joint": joint, "hardjoint": F.when(first, joint).otherwise(lit(0))}[mode]
-    return df.withColumn("q", q)
+    d, o = df.drop("q"), odds(F.col(p))
+    columns = d.columns
+    if mode in ("hard", "hardjoint"):
+        d = with_rivals(d, p)
+    if mode in ("joint", "hardjoint"):  # sums are partial before they are shuffled, and joined back
+        d = d.join(df.groupBy("cand").agg(F.sum(o).alias("__odds")), "cand").withColumn("__joint", o / (1 + o + lam * F.greatest(F.col("__odds") - o, lit(0))))
+    first = lambda c: F.when(F.col("is_best"), c).otherwise(lit(0))
+    q = {"none": lambda: F.col(p), "hard": lambda: first(F.col(p)), "joint": lambda: F.col("__joint"), "hardjoint": lambda: first(F.col("__joint"))}[mode]()
+    return d.select(*columns, q.alias("q"))
 
 
 def one_owner(chosen: DataFrame, q: str = "q") -> DataFrame:
     """Of the selections of one pool record only the best stays."""
-    return chosen.withColumn("__r", F.row_number().over(best_first("cand", q, "s1"))).where("__r = 1").drop("__r")
+    return chosen.withColumn("__r", F.row_number().over(best_first("cand", q, "s1"))).where("__r <= 1").drop("__r")  # limited before the shuffle
 
 
 def run_policy(pairs: DataFrame, mode: str = "hard", a: float = 1.0, b: float = 0.0) -> DataFrame:

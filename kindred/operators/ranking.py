@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import entropy_term, lit
+from kindred.sources.shared import table
 
 
 def best_first(key: str | list[str], value: str, tie: str):
@@ -51,7 +52,22 @@ def running_true(df: DataFrame, key: str, p: str, y: str, tie: str) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("tp", F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
 
 
+def sums_before(df: DataFrame, sums: list[str], *order: Column) -> DataFrame:
+    """``df`` and, as before_x for each x of ``sums``, the sum of x over all rows before a row in ``order``, which has no ties.
+
+    Rows are dealt to ranges of the order; sums run within a range, and over the ranges, of which there are as many as
+    shuffle partitions. So no task sees all rows.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = table(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(*[F.sum(x).alias(f"__{x}") for x in sums])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{x}").over(over), F.lit(0)).alias(f"__{x}") for x in sums])
+    out = ranged.withColumns({f"before_{x}": F.coalesce(F.sum(x).over(within), F.lit(0)) for x in sums}).join(F.broadcast(totals), "__range")
+    return out.withColumns({f"before_{x}": F.col(f"before_{x}") + F.col(f"__{x}") for x in sums}).drop("__range", *[f"__{x}" for x in sums])
+
+
 def cumulative_budget(groups: DataFrame, size: str, order: list[Column], budget: int) -> DataFrame:
     """Groups in the given order until their sizes reach ``budget``, the crossing group included."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("__before") < budget).drop("__before")
+    return sums_before(groups, [size], *order).where(F.col(f"before_{size}") < budget).drop(f"before_{size}")

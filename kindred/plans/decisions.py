@@ -140,32 +140,66 @@ def _(spark, d):
     return collective.sibling_support(c, sims)
 
 
-@C.add("entity_feats", "s1:i top1:d top2:d top3:d gap:d mass:d entropy:d n03:i n05:i n07:i n:i", f"SELECT a.o_orderkey AS s1, coalesce(top1, 0) AS top1, coalesce(top2, 0) AS top2, coalesce(top3, 0) AS top3, coalesce(top1 - top2, 0) AS gap, coalesce(mass, 0) AS mass, coalesce(entropy, 0) AS entropy, coalesce(n03, 0) AS n03, coalesce(n05, 0) AS n05, coalesce(n07, 0) AS n07, coalesce(n, 0) AS n FROM orders a LEFT JOIN ({SUMMARY}) s ON s.s1 = a.o_orderkey")
+#: Stand-ins for what other steps know of a pair and of an anchor, from their ids.
+KNOWN = """SELECT *, (31 * cand + 17 * s1) % 101 / 101.0::DOUBLE AS n_cos, (57 * cand + 11 * s1) % 89 / 89.0::DOUBLE AS a_cos, (13 * cand + 7 * s1) % 83 / 83.0::DOUBLE AS j_cos, (19 * cand + 5 * s1) % 79 / 79.0::DOUBLE AS n_sd, (23 * cand + 3 * s1) % 73 / 73.0::DOUBLE AS a_sd,
+ CASE WHEN (cand + s1) % 5 = 0 THEN 1 ELSE 0 END AS post_eq, CASE WHEN (cand + s1) % 5 = 1 THEN 1 ELSE 0 END AS post_conf, (3 * cand + s1) % 91 / 91.0::DOUBLE AS meta, (5 * cand + 2 * s1) % 95 / 95.0::DOUBLE AS p1, CASE WHEN cand % 3 > 0 THEN (cand % 10 - 5) / 3.0::DOUBLE END AS ce"""
+
+
+def _known(df: DataFrame) -> DataFrame:
+    of = lambda a, b, m: F.pmod(a * F.col("cand") + b * F.col("s1"), F.lit(m)) / lit(m)
+    k = F.pmod(F.col("cand") + F.col("s1"), F.lit(5))
+    return df.withColumns(
+        {
+            "n_cos": of(31, 17, 101), "a_cos": of(57, 11, 89), "j_cos": of(13, 7, 83), "n_sd": of(19, 5, 79), "a_sd": of(23, 3, 73), "post_eq": (k == 0).cast("int"), "post_conf": (k == 1).cast("int"),
+            "meta": of(3, 1, 91), "p1": of(5, 2, 95), "ce": F.when(F.pmod("cand", F.lit(3)) > 0, (F.pmod("cand", F.lit(10)) - 5) / lit(3)),
+        }
+    )
+
+
+_E = "top1 top2 gap mass entropy n03 n05 n07 n max_ncos max_acos max_jcos top1_recip top1_nsd top1_asd top1_post top1_margin".split()
+
+
+@C.add(
+    "entity_feats",
+    "s1:i e_s1_ntok_n:d e_s1_ntok_a:d e_s1_has_post:d e_s1_name_freq:d e_s1_name_idf:d " + " ".join(f"e_{c}:d" for c in _E),
+    f"""SELECT o_orderkey AS s1, o_orderkey % 7 AS e_s1_ntok_n, o_orderkey % 11 AS e_s1_ntok_a, o_orderkey % 2 AS e_s1_has_post, ln(1 + o_orderkey % 13) AS e_s1_name_freq, o_orderkey % 17 / 17.0::DOUBLE AS e_s1_name_idf, {', '.join(f'coalesce({c}, 0) AS e_{c}' for c in _E)}
+ FROM orders LEFT JOIN (SELECT *, top1 - top2 AS gap FROM ({SUMMARY})) s ON s.s1 = o_orderkey LEFT JOIN (SELECT s1, max(n_cos) AS max_ncos, max(a_cos) AS max_acos, max(j_cos) AS max_jcos, {', '.join(f'max(CASE WHEN rank_in_s1 = 1 THEN {x} END) AS top1_{c}' for c, x in (('recip', 'CASE WHEN is_best THEN 1 ELSE 0 END'), ('nsd', 'n_sd'), ('asd', 'a_sd'), ('post', 'post_eq - post_conf'), ('margin', 'margin')))}
+ FROM ({KNOWN} FROM ({ACROSS})) GROUP BY s1) t ON t.s1 = o_orderkey""",
+)
 def _(spark, d):
-    return collective.entity_features(anchors(spark, d), claims(spark, d))
+    k = F.col("s1")
+    a = anchors(spark, d).withColumns({"ntok_n": F.pmod(k, F.lit(7)), "ntok_a": F.pmod(k, F.lit(11)), "has_post": F.pmod(k, F.lit(2)), "name_freq": F.log1p(F.pmod(k, F.lit(13)).cast("double")), "name_idf": F.pmod(k, F.lit(17)) / lit(17)})
+    return collective.entity_features(a, _known(claims(spark, d)))
+
+
+_H = {
+    "h_top1": "max(CASE WHEN rank_in_s1 = 1 THEN p END)", "h_top2": "max(CASE WHEN rank_in_s1 = 2 THEN p END)", "h_top3": "max(CASE WHEN rank_in_s1 = 3 THEN p END)", "h_sum": "sum(p)", **{f"h_n0{k}": f"count(*) FILTER (p > 0.{k})" for k in (1, 3, 5, 7, 9)},
+    "h_ncand": "count(*)", "h_meta_top": "max(CASE WHEN rank_in_s1 = 1 THEN meta END)", "h_meta_max": "max(meta)", "h_p1_top": "max(CASE WHEN rank_in_s1 = 1 THEN p1 END)", "h_rival_top": "max(CASE WHEN rank_in_s1 = 1 THEN p - margin END)",
+    "h_rival_n05_top": "max(CASE WHEN rank_in_s1 = 1 THEN strong - CASE WHEN p > 0.5 THEN 1 ELSE 0 END END)", "h_lost05": "count(*) FILTER (p > 0.5 AND p - margin > p)", "h_entropy": "sum(-p * ln(greatest(p, 1e-9)))",
+}
 
 
 @C.add(
     "gate_feats",
-    "s1:i h_top1:d h_rival_top:d h_rivals_top:i h_lost:i h_sum:d h_entropy:d h_n:i",
-    f"""SELECT a.o_orderkey AS s1, coalesce(h_top1, 0) AS h_top1, coalesce(h_rival_top, 0) AS h_rival_top, coalesce(h_rivals_top, 0) AS h_rivals_top, coalesce(h_lost, 0) AS h_lost, coalesce(h_sum, 0) AS h_sum,
- coalesce(h_entropy, 0) AS h_entropy, coalesce(h_n, 0) AS h_n FROM orders a LEFT JOIN (SELECT s1, max(CASE WHEN rank_in_s1 = 1 THEN p END) AS h_top1,
- max(CASE WHEN rank_in_s1 = 1 THEN CASE WHEN rank_in_cand = 1 THEN cand_2nd ELSE cand_max END END) AS h_rival_top, max(CASE WHEN rank_in_s1 = 1 THEN strong - CASE WHEN p > 0.5 THEN 1 ELSE 0 END END) AS h_rivals_top,
- count(*) FILTER (p > 0.5 AND rank_in_cand > 1) AS h_lost, sum(p) AS h_sum, sum(-p * ln(greatest(p, 1e-9))) AS h_entropy, count(*) AS h_n
- FROM (SELECT *, count(*) FILTER (p > 0.5) OVER (PARTITION BY cand) AS strong FROM ({ACROSS})) GROUP BY s1) h ON h.s1 = a.o_orderkey""",
+    "s1:i " + " ".join(f"{c}:d" for c in _H),
+    f"SELECT o_orderkey AS s1, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _H)} FROM orders LEFT JOIN (SELECT s1, {', '.join(f'{x} AS {c}' for c, x in _H.items())} FROM (SELECT *, count(*) FILTER (p > 0.5) OVER (PARTITION BY cand) AS strong FROM ({KNOWN} FROM ({ACROSS}))) GROUP BY s1) h ON h.s1 = o_orderkey",
 )
 def _(spark, d):
-    return collective.gate_features(anchors(spark, d), claims(spark, d))
+    return collective.gate_features(anchors(spark, d), _known(claims(spark, d)))
+
+
+_LOGIT = lambda x: f"ln(greatest(1e-6, least(1 - 1e-6, {x})) / (1 - greatest(1e-6, least(1 - 1e-6, {x}))))"
 
 
 @C.add(
     "stack_feats",
-    "s1:i cand:i lp:d rank_s1:i gap_top:d rel_top:d s1_mass:d n_strong:i n_mid:i s1_cnt:i rival_n:i claim_rank:i margin_rival:d",
-    f"""SELECT s1, cand, ln(q / (1 - q)) AS lp, rank_in_s1 AS rank_s1, s1_max - p AS gap_top, p / greatest(s1_max, 1e-9) AS rel_top, s1_mass, n_strong, n_mid, s1_cnt, n_claims AS rival_n, rank_in_cand AS claim_rank, margin AS margin_rival
- FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, p)) AS q, max(p) OVER w AS s1_max, sum(p) OVER w AS s1_mass, count(*) FILTER (p > 0.5) OVER w AS n_strong, count(*) FILTER (p > 0.2) OVER w AS n_mid, count(*) OVER w AS s1_cnt FROM ({ACROSS}) WINDOW w AS (PARTITION BY s1))""",
+    "s1:i cand:i lp2:d lp1:d meta:d rank_s1:i gap_top:d rel_top:d s1_mass:d s1_strong:i s1_mid:i s1_cnt:i rival_p:d rival_n:i claim_rank:i margin_rival:d ce:d has_ce:i ce_x_lp2:d",
+    f"""SELECT s1, cand, {_LOGIT('p')} AS lp2, {_LOGIT('p1')} AS lp1, meta, rank_in_s1 AS rank_s1, s1_max - p AS gap_top, p / greatest(s1_max, 1e-9) AS rel_top, s1_mass, s1_strong, s1_mid, s1_cnt, p - margin AS rival_p, strong - CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS rival_n, rank_in_cand AS claim_rank, margin AS margin_rival,
+ ce, CASE WHEN ce IS NOT NULL THEN 1 ELSE 0 END AS has_ce, ce - {_LOGIT('p')} AS ce_x_lp2
+ FROM ({KNOWN}, max(p) OVER w AS s1_max, sum(p) OVER w AS s1_mass, count(*) FILTER (p > 0.5) OVER w AS s1_strong, count(*) FILTER (p > 0.2 AND p <= 0.8) OVER w AS s1_mid, count(*) OVER w AS s1_cnt, count(*) FILTER (p > 0.5) OVER (PARTITION BY cand) AS strong FROM ({ACROSS}) WINDOW w AS (PARTITION BY s1))""",
 )
 def _(spark, d):
-    return collective.stack_features(claims(spark, d))
+    return collective.stack_features(_known(claims(spark, d)), members=("ce",))
 
 
 @C.add(

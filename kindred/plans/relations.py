@@ -40,13 +40,14 @@ def _(spark, d):
     return files.dedup_source(r, "doc_id")
 
 
-@C.add("split_union_semi", "s1:i cand:i", f"WITH g AS (SELECT a.doc_id AS s1, b.doc_id AS cand FROM ({REC}) a JOIN ({REC}) b ON md5(a.text) = md5(b.text) AND a.cty = b.cty AND a.src = 'S1') SELECT g.s1, g.cand FROM g JOIN ({REC}) p ON p.doc_id = g.cand WHERE p.src <> 'S1'")
+@C.add("split_union_semi", "s1:i cand:i", f"SELECT s1, cand FROM ({CLAIMS}) WHERE y = 1 AND cand % 7 <> 0")
 def _(spark, d):
-    """Gold pairs of equal texts; those that point to anchors leave with the semi-join to the pool."""
-    r = records(spark, d).select("doc_id", "src", "cty", F.md5(F.col("text").cast("binary")).alias("h"))
-    g = r.where("src = 'S1'").select(F.col("doc_id").alias("s1"), "cty", "h").join(r.select(F.col("doc_id").alias("cand"), "cty", "h"), ["cty", "h"]).select("s1", "cand")
-    part = lambda s: r.where(F.col("src") == s).select(F.col("doc_id").alias("entity_id"))
-    return files.load_split(part("S1"), part("S2"), part("S3"), g)[2]
+    """Orders are anchors and returned parts their gold; the parts divisible by 7 are in neither source, so their pairs leave with the
+    semi-join to the pool."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"))
+    part = lambda a, b: p.where(F.pmod("entity_id", F.lit(7)).between(a, b))
+    s1 = read(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"))
+    return files.load_split(s1, part(1, 3), part(4, 6), claims(spark, d).where("y = 1").select("s1", "cand"))[2]
 
 
 @C.add("partition_scan", "cty:s n:i chars:i", f"SELECT cty, count(*) AS n, sum(length(text)) AS chars FROM ({REC}) GROUP BY cty")
@@ -231,17 +232,18 @@ def _(spark, d):
 )
 def _(spark, d):
     """What a data set is like before anything is fitted: sizes, how many match, whether matches exclude each other and cross countries."""
-    r = records(spark, d).select("doc_id", "src", "cty", F.md5(F.col("name").cast("binary")).alias("hn"), F.md5(F.col("text").cast("binary")).alias("h"))
-    s1, pool = r.where("src = 'S1'"), r.where("src <> 'S1'")
-    g = s1.select(F.col("doc_id").alias("s1"), F.col("cty").alias("ca"), "h").join(pool.select(F.col("doc_id").alias("cand"), F.col("cty").alias("cb"), "src", "h"), "h")
-    m = g.groupBy("s1", "src").agg(F.count("*").alias("k")).groupBy("s1").agg(F.max("k").alias("k"))
+    r = records(spark, d).select("src", "cty", F.md5(F.col("name").cast("binary")).alias("hn"), F.md5(F.col("text").cast("binary")).alias("h"))
     n = r.agg(F.count_if(F.col("src") == "S1").cast("double").alias("anchors"), F.count_if(F.col("src") != "S1").cast("double").alias("pool"), F.count("*").cast("double").alias("n"))
-    pairs = g.agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("same_country"), F.avg((F.col("src") == "S3").cast("double")).alias("share_s3"))
-    by = m.agg(F.count("*").alias("m"), F.avg((F.col("k") > 1).cast("double")).alias("two_of_one_source"))
-    c = g.groupBy("cand").agg(F.count("*").alias("k")).agg(F.count("*").alias("c"), F.avg((F.col("k") == 1).cast("double")).alias("exclusive"))
+    # equal texts are counted, not paired: anchors and pool records of each text, and of each text and country
+    of = lambda s: F.count_if(F.col("src") == s).cast("double")
+    c = r.groupBy("h", "cty").agg(of("S1").alias("a"), of("S2").alias("b"), of("S3").alias("c"))
+    t = c.groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum(F.col("a") * (F.col("b") + F.col("c"))).alias("same")).where("a > 0 and b + c > 0")
+    g = t.agg(
+        F.sum("a").alias("m"), F.sum(F.expr("b + c")).alias("k"), F.sum(F.expr("if(a = 1, b + c, 0)")).alias("alone"), F.sum(F.expr("if(b > 1 or c > 1, a, 0)")).alias("two"), F.sum("same").alias("same"), F.sum(F.expr("a * c")).alias("s3"), F.sum(F.expr("a * (b + c)")).alias("pairs")
+    )
     names = r.groupBy("hn").agg(F.count("*").alias("k")).where("k > 1").agg(F.sum("k").alias("shared"))
-    one = n.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(by)).crossJoin(F.broadcast(c)).crossJoin(F.broadcast(names))
-    return one.selectExpr("stack(9, 'anchors', anchors, 'pool', pool, 'share_matched', m / anchors, 'pool_matched', c / pool, 'exclusive', exclusive, 'same_country', same_country, 'two_of_one_source', two_of_one_source, 'share_s3', share_s3, 'shared_names', shared / n) as (gate, value)")
+    one = n.crossJoin(F.broadcast(g)).crossJoin(F.broadcast(names))
+    return one.selectExpr("stack(9, 'anchors', anchors, 'pool', pool, 'share_matched', coalesce(m, 0) / anchors, 'pool_matched', coalesce(k, 0) / pool, 'exclusive', alone / k, 'same_country', same / pairs, 'two_of_one_source', two / m, 'share_s3', s3 / pairs, 'shared_names', shared / n) as (gate, value)")
 
 
 # ---- samples and folds
@@ -297,10 +299,38 @@ def _(spark, d):
     return calibration.shift_bands(c.where("s1 % 2 = 0"), o.where("o_orderkey % 2 = 0").count(), c.where("s1 % 2 = 1"), o.where("o_orderkey % 2 = 1").count())
 
 
-@C.add("isotonic_fit", "s1:i cand:i q:d")
+#: Monotone fit of (x, avg, w) in the order of x: the greatest over all beginnings of the least mean over all ends.
+PAV = lambda points, by="": f"""SELECT {by and by + ','} x, max(least_mean) AS v FROM (SELECT {by and 'b.' + by + ','} e.x, min((e.s - b.s + b.w * b.y) / (e.n - b.n + b.w)) OVER (PARTITION BY {by and 'b.' + by + ','} b.x ORDER BY e.x DESC ROWS UNBOUNDED PRECEDING) AS least_mean
+ FROM ({points}) b JOIN ({points}) e ON e.x >= b.x {by and f'AND e.{by} = b.{by}'}) GROUP BY {by and by + ','} x"""
+_sums = lambda t, by="": f"SELECT {by and by + ','} x, y, w, sum(w) OVER ({by and 'PARTITION BY ' + by} ORDER BY x) AS n, sum(w * y) OVER ({by and 'PARTITION BY ' + by} ORDER BY x) AS s FROM ({t})"
+_points = _sums(f"SELECT p AS x, avg(y) AS y, count(*)::DOUBLE AS w FROM ({CLAIMS}) GROUP BY p")
+
+
+@C.add("isotonic_fit", "s1:i cand:i q:d", f"SELECT s1, cand, v AS q FROM ({CLAIMS}) c JOIN ({PAV(_points)}) k ON k.x = c.p")
 def _(spark, d):
     c = claims(spark, d)
-    return c.withColumn("q", calibration.Isotonic(c, places=2)(F.col("p")))
+    return c.withColumn("q", calibration.Isotonic(c)(F.col("p")))
+
+
+_foldpoints = _sums(f"SELECT f AS fold, p AS x, avg(y) AS y, count(*)::DOUBLE AS w FROM ({CLAIMS}), (VALUES (0), (1), (2)) v(f) WHERE s1 % 3 <> f GROUP BY f, p", "fold")
+
+
+@C.add("calibrate_oof", "s1:i cand:i q:d", f"WITH k AS MATERIALIZED ({PAV(_foldpoints, 'fold')}), c AS (SELECT *, s1 % 3 AS fold FROM ({CLAIMS})), l AS (SELECT c.*, k.x AS lx, k.v AS lv FROM c ASOF LEFT JOIN k ON c.fold = k.fold AND c.p >= k.x), b AS (SELECT l.*, k.x AS hx, k.v AS hv FROM l ASOF LEFT JOIN k ON l.fold = k.fold AND l.p <= k.x) SELECT s1, cand, CASE WHEN lx IS NULL THEN hv WHEN hx IS NULL OR hx = lx THEN lv ELSE lv + (hv - lv) * (p - lx) / (hx - lx) END AS q FROM b")
+def _(spark, d):
+    """Each fold's scores calibrated on the others."""
+    return calibration.refitted(claims(spark, d).withColumn("fold", F.pmod("s1", F.lit(3))), "fold", 3)
+
+
+_bands = f"""SELECT mean_new AS x, least(rate, expected / n_new) AS y, n_new::DOUBLE AS w FROM (SELECT w.n AS n_new, m AS mean_new, pos / k.n AS rate, pos / a * b AS expected FROM (SELECT {BAND} AS band, count(*) AS n, avg(p) AS m FROM ({CLAIMS}) WHERE s1 % 2 = 1 GROUP BY 1) w
+ JOIN (SELECT {BAND} AS band, count(*) AS n, sum(y)::DOUBLE AS pos FROM ({CLAIMS}) WHERE s1 % 2 = 0 GROUP BY 1) k ON k.band = w.band, (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS a, count(*) FILTER (o_orderkey % 2 = 1) AS b FROM orders) c)"""
+
+
+@C.add("shift_calibrator", "s1:i cand:i q:d", f"WITH k AS MATERIALIZED ({PAV(_sums(_bands))}), c AS (SELECT * FROM ({CLAIMS}) WHERE s1 % 2 = 1), l AS (SELECT c.*, k.x AS lx, k.v AS lv FROM c ASOF LEFT JOIN k ON c.p >= k.x), b AS (SELECT l.*, k.x AS hx, k.v AS hv FROM l ASOF LEFT JOIN k ON l.p <= k.x) SELECT s1, cand, CASE WHEN lx IS NULL THEN hv WHEN hx IS NULL OR hx = lx THEN lv ELSE lv + (hv - lv) * (p - lx) / (hx - lx) END AS q FROM b")
+def _(spark, d):
+    """The weighted monotone fit of the bands of odd orders, applied to their pairs; all orders are one country."""
+    c, o = claims(spark, d).withColumn("cty", F.lit("x")), read(spark, d, "orders")
+    n = {k: o.where(F.pmod("o_orderkey", F.lit(2)) == k).count() for k in (0, 1)}
+    return calibration.shift_calibrated(c.where("s1 % 2 = 0"), {"x": n[0]}, c.where("s1 % 2 = 1"), {"x": n[1]})
 
 
 def _features(spark: SparkSession, d: str):
@@ -322,7 +352,7 @@ def _(spark, d):
     """A second model on the first one's scores and their place among rivals, and how good it is by country."""
     first, _ = models.out_of_fold(_features(spark, d).select("s1", "cand", "y", "fold", *FEATURES), FEATURES, "y", "fold", 3, "q", rounds=2, depth=3)
     st = collective.stack_features(first.drop("p").withColumnRenamed("q", "p")).join(first.select("s1", "cand", "y", "fold"), ["s1", "cand"])
-    second, _ = models.out_of_fold(st, ["lp", "rank_s1", "gap_top", "rel_top", "claim_rank", "margin_rival"], "y", "fold", 3, "q", rounds=2, depth=3)
+    second, _ = models.out_of_fold(st, ["lp2", "rank_s1", "gap_top", "rel_top", "s1_mass", "s1_strong", "rival_p", "claim_rank", "margin_rival"], "y", "fold", 3, "q", rounds=2, depth=3)
     return evaluation.binary_metrics(second.join(anchors(spark, d).select("s1", "cty"), "s1"), p="q", by="cty")
 
 
@@ -331,7 +361,7 @@ def _(spark, d):
     """The probability that an anchor has a match at all, out of fold."""
     a = anchors(spark, d)
     f = collective.gate_features(a, claims(spark, d)).join(a.select("s1", (F.col("g") > 0).cast("int").alias("y")), "s1").withColumn("fold", F.pmod("s1", F.lit(3)))
-    return models.out_of_fold(f, ["h_top1", "h_rival_top", "h_rivals_top", "h_lost", "h_sum", "h_entropy", "h_n"], "y", "fold", 3, "h", rounds=2, depth=3)[0]
+    return models.out_of_fold(f, ["h_top1", "h_top2", "h_sum", "h_n05", "h_ncand", "h_rival_top", "h_rival_n05_top", "h_lost05", "h_entropy"], "y", "fold", 3, "h", rounds=2, depth=3)[0]
 
 
 @C.add("lexicon_learn", "word:s meaning:s n:i share:d", "SELECT word, meaning, n, n / total AS share FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS total, row_number() OVER (PARTITION BY word ORDER BY n DESC, meaning) AS r FROM (SELECT x[1] AS word, y[1] AS meaning, count(*) AS n FROM (SELECT string_split(p_name, ' ') AS x, string_split(p_name, ' ')[2:] || [lower(p_type)] AS y FROM part WHERE len(string_split(p_name, ' ')) = 2) GROUP BY 1, 2 UNION ALL SELECT x[2], y[2], count(*) FROM (SELECT string_split(p_name, ' ') AS x, string_split(p_name, ' ')[2:] || [lower(p_type)] AS y FROM part WHERE len(string_split(p_name, ' ')) = 2) GROUP BY 1, 2)) WHERE r = 1 AND n >= 2 AND n / total >= 0.1")

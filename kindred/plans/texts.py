@@ -176,6 +176,17 @@ def _(spark, d):
     return g.groupBy("p_name").agg(F.count("*").alias("n"), F.min(F.size("g")).alias("grams"), F.min(F.array_join("g", ".")).alias("sample"))
 
 
+_GRAMS = lambda n: f"list_filter(flatten(list_transform(string_split(p_name || ' ' || lower(p_type), ' '), lambda w: list_transform(range(1, greatest(length(w) + 2 - {n - 1}, 1) + 1), lambda i: substr(' ' || w || ' ', i, {n})))), lambda x: length(x) = {n})"
+
+
+@C.add("char_tfidf", "id:i tok:s w:d", f"""WITH t AS (SELECT p_partkey AS id, unnest(list_concat({_GRAMS(3)}, {_GRAMS(4)})) AS tok FROM part), n AS (SELECT count(*) AS n FROM part), f AS (SELECT tok, count(DISTINCT id) AS df FROM t GROUP BY tok),
+ w AS (SELECT t.id, t.tok, (1 + ln(count(*))) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN f ON f.tok = t.tok, n WHERE n < 2000 OR df <= 0.2 * n GROUP BY t.id, t.tok, n, df) SELECT id, tok, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w""")
+def _(spark, d):
+    """Runs of three and four characters within words, 1 + ln(tf), those of more than a fifth of 2000 records or more left out."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("w"))
+    return blocking.char_weights(p, F.col("w"))
+
+
 # ---- blocking
 
 TOK = f"SELECT cty AS part, CASE WHEN src = 'S1' THEN 0 ELSE 1 END AS side, doc_id AS id, unnest({NAME_SQL}) AS tok FROM ({REC})"

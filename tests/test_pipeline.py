@@ -153,3 +153,97 @@ def test_stream_resumes(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(src)
     got = run_chunks(spark, src, out, state, double)
     assert got.count() == 15 and got.select("id").distinct().count() == 15
+
+
+def test_native_words_are_learned_from_names_and_addresses(spark):
+    from kindred.functions import records as R
+    from kindred.operators import lexicon
+
+    pool = [(10, "मित्र भारत", "लक्ष्मी रोड, 12"), (11, "मित्र दुकान", "लक्ष्मी नगर"), (12, "मित्र", "x"), (13, "plain", "latin only"), (14, None, None)]
+    anchors = [(1, "Friend India", "12 Lakshmi Road"), (2, "Friend Shop", "Lakshmi Nagar"), (3, "Friend Of All", "y"), (4, "plain", "")]
+    gold = [(1, 10), (2, 11), (3, 12), (4, 13), (4, 14), (9, 10)]
+    t = "id long, name string, addr string"
+    pairs = lexicon.native_pairs(spark.createDataFrame(gold, "s1 long, cand long"), spark.createDataFrame(anchors, t), spark.createDataFrame(pool, t))
+    assert pairs.count() == 3
+    got = {r["word"]: r["meaning"] for r in lexicon.learn_native(pairs).collect()}
+    assert got == {"मित्र": "friend", "लक्ष्मी": "lakshmi"}
+    once = {r["word"]: r["meaning"] for r in lexicon.learn_native(pairs, least=1).collect()}
+    assert once["भारत"] == "india" and once["नगर"] == "nagar" and once["रोड"] == "road"
+    df = spark.createDataFrame([(1, "मित्र Ltd", "")], "doc_id long, name string, addr string")
+    assert R.normalized(df, native=got).first()["n_core"] == ["friend"]
+
+
+def test_dense_vectors_that_take_no_part(spark):
+    from kindred.operators import dense
+
+    t = "part string, id long, v array<float>"
+    q = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None), ("a", 2, [1.0, None]), ("a", 3, [1.0, 2.0, 3.0]), (None, 4, [1.0, 1.0]), ("b", 5, [1.0, 1.0])], t)
+    r = spark.createDataFrame([("a", 10, [2.0, 0.0]), ("a", 11, [1.0, 1.0]), ("a", 12, None), ("a", 13, [float("nan"), 1.0]), ("a", 14, [0.0, 0.0, 1.0]), ("a", 15, [])], t)
+    got = sorted(tuple(x) for x in dense.dense_topk(q, r, 5).select("s1", "rank", "cand", "score").collect())
+    assert got == [(0, 1, 10, 2.0), (0, 2, 11, 1.0), (3, 1, 14, 3.0)]
+    assert dense.dense_topk(q.limit(0), r, 5).count() == 0 == dense.dense_topk(q, r.limit(0), 5).count()
+
+
+def test_dense_blocks_meet_pairwise(spark, monkeypatch):
+    import numpy as np
+
+    from kindred.operators import dense
+
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    x = np.random.default_rng(1).normal(size=(60, 4)).round(2)
+    df = spark.createDataFrame([("p", i, v.tolist()) for i, v in enumerate(x)], "part string, id long, v array<double>")
+    got = {(r["s1"], r["rank"]): r["cand"] for r in dense.dense_topk(df, df, 3).collect()}
+    for i in range(60):
+        s = np.round(x @ x[i], 9)
+        assert [got[i, k] for k in (1, 2, 3)] == np.lexsort((np.arange(60), -s))[:3].tolist()
+
+
+def test_percentiles_folds_and_budget_do_not_depend_on_ranges(spark):
+    import hashlib
+
+    import numpy as np
+
+    from kindred.operators import aggregates, ranking, sampling
+
+    rows = [(i % 3 if i % 3 else None, float((i * 7919) % 101) if i % 10 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for r in aggregates.percentiles(df, "g", "v").collect():
+        vals = [v for g, v in rows if g == r["g"] and v is not None]
+        assert [r["p50"], r["p95"], r["p99"]] == pytest.approx(np.percentile(vals, [50, 95, 99]).tolist())
+    d = spark.createDataFrame([(i, f"k{i % 17}") for i in range(400)], "id long, g string")
+    order = sorted(range(17), key=lambda k: hashlib.md5(f"k{k}|g".encode()).hexdigest())
+    want = {f"k{k}": n % 5 for n, k in enumerate(order)}
+    assert all(r["fold"] == want[r["g"]] for r in sampling.group_folds(d, F.col("g")).collect())
+    b = ranking.cumulative_budget(spark.range(100).withColumn("n", F.col("id") % 5), "n", [F.col("id")], 37)
+    total, kept = 0, []
+    for i in range(100):
+        if total >= 37:
+            break
+        kept.append(i)
+        total += i % 5
+    assert sorted(r["id"] for r in b.collect()) == kept
+
+
+def test_shift_calibration_borrows_by_country(spark):
+    from kindred.operators import calibration
+
+    rows = [(c, i, (i % 50) / 50 + 0.01, int(i % 50 > (20 if c == "us" else 35))) for c in ("us", "in") for i in range(600)]
+    known = spark.createDataFrame([(c, p, y) for c, _, p, y in rows], "cty string, p double, y int")
+    new = spark.createDataFrame([(c, p) for c in ("us", "in", "fr") for _, _, p, _ in rows[:600:7]], "cty string, p double")
+    n = {"us": 100, "in": 100}
+    at = lambda borrow: {(r["cty"], r["p"]): r["q"] for r in calibration.shift_calibrated(known, n, new, {"us": 15, "in": 15, "fr": 15}, borrow).collect()}
+    own, lent = at(None), at({"fr": "us"})
+    ps = sorted({p for _, p in own})
+    assert [lent["fr", p] for p in ps] == pytest.approx([own["us", p] for p in ps]) and any(abs(own["fr", p] - own["us", p]) > 1e-3 for p in ps)
+    for c in ("us", "in", "fr"):
+        q = [own[c, p] for p in ps]
+        assert q == sorted(q) and 0 <= q[0] and q[-1] <= 1
+
+
+def test_early_stopping_and_seeds(spark):
+    from kindred.operators import models
+
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.xxhash64("id") % 11).cast("double").alias("noise"), F.pmod("id", F.lit(3)).alias("fold")).withColumn("y", (F.col("x") > 3).cast("int"))
+    scored, fitted = models.out_of_fold(df, ["x", "noise"], "y", "fold", 3, rounds=25, depth=2, seeds=(1, 2), stop=True)
+    assert len(fitted) == 6 and scored.count() == 300 and all(m.model.getNumTrees <= 25 for m in fitted)
+    assert scored.where((F.col("p") > 0.5) != (F.col("y") == 1)).count() == 0
