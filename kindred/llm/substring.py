@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -86,11 +85,17 @@ PLACE = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("most", "u1
 class Part:
     """The words of some documents in one row: their hashes, and the places of the anchors of all windows."""
 
-    def __init__(self, docs: pd.DataFrame):
-        self.words = [_split(t) for t in docs["text"]]
-        self.size = np.array([len(x) for x in self.words], np.int64)
+    def __init__(self, docs: pd.DataFrame, keep: bool = False):
+        hashed = []
+        self.words: list[list[bytes]] = []
+        for t in docs["text"]:
+            words = _split(t)
+            hashed.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+            if keep:
+                self.words.append(words)
+        self.size = np.array([len(x) for x in hashed], np.int64)
         self.ids = docs["doc_id"].to_numpy(np.int64)
-        self.w = w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.size.sum()))
+        self.w = w = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
         self.end = np.cumsum(self.size)
         n = max(0, len(w) - LENGTH + 1)
         seeds = _combined(*[w[i : len(w) - SEED + 1 + i] for i in range(SEED)]) if len(w) >= SEED else np.zeros(0, np.uint64)
@@ -108,7 +113,8 @@ class Part:
         last = np.concatenate([new[1:], [len(place)]]).astype(np.int64) - 1
         self.place, self.doc = place[new], doc[new]
         self.most, self.least = self.place - start[new], self.place - start[last] if len(new) else self.place
-        self.anchor = seeds[self.place]
+        # mixed once more: least hashes are small numbers, and ranges of them would be uneven
+        self.anchor = _mix(seeds[self.place])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchors in order, whether two of the documents have one, and how many places."""
@@ -284,8 +290,8 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "to", "bits", "more"])
 
 
-def _joined(x: Exchange, docs: pd.DataFrame, hits: pd.DataFrame) -> tuple[Part, Joined]:
-    part = Part(docs)
+def _joined(x: Exchange, docs: pd.DataFrame, hits: pd.DataFrame, keep: bool = False) -> tuple[Part, Joined]:
+    part = Part(docs, keep)
     a, *_ = part.anchors()
     much = hits[hits["more"].notna()]
     return part, part.joined(a, x.together(hits["to"], hits["bits"], a, np.dtype(bool), bits=True), x.together(much["to"], much["more"], a, np.dtype(bool), bits=True))
@@ -318,12 +324,12 @@ def _settled(with_firsts: bool):
     return run
 
 
-def _windows(x: Exchange, docs: pd.DataFrame, hits: pd.DataFrame, with_firsts: bool = False) -> tuple[Part, np.ndarray, np.ndarray | None]:
+def _windows(x: Exchange, docs: pd.DataFrame, hits: pd.DataFrame, with_firsts: bool = False, keep: bool = False) -> tuple[Part, np.ndarray, np.ndarray | None]:
     """A part, the first words of its repeated windows, and (document, place) of the first that has each."""
     about = hits[hits["step"] == 1] if len(hits) else hits
     if not len(about):
-        return Part(docs), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    part, j = _joined(x, docs, about)
+        return Part(docs, keep), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    part, j = _joined(x, docs, about, keep)
     said = hits[hits["step"] == 2]
     firsts = x.together(said["to"], said["more"], j.route, np.dtype("<i8"), 2 * (REACH + 1)).reshape(-1, REACH + 1, 2) if with_firsts else None
     return part, *j.repeated(x.together(said["to"], said["bits"], j.route, np.dtype("u1")), firsts)
@@ -346,7 +352,7 @@ def _kept(x: Exchange, with_text: bool):
     """A part's documents and the answers about its anchors and places -> what is left of each document."""
 
     def run(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        part, starts, _ = _windows(x, docs, hits)
+        part, starts, _ = _windows(x, docs, hits, keep=True)
         first, n = stretches(starts)
         covers = np.zeros(len(part.w) + 1, np.int64)
         np.add.at(covers, starts[first], 1)
