@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SPACES, SPACES_RE, parts, small, table
+from kindred.llm.common import SPACES, SPACES_RE, small, table
+from kindred.operators.ranking import sums_before
 
 #: Ranges of a key's first and second round; a third of 10^11 documents leaves some ten thousand for the last.
 RANGES = 1024
@@ -64,10 +65,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> D
     MAX_REPEATS times its source's size and the excess goes to the others by weight. With the sources in order of cap /
     weight, the level L at which sum(min(cap, L * weight)) is the whole is that of the first source it doesn't fill.
     """
-    ranks = _before(sizes.withColumn("one", F.lit(1).cast("long")), ["one"], F.col("source").asc_nulls_last())
+    ranks = sums_before(sizes.withColumn("one", F.lit(1).cast("long")), ["one"], F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("before_one", F.lit(len(weights))) + 1).cast("int"))
     d = ranks.withColumn("w", w).withColumn("cap", (MAX_REPEATS * F.col("source_size")).cast("double")).select("source", "source_size", "w", "cap", (F.col("cap") / F.col("w")).alias("fill"))
-    d = _before(d, ["cap", "w"], F.col("fill").asc(), F.col("source").asc_nulls_last())
+    d = sums_before(d, ["cap", "w"], F.col("fill").asc(), F.col("source").asc_nulls_last())
     whole = d.agg(F.sum("source_size").cast("double").alias("total"), F.sum("w").alias("all_w"))
     d = d.crossJoin(F.broadcast(whole))
     level = (F.col("total") - F.col("before_cap")) / (F.col("all_w") - F.col("before_w"))
@@ -76,22 +77,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> D
     return d.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def _before(df: DataFrame, sums: list[str], *order: Column) -> DataFrame:
-    """``df`` and, as before_x for each x of ``sums``, the sum of x over all rows before a row in ``order``, which has no ties.
-
-    Rows are dealt to ranges of the order; sums run within a range, and over the ranges, of which there are as many as
-    shuffle partitions. So no task sees all rows.
-    """
-    spark = df.sparkSession
-    ranged = table(df.repartitionByRange(parts(spark), *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__range").agg(*[F.sum(x).alias(f"__{x}") for x in sums])
-    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{x}").over(over), F.lit(0)).alias(f"__{x}") for x in sums])
-    out = ranged.withColumns({f"before_{x}": F.coalesce(F.sum(x).over(within), F.lit(0)) for x in sums}).join(F.broadcast(totals), "__range")
-    return out.withColumns({f"before_{x}": F.col(f"before_{x}") + F.col(f"__{x}") for x in sums}).drop("__range", *[f"__{x}" for x in sums])
-
-
 def plan(base: DataFrame) -> DataFrame:
     """(source, source_size, target, epochs, budget, last_key, last_id, low, fill_key, fill_id) from keyed rows that are already written.
 
