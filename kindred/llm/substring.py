@@ -40,9 +40,11 @@ REACH = LENGTH - SEED
 HOT = 1 << 12
 #: Odd multiplier by which runs of word hashes are combined.
 TIMES = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Bytes of text of a part, on average.
-PART_BYTES = 6_000_000
+PART_BYTES = 5_000_000
+#: Ranges of the exchange for each partition: a task holds one at a time.
+RANGES = 4
 #: Parts up to which their numbers are listed in the plan.
 LISTED = 100_000
 
@@ -239,10 +241,10 @@ def dealt(n: int, times: int = 1) -> np.ndarray:
 
 
 class Exchange:
-    """n ranges of hashes, each with the key by which Spark deals it to a partition of its own."""
+    """Ranges of hashes, ``times`` of them for each of n partitions, with the key by which Spark deals each to its partition."""
 
-    def __init__(self, n: int):
-        self.n, self.keys = n, dealt(n).tolist()
+    def __init__(self, n: int, times: int = 1):
+        self.n, self.keys = n * times, dealt(n, times).tolist()
         self.range = {k: i for i, k in enumerate(self.keys)}
 
     def pieces(self, values: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -384,7 +386,7 @@ def _exchanged(docs: DataFrame, doc_id: str, text: str, with_firsts: bool) -> tu
     spark = docs.sparkSession
     ship(spark)
     n = parts(spark)
-    x = Exchange(n)
+    x = Exchange(n, RANGES)
     d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     times = max(1, round(total / n / PART_BYTES))
