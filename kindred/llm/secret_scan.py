@@ -208,33 +208,34 @@ def all_spans(base: list[tuple[int, int, int]], found: list[tuple[float, int, in
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+SCANNED = "base array<struct<a:int,k:int,b:int>>, found array<struct<p:double,a:int,b:int>>"
 
 
-SCANNED = "base array<struct<a:int,k:int,b:int>>, found array<struct<p:double,a:int,b:int>>"
+def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, text) -> their spans and candidates."""
+    for b in batches:
+        yield pd.DataFrame([(i, *scan(text or "")) for i, text in zip(b["doc_id"], b["text"], strict=True)], columns=["doc_id", "base", "found"])
 
 
-def _scanned(keep: bool):
-    """Rows (doc_id, text) -> their spans and candidates; without ``keep`` only the rows that have candidates."""
+def _counted(found: Iterator[list[float]]) -> pd.DataFrame:
+    n = Counter(step(p) for ps in found for p in ps)
+    return pd.DataFrame({"step": pd.Series(list(n), dtype="int32"), "n": pd.Series(list(n.values()), dtype="int64")})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *scan(text or "")) for i, text in zip(b["doc_id"], b["text"], strict=True)]
-            yield pd.DataFrame([r for r in rows if keep or r[2]], columns=["doc_id", "base", "found"])
 
-    return run
+def _steps_of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts -> their candidates counted by step, in one worker: two one after another in a task would each take memory."""
+    for b in batches:
+        yield _counted([p for p, *_ in scan(text or "")[1]] for text in b["text"])
 
 
 def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        n = Counter(step(f["p"]) for found in b["found"] for f in found)
-        yield pd.DataFrame({"step": pd.Series(list(n), dtype="int32"), "n": pd.Series(list(n.values()), dtype="int64")})
+        yield _counted([f["p"] for f in found] for found in b["found"])
 
 
-def corpus_cut(scanned: DataFrame) -> int:
-    """The lowest step of the candidates of all rows that Benjamini-Hochberg finds; LEAST * STEPS + 1 counts at most come to the driver."""
-    return cut({r["step"]: r["n"] for r in scanned.select("found").mapInPandas(_steps, "step int, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect()})
+def corpus_cut(counts: DataFrame) -> int:
+    """The lowest step that Benjamini-Hochberg finds, from (step, n) of all candidates; LEAST * STEPS + 1 sums at most come to the driver."""
+    return cut({r["step"]: r["n"] for r in counts.groupBy("step").agg(F.sum("n").alias("n")).collect()})
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -263,8 +264,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    scanned = table(rows.mapInPandas(_scanned(True), f"doc_id {kind}, {SCANNED}"), "scanned")
-    return scanned.mapInPandas(_told(corpus_cut(scanned)), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    scanned = table(rows.mapInPandas(_scanned, f"doc_id {kind}, {SCANNED}"), "scanned")
+    lowest = corpus_cut(scanned.select("found").mapInPandas(_steps, "step int, n bigint"))
+    return scanned.mapInPandas(_told(lowest), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact(text: str | None, lowest: int, mark: str = "[secret]") -> str | None:
@@ -293,8 +295,7 @@ def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     Texts are scanned twice, as what counts as random is known only once all candidates are: first for the candidates.
     """
     ship(docs.sparkSession)
-    first = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(_scanned(False), f"doc_id int, {SCANNED}")
-    lowest = corpus_cut(first)
+    lowest = corpus_cut(docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(_steps_of_texts, "step int, n bigint"))
 
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
