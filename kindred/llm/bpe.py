@@ -41,10 +41,10 @@ from kindred.llm.common import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 #: Words of a generation of a worker's cache, which keeps two.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Transitions that the table may have, after which it starts anew; known arcs likewise.
-TABLE_CELLS = 400_000
-CACHE_ARCS = 400_000
+TABLE_CELLS = 200_000
+CACHE_ARCS = 200_000
 #: Where the number of an arc under way keeps the token it leaves, plus one, above its node in the trie.
 LEFT = 32
 #: Bytes of ids after which a worker hands over what it has.
