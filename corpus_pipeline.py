@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("secret scans", secrets), ("mixing", mixing), ("tokens", tokens)]
 
-#: SQL can't express fingerprints of XXH64, the randomness tests and the tokenizer; tests/llm holds run() against a brute-force version.
+#: SQL can't express the near-duplicates, the randomness tests and the tokenizer; tests/llm holds the rows of run() against a brute-force version.
 ORACLE_SQL = None
 
 
