@@ -196,7 +196,10 @@ def clean_address(c: Column) -> Column:
 def address_steps(c: Column) -> Column:
     """ADDRESS_STEPS; those of the states run only where one of their names stands."""
     c = steps(c, CODE_STEPS)
-    names = "|".join(sorted(STATES, key=lambda k: (-len(k), k)))
+    by_letter: dict[str, list[str]] = {}
+    for name in STATES:
+        by_letter.setdefault(name[0], []).append(name[1:])
+    names = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())  # a word of another letter is passed over at once
     one = lambda x: F.when(x.rlike(rf"(^|[^a-z])({names})($|[^a-z])"), steps(x, ADDRESS_STEPS[len(CODE_STEPS) :])).otherwise(x)
     return F.get(F.transform(F.array(c), one), F.lit(0))  # bound to a variable, the steps so far run once
 

@@ -1,6 +1,6 @@
 """Candidate pairs by shared rare tokens: weights, one equi-join for both directions, unions with provenance, exact cosines.
 
-Tables of tokens are (part, side, id, tok), side 0 for anchors and 1 for the pool, one row for each occurrence. Tokens of too
+Tables of tokens are (part, side, id, tok, tf), side 0 for anchors and 1 for the pool, one row for each token of a record. Tokens of too
 many records leave before the join, so no posting list is longer than the cap and the join's rows are bounded by
 records x tokens x cap.
 """
@@ -17,16 +17,18 @@ MAX_SHARE, MAX_RECORDS, LEAST_CAP = 0.02, 3000, 25
 
 
 def token_table(records: DataFrame, toks: Column) -> DataFrame:
-    """(part, side, id, tok) of records (cty, src, doc_id).
+    """(part, side, id, tok, tf) of records (cty, src, doc_id).
 
-    The outer form, as for the inner one Spark would work out all tokens a second time to see whether there are any.
+    Occurrences are counted before anything is shuffled, as a record's lie together. The outer form, as for the inner one
+    Spark would work out all tokens a second time to see whether there are any.
     """
-    return records.select(F.col("cty").alias("part"), (F.col("src") != "S1").cast("int").alias("side"), F.col("doc_id").alias("id"), F.explode_outer(toks).alias("tok")).where("tok is not null")
+    t = records.select(F.col("cty").alias("part"), (F.col("src") != "S1").cast("int").alias("side"), F.col("doc_id").alias("id"), F.explode_outer(toks).alias("tok")).where("tok is not null")
+    return t.groupBy("part", "side", "id", "tok").agg(F.count("*").alias("tf"))
 
 
 def frequencies(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     """(part, tok, df, idf): records that have a token, of both sides; ``sizes`` is (part, n)."""
-    df = tokens.select("part", "side", "id", "tok").distinct().groupBy("part", "tok").agg(F.count("*").alias("df"))
+    df = tokens.groupBy("part", "tok").agg(F.count("*").alias("df"))
     return df.join(sizes, "part").select("part", "tok", "df", smooth_idf(F.col("n"), F.col("df")).alias("idf"), "n")
 
 
@@ -38,8 +40,7 @@ def pruned(freq: DataFrame, share: float = MAX_SHARE, most: int = MAX_RECORDS) -
 
 def weighted(tokens: DataFrame, freq: DataFrame) -> DataFrame:
     """(part, side, id, tok, w): ln(1 + tf) * idf of the tokens in ``freq``, each record of length 1."""
-    tf = tokens.groupBy("part", "side", "id", "tok").agg(F.count("*").alias("tf"))
-    w = tf.join(freq.select("part", "tok", "idf"), ["part", "tok"]).withColumn("w", F.ln(1 + F.col("tf")) * F.col("idf"))
+    w = tokens.join(freq.select("part", "tok", "idf"), ["part", "tok"]).withColumn("w", F.ln(1 + F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("part", "side", "id")))
     return w.select("part", "side", "id", "tok", (F.col("w") / norm).alias("w"))
 
@@ -74,7 +75,7 @@ def copies(tokens: DataFrame, w: DataFrame, k: int) -> DataFrame:
     The pool's records are grouped first, a group's k smallest ids in one row: with equal scores no others are among an anchor's k best.
     """
     ids = ["part", "side", "id"]
-    left = tokens.join(w.select(*ids).distinct(), ids, "left_anti").groupBy(*ids).agg(F.sha2(F.to_json(F.sort_array(F.collect_list("tok"))), 256).alias("h"))
+    left = tokens.join(w.select(*ids).distinct(), ids, "left_anti").groupBy(*ids).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("tok", "tf")))), 256).alias("h"))
     best = lambda *by: F.row_number().over(Window.partitionBy("part", "h", *by).orderBy("id"))
     pool = left.where("side = 1").withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(64)))
     pool = pool.withColumn("r", best("deal")).where(F.col("r") <= k).withColumn("r", best()).where(F.col("r") <= k)

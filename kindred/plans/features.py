@@ -11,6 +11,7 @@ from kindred.functions import records as R
 from kindred.operators import blocking, features, models
 from kindred.plans.contract import Catalogue
 from kindred.plans.decisions import CLAIMS
+from kindred.sources.shared import table
 from kindred.sources.tables import anchors, claims, read
 
 C = Catalogue()
@@ -36,12 +37,12 @@ def _(spark, d):
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     r = web_records(spark, d)
-    normal = R.normalized(r, key="id")
+    normal = table(R.normalized(r, key="id"), "normal")
     sizes = r.groupBy(F.col("cty").alias("part")).agg(F.count("*").alias("n"))
-    toks = blocking.token_table(normal, F.concat("n_core", F.transform("a_core", lambda w: F.concat(F.lit("@"), w))))
-    freq = blocking.frequencies(toks, sizes)
-    w = blocking.weighted(toks, blocking.pruned(freq))
-    pairs = blocking.top_forward(blocking.cosines(w), 5).select("s1", "cand", "score", "rank")
+    toks = table(blocking.token_table(normal, F.concat("n_core", F.transform("a_core", lambda w: F.concat(F.lit("@"), w)))), "tokens")
+    freq = table(blocking.frequencies(toks, sizes), "frequencies")
+    w = table(blocking.weighted(toks, blocking.pruned(freq)), "weights")
+    pairs = table(blocking.top_forward(blocking.cosines(w), 5).select("s1", "cand", "score", "rank"), "pairs")
     weights = freq.withColumn("tok", F.regexp_replace("tok", "^@", "")).groupBy("part", "tok").agg(F.max("idf").alias("idf"))
     f = features.pair_features(pairs.select("s1", "cand"), features.with_idf(normal, weights))
     union = blocking.union(pairs.withColumn("channel", F.lit("all")), {"all": 5})

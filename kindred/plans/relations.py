@@ -246,6 +246,13 @@ def _(spark, d):
     return one.selectExpr("stack(9, 'anchors', anchors, 'pool', pool, 'share_matched', coalesce(m, 0) / anchors, 'pool_matched', coalesce(k, 0) / pool, 'exclusive', alone / k, 'same_country', same / pairs, 'two_of_one_source', two / m, 'share_s3', s3 / pairs, 'shared_names', shared / n) as (gate, value)")
 
 
+@C.add("drift_gate", "half:i side:s cty:s n:i name_len:d addr_len:d addr_empty:d", f"SELECT doc_id % 2 AS half, CASE WHEN src = 'S1' THEN 'S1' ELSE 'pool' END AS side, cty, count(*) AS n, avg(length(name)) AS name_len, avg(length(addr)) AS addr_len, avg(CASE WHEN trim(addr) = '' THEN 1.0 ELSE 0.0 END) AS addr_empty FROM ({REC}) GROUP BY ALL")
+def _(spark, d):
+    """What may differ between two splits, here even and odd records: sizes, lengths of names and addresses, and empty addresses, by side and country."""
+    r = records(spark, d).withColumns({"half": F.pmod("doc_id", F.lit(2)), "side": F.when(F.col("src") == "S1", "S1").otherwise("pool")})
+    return r.groupBy("half", "side", "cty").agg(F.count("*").alias("n"), F.avg(F.char_length("name")).alias("name_len"), F.avg(F.char_length("addr")).alias("addr_len"), F.avg((F.trim("addr") == "").cast("double")).alias("addr_empty"))
+
+
 # ---- samples and folds
 
 

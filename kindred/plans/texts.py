@@ -265,7 +265,7 @@ POOL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY
 
 @C.add("two_hop", "part:s s1:i cand:i score:d rank:i", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) AS rank FROM (SELECT f.part, f.s1, n.cand, max(round(f.score * n.sim, 9)) AS score FROM ({FORWARD(TOK, 3)}) f JOIN ({POOL}) n ON n.seed = f.cand WHERE f.score >= 0.3 AND n.sim >= 0.6 GROUP BY ALL)) WHERE rank <= 15")
 def _(spark, d):
-    w = weights(spark, d)
+    w = table(weights(spark, d), "weights-name")
     pool = w.where("side = 1")
     both = pool.withColumn("side", F.lit(0)).unionByName(pool)
     near = blocking.top_forward(blocking.cosines(both).where("s1 <> cand"), 5).select(F.col("s1").alias("seed"), "cand", F.col("score").alias("sim"))
@@ -273,7 +273,7 @@ def _(spark, d):
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    n, a = scores(spark, d), scores(spark, d, "addr")
+    n, a = table(scores(spark, d), "scores-name"), scores(spark, d, "addr")
     at = lambda df, c: df.select("s1", "cand", F.lit(c).alias("channel"), "score", "rank")
     return at(blocking.top_forward(n, 5), "name").unionByName(at(blocking.top_reverse(n, 3), "back")).unionByName(at(blocking.top_forward(a, 5), "addr"))
 
@@ -293,7 +293,8 @@ def _(spark, d):
 @C.add("exact_cosines", "s1:i cand:i cos:d", f"WITH w AS ({WEIGHTED(TOK)}) SELECT p.s1, p.cand, coalesce(sum(a.w * b.w), 0) AS cos FROM (SELECT DISTINCT s1, cand FROM ({FORWARD(ATOK, 5)})) p LEFT JOIN w a ON a.id = p.s1 AND a.side = 0 LEFT JOIN w b ON b.id = p.cand AND b.side = 1 AND b.tok = a.tok GROUP BY p.s1, p.cand")
 def _(spark, d):
     """Name cosines of pairs that the address channel found."""
-    return blocking.exact_cosines(blocking.top_forward(scores(spark, d, "addr"), 5), weights(spark, d))
+    pairs = table(blocking.top_forward(scores(spark, d, "addr"), 5).select("s1", "cand"), "pairs")
+    return blocking.exact_cosines(pairs, table(weights(spark, d), "weights-name"))
 
 
 @C.add("postal_agree", "s1:i cand:i eq:b conf:b", f"WITH p AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{{5,}}') AS z FROM ({REC})) SELECT s1, cand, len(a.z) > 0 AND len(b.z) > 0 AND list_has_any(a.z, b.z) AS eq, len(a.z) > 0 AND len(b.z) > 0 AND NOT list_has_any(a.z, b.z) AS conf FROM ({FORWARD(TOK, 5)}) JOIN p a ON a.doc_id = s1 JOIN p b ON b.doc_id = cand")

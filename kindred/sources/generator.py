@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from pathlib import Path
 
 FIRST = "blue green river stone silver golden royal city north summit pioneer lotus oak maple harbor delta".split()
@@ -22,25 +23,68 @@ def typo(r: random.Random, s: str) -> str:
     return r.choice((s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:], s[:i] + r.choice("abcdefghijklmnopqrstuvwxyz") + s[i + 1 :]))
 
 
-def noisy(r: random.Random, name: str, addr: str) -> tuple[str, str]:
+#: Landmarks that copies in India may add, letters of the Devanagari script by their sound, and the shares of noise (fixed values).
+LANDMARKS = ("Near Bus Stand", "Opp City Mall", "Behind Old Temple", "Next to Town Hall")
+LETTERS = dict(zip("a b c d e f g h i j k l m n o p r s t u v y".split(), "अ ब क द ए फ ग ह इ ज क ल म न ओ प र स त उ व य".split(), strict=True))
+CHAINS, SECOND_NAMES = 0.12, 0.08
+
+
+def native(s: str) -> str:
+    """A word letter by letter in Devanagari; vowels between consonants are left to the reader."""
+    low = s.lower()
+    return "".join(LETTERS.get(c, "") for k, c in enumerate(low) if k == 0 or c not in "aeiou")
+
+
+def swapped(r: random.Random, name: str) -> str:
+    words = name.split()
+    if len(words) > 2:
+        k = r.randrange(len(words) - 1)
+        words[k], words[k + 1] = words[k + 1], words[k]
+    return " ".join(words)
+
+
+def bare(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+
+
+def noisy(r: random.Random, name: str, addr: str, cty: str = "us", second: str | None = None) -> tuple[str, str]:
     """A copy as another source might have it."""
-    if r.random() < 0.3:
-        name = name.rsplit(" ", 1)[0]
-    if r.random() < 0.3:
-        name = typo(r, name)
-    if r.random() < 0.3:
-        name = name.upper()
+    if second and r.random() < 0.5:
+        name = r.choice((second, f"{name} d/b/a {second}"))
+    changes = [
+        (0.3, lambda n: n.rsplit(" ", 1)[0]),
+        (0.15, lambda n: f"{n} {r.choice(LEGAL[cty])}"),
+        (0.3, lambda n: typo(r, n)),
+        (0.1, lambda n: swapped(r, n)),
+        (0.15, lambda n: n.replace(" And ", " & ") if " And " in n else n.replace(" & ", " And ")),
+        (0.5 if cty == "france" else 0.0, bare),
+        (0.3 if cty == "india" else 0.0, lambda n: " ".join(native(w) if w.isalpha() and r.random() < 0.5 else w for w in n.split())),
+        (0.3, lambda n: r.choice((n.upper(), n.lower()))),
+    ]
+    for share, change in changes:
+        if r.random() < share:
+            name = change(name) or name
     for long, short in (("Street", "St"), ("Road", "Rd"), ("Avenue", "Ave"), ("Boulevard", "Bd")):
         if r.random() < 0.5:
             addr = addr.replace(long, short)
     parts = addr.split(", ")
-    if r.random() < 0.2 and len(parts) > 2:
-        parts.pop()
+    if cty == "india" and r.random() < 0.2 and len(parts[-1]) == 6:
+        parts[-1] = f"{parts[-1][:3]} {parts[-1][3:]}"
+    for k, share in ((3, 0.3), (2, 0.2), (1, 0.15)):  # postal code, state, city
+        if len(parts) > k and r.random() < share:
+            parts.pop(k)
+    if cty == "india" and r.random() < 0.4:
+        parts.insert(1, r.choice(LANDMARKS))
+    if r.random() < 0.1:
+        parts[0] = typo(r, parts[0])
+    if r.random() < 0.1:
+        r.shuffle(parts)
     return name, "" if r.random() < 0.02 else ", ".join(parts)
 
 
 def make(n: int, countries: tuple[str, ...] = ("us", "india"), seed: int = 7) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
-    """(source 1, source 2, source 3, truth) of ``n`` businesses a country; sources are (entity_id, name, address, country)."""
+    """(source 1, source 2, source 3, truth) of ``n`` businesses a country, some of them of one chain or with a second name, and of
+    look-alikes that are in the pool only; sources are (entity_id, name, address, country)."""
     r = random.Random(seed)
     sources: tuple[list, list, list] = ([], [], [])
     truth = []
@@ -51,13 +95,20 @@ def make(n: int, countries: tuple[str, ...] = ("us", "india"), seed: int = 7) ->
         return id_
 
     for cty in countries:
+        names: list[str] = []
         for _ in range(n):
-            name = f"{r.choice(FIRST).title()} {r.choice(FIRST).title()} {r.choice(SECOND).title()} {r.choice(LEGAL[cty])}"
+            made = f"{r.choice(FIRST).title()} {r.choice(FIRST).title()} {r.choice(SECOND).title()} {r.choice(LEGAL[cty])}"
+            name = r.choice(names) if names and r.random() < CHAINS else made
+            names.append(name)
+            second = f"{r.choice(FIRST).title()} {r.choice(SECOND).title()}" if r.random() < SECOND_NAMES else None
             city, state = r.choice(CITIES[cty])
-            addr = f"{r.randrange(1, 999)} {r.choice(STREETS[cty])}, {city}, {state}, {r.randrange(10000, 999999)}"
-            copies = [put(r.choice((1, 2)), *noisy(r, name, addr), cty) for _ in range(r.choices(range(6), COPIES)[0])]
+            code = r.randrange(100000, 999999) if cty == "india" else r.randrange(10000, 99999)
+            addr = f"{r.randrange(1, 999)} {r.choice(STREETS[cty])}, {city}, {state}, {code}"
+            copies = [put(r.choice((1, 2)), *noisy(r, name, addr, cty, second), cty) for _ in range(r.choices(range(6), COPIES)[0])]
             if r.random() < 0.75:
                 truth.append((put(0, name, addr, cty), ",".join(copies)))
+            elif r.random() < 0.5:  # a look-alike at another address
+                put(r.choice((1, 2)), name, f"{r.randrange(1, 999)} {r.choice(STREETS[cty])}, {city}, {state}", cty)
     return (*sources, truth)
 
 

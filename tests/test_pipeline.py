@@ -89,7 +89,7 @@ def test_end_to_end_quality(spark, folder):
 
 def test_records_of_common_tokens_meet_their_copies(spark):
     rows = [("a", side, i, t) for side, i, text in [(0, 1, "x y"), (0, 2, "x z"), (1, 11, "y x"), (1, 12, "x y"), (1, 13, "x y"), (1, 14, "x"), (0, 3, "x rare"), (1, 15, "x y rare")] for t in text.split()]
-    t = spark.createDataFrame([*rows, ("b", 1, 16, "x"), ("b", 1, 16, "y")], "part string, side int, id bigint, tok string")
+    t = spark.createDataFrame([*rows, ("b", 1, 16, "x"), ("b", 1, 16, "y")], "part string, side int, id bigint, tok string").withColumn("tf", F.lit(1))
     w = t.where("tok = 'rare'").withColumn("w", F.lit(1.0))
     assert {(r["s1"], r["cand"], r["score"]) for r in blocking.copies(t, w, 2).collect()} == {(1, 11, 1.0), (1, 12, 1.0)}
     assert {r["cand"] for r in blocking.copies(t, w, 9).collect()} == {11, 12, 13}
