@@ -43,8 +43,8 @@ TIMES = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 #: Bytes of text of a part, on average.
 PART_BYTES = 5_000_000
-#: Ranges of the exchange for each partition: a task holds one at a time.
-RANGES = 4
+#: Ranges of the exchange for each partition. A task holds one at a time, but parts send as many pieces as there are ranges.
+RANGES = 1
 #: Parts up to which their numbers are listed in the plan.
 LISTED = 100_000
 
