@@ -55,7 +55,7 @@ def best_variant(pairs: DataFrame) -> DataFrame:
     some = pairs.where((F.size("a.n_variants") > 0) | (F.size("b.n_variants") > 0))
     e = some.select("s1", "cand", F.explode(v(F.col("a.n_variants"), F.col("a.n_core"))).alias("x"), F.col("b").alias("b")).select("s1", "cand", "x", F.explode(v(F.col("b.n_variants"), F.col("b.n_core"))).alias("y"))
     one = lambda c: F.transform(c, lambda _: F.lit(1.0))
-    return e.withColumn("al", R.align("x", "y", one(F.col("x")), one(F.col("y")))).groupBy("s1", "cand").agg(F.max("al.sd").alias("n_var_sd"))
+    return e.withColumn("al", R.align("x", "y", one(F.col("x")), one(F.col("y")), R.MOST_TOKENS)).groupBy("s1", "cand").agg(F.max("al.sd").alias("n_var_sd"))
 
 
 def pair_features(pairs: DataFrame, normal: DataFrame) -> DataFrame:

@@ -338,7 +338,27 @@ def _(spark, d):
     return urls(spark, d).select("page_id", (F.size(same) / F.greatest(F.length(x), F.length(y), F.lit(1))).alias("sim"))
 
 
-@C.add("feat_ratio_family", "page_id:i indel:d tsort:d tset:d partial:d lcs:d")
+_plain = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_set = lambda c: f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> '')))"
+_both = f"list_filter({_set('x')}, lambda w: list_contains({_set('y')}, w))"
+_rest = lambda c: f"array_to_string(list_concat({_both}, list_filter({_set(c)}, lambda w: NOT list_contains({_both}, w))), ' ')"
+_sorted = lambda c: f"array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda w: w <> '')), ' ')"
+#: Longest common subsequences by the rows of the dynamic programme: a row's entries are maxima over those before, so one step is a list function.
+LCS = """RECURSIVE l AS (SELECT a, b, 0 AS n, list_transform(range(1, length(a) + 1), lambda i: 0::BIGINT) AS r FROM (SELECT DISTINCT a, b FROM jobs) UNION ALL
+ SELECT a, b, n + 1, list_transform(range(1, length(a) + 1), lambda i: list_max(v[1:i])) FROM (SELECT a, b, n, list_transform(range(1, length(a) + 1), lambda i: greatest(r[i], CASE WHEN substr(a, i::INT, 1) = substr(b, n + 1, 1) THEN coalesce(r[i - 1], 0) + 1 ELSE 0 END)) AS v FROM l WHERE n < length(b)))"""
+_ratio = "CASE WHEN length(d.a) + length(d.b) = 0 THEN 1.0 ELSE 2 * lcs / (length(d.a) + length(d.b))::DOUBLE END"
+
+
+@C.add(
+    "feat_ratio_family",
+    "page_id:i indel:d tsort:d tset:d partial:d lcs:d",
+    f"""WITH {LCS.replace('RECURSIVE l', f"RECURSIVE p AS (SELECT page_id, {_plain('x')} AS x, {_plain('y')} AS y FROM ({URLS})), jobs AS (SELECT page_id, 'r' AS k, x AS a, y AS b FROM p UNION ALL SELECT page_id, 's', {_sorted('x')}, {_sorted('y')} FROM p UNION ALL SELECT page_id, 't', {_rest('x')}, {_rest('y')} FROM p UNION ALL SELECT page_id, 'w', s, substr(t, greatest(i, 0) + 1, i + length(s) - greatest(i, 0)) FROM (SELECT page_id, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS t FROM p), unnest(range(1 - length(s), length(t))) u(i)), l")},
+ d AS (SELECT a, b, coalesce(r[length(a)], 0) AS lcs FROM l WHERE n = length(b)), q AS (SELECT jobs.*, lcs, {_ratio} AS ratio FROM jobs JOIN d ON d.a = jobs.a AND d.b = jobs.b),
+ m AS (SELECT page_id, max(ratio) FILTER (k = 'r') AS indel, max(ratio) FILTER (k = 's') AS tsort, max(ratio) FILTER (k = 't') AS tset, max(ratio) FILTER (k = 'w') AS win, max(lcs) FILTER (k = 'r') AS lcs FROM q GROUP BY page_id),
+ z AS (SELECT page_id, x, y, length(array_to_string({_both}, ' ')) AS sh, length({_rest('x')}) AS lx, length({_rest('y')}) AS ly, len({_both}) AS nb, len({_set('x')}) AS nx, len({_set('y')}) AS ny FROM p)
+ SELECT z.page_id, indel, tsort, CASE WHEN nb > 0 AND (nb = nx OR nb = ny) THEN 1.0 WHEN nb > 0 THEN greatest(tset, 2 * sh / (sh + lx)::DOUBLE, 2 * sh / (sh + ly)::DOUBLE) ELSE tset END AS tset,
+ CASE WHEN least(length(x), length(y)) = 0 THEN CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE 0.0 END ELSE win END AS partial, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE lcs / greatest(length(x), length(y))::DOUBLE END AS lcs FROM z JOIN m ON m.page_id = z.page_id""",
+)
 def _(spark, d):
     words = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     u = urls(spark, d).select("page_id", words("x").alias("x"), words("y").alias("y"))
@@ -398,11 +418,31 @@ def _(spark, d):
     return k.join(names, ["cty", "hn", "n"]).join(addrs, ["cty", "ha", "a"], "left").select("doc_id", "n_pool", "n_s1", F.coalesce("a_all", F.lit(0.0)).alias("a_all"))
 
 
-@C.add("feat_alignment", "s1:i cand:i sd:d cov_a:d cov_b:d mu_a:d mu_b:d sh_max:d sh_min:d first_sim:d")
-def _(spark, d):
-    """Soft alignment of the names; every token's weight is the log of its length here, so that no lookup is needed."""
+_PATTERN = lambda a: f"regexp_replace(regexp_replace({a}, '(.)', '\\1\\\\D*', 'g'), '\\\\D\\*$', '')"
+_ABB = lambda a, b: f"(length({a}) > 1 AND length({a}) < length({b}) AND NOT regexp_matches({a}, '[0-9]') AND regexp_matches({b}, CASE WHEN length({a}) > 2 THEN '^' || {_PATTERN(a)} || '\\D*$' ELSE '^(' || {a} || '\\D*|' || {_PATTERN(a)} || ')$' END))"
+_SIM = lambda x, y: f"""CASE WHEN {x} = {y} THEN 1.0 WHEN {_ABB(x, y)} OR {_ABB(y, x)} THEN 0.9 WHEN regexp_matches({x}, '^[0-9]+$') OR regexp_matches({y}, '^[0-9]+$') THEN 0.0 WHEN least(length({x}), length({y})) < 2 THEN CASE WHEN substr({x}, 1, 1) = substr({y}, 1, 1) THEN 0.5 ELSE 0.0 END
+ WHEN least(length({x}), length({y})) > 3 THEN CASE WHEN jaro_winkler_similarity({x}, {y}) >= 0.9 THEN jaro_winkler_similarity({x}, {y}) WHEN length({x}) >= 5 AND {N.skeleton_sql(x)} = {N.skeleton_sql(y)} THEN 0.85 ELSE 0.0 END ELSE 0.0 END"""
+_both_sides = lambda x: f"CASE WHEN len(a) > 0 AND len(b) > 0 THEN {x} ELSE 0.0 END"
+#: The greedy choice, one candidate of each pair of names at a time, best first.
+ALIGNED = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT doc_id, ({NAME_SQL})[1:{R.MOST_TOKENS}] AS t FROM ({REC})),
+p AS MATERIALIZED (SELECT f.s1, f.cand, x.t AS a, y.t AS b FROM ({FORWARD(TOK, 5)}) f JOIN n x ON x.doc_id = f.s1 JOIN n y ON y.doc_id = f.cand),
+e AS MATERIALIZED (SELECT s1, cand, i, j, a[i] AS x, b[j] AS y, ln(1 + length(a[i])) AS wa, ln(1 + length(b[j])) AS wb FROM p, unnest(range(1, len(a) + 1)) u(i), unnest(range(1, len(b) + 1)) v(j)),
+k AS MATERIALIZED (SELECT x, y, {_SIM('x', 'y')} AS s FROM (SELECT DISTINCT x, y FROM e)),
+o AS MATERIALIZED (SELECT s1, cand, list({{'s': s, 'i': i, 'j': j, 'wa': wa, 'wb': wb}} ORDER BY s * (wa + wb) / 2 DESC, s DESC, i DESC, j DESC) AS c FROM e JOIN k ON k.x = e.x AND k.y = e.y WHERE s > 0 GROUP BY s1, cand),
+g(s1, cand, c, m, ua, ub, got) AS (SELECT s1, cand, c, 1, [0::BIGINT], [0::BIGINT], c[1:0] FROM o UNION ALL SELECT s1, cand, c, m + 1, CASE WHEN ok THEN list_append(ua, c[m].i) ELSE ua END, CASE WHEN ok THEN list_append(ub, c[m].j) ELSE ub END, CASE WHEN ok THEN list_append(got, c[m]) ELSE got END
+ FROM (SELECT *, NOT list_contains(ua, c[m].i) AND NOT list_contains(ub, c[m].j) AS ok FROM g WHERE m <= len(c))),
+r AS (SELECT p.s1, p.cand, a, b, coalesce(ua, []) AS ua, coalesce(ub, []) AS ub, got, list_transform(a, lambda w: ln(1 + length(w))) AS wa, list_transform(b, lambda w: ln(1 + length(w))) AS wb FROM p LEFT JOIN (SELECT * FROM g WHERE m = len(c) + 1) h ON h.s1 = p.s1 AND h.cand = p.cand),
+t AS (SELECT *, greatest(coalesce(list_sum(wa), 0), 1e-9) AS ta, greatest(coalesce(list_sum(wb), 0), 1e-9) AS tb, coalesce(list_sum(list_transform(got, lambda q: q.s * q.wa)), 0) AS na, coalesce(list_sum(list_transform(got, lambda q: q.s * q.wb)), 0) AS nb, list_transform(list_filter(got, lambda q: q.s >= 0.85), lambda q: least(q.wa, q.wb)) AS sh FROM r)
+SELECT t.s1, t.cand, {_both_sides('(na + nb) / (ta + tb)')} AS sd, {_both_sides('na / ta')} AS cov_a, {_both_sides('nb / tb')} AS cov_b, coalesce(list_max(list_filter(wa, lambda w, i: NOT list_contains(ua, i))), 0) AS mu_a, coalesce(list_max(list_filter(wb, lambda w, i: NOT list_contains(ub, i))), 0) AS mu_b,
+ {_both_sides('coalesce(list_max(sh), 0)')} AS sh_max, {_both_sides('coalesce(list_min(sh), 0)')} AS sh_min, k.s AS first_sim FROM t LEFT JOIN k ON k.x = a[1] AND k.y = b[1]"""
+
+
+@C.add("feat_alignment", "s1:i cand:i sd:d cov_a:d cov_b:d mu_a:d mu_b:d sh_max:d sh_min:d first_sim:d", ALIGNED)
+def _(spark, d):
+    """Soft alignment of the names' first MOST_TOKENS tokens, as pair features have it; every token's weight is the log of its length
+    here, so that no lookup is needed."""
     w = lambda c: F.transform(c, lambda x: F.ln(1 + F.length(x)))
-    p = candidates(spark, d).withColumn("al", R.align("a.nt", "b.nt", w("a.nt"), w("b.nt")))
+    p = candidates(spark, d).withColumn("al", R.align("a.nt", "b.nt", w("a.nt"), w("b.nt"), R.MOST_TOKENS))
     return p.select("s1", "cand", "al.*", R.similarity(F.get("a.nt", F.lit(0)), F.get("b.nt", F.lit(0))).alias("first_sim"))
 
 
@@ -438,10 +478,6 @@ def _(spark, d):
 _LONG = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
 _SHORT = f"SELECT w AS x FROM ({_LONG}) UNION SELECT substr(w, 1, 2) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, length(w), 1) FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || substr(w, length(w), 1) FROM ({_LONG}) UNION SELECT w || w FROM ({_LONG}) UNION SELECT replace(w, 'e', 'a') || 's' FROM ({_LONG}) UNION SELECT substr(w, 1, 1) || '7' FROM ({_LONG})"
 _TOKENS = f"SELECT a.x, b.w AS y FROM ({_SHORT}) a JOIN ({_LONG}) b ON substr(a.x, 1, 1) = substr(b.w, 1, 1)"
-_PATTERN = lambda a: f"regexp_replace(regexp_replace({a}, '(.)', '\\1\\\\D*', 'g'), '\\\\D\\*$', '')"
-_ABB = lambda a, b: f"(length({a}) > 1 AND length({a}) < length({b}) AND NOT regexp_matches({a}, '[0-9]') AND regexp_matches({b}, CASE WHEN length({a}) > 2 THEN '^' || {_PATTERN(a)} || '\\D*$' ELSE '^(' || {a} || '\\D*|' || {_PATTERN(a)} || ')$' END))"
-
-
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words of part names against shortened and altered ones of the same first letter."""
     w = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
@@ -457,8 +493,7 @@ def _(spark, d):
     return _tokens(spark, d).select("x", "y", R.abbreviates(F.col("x"), F.col("y")).alias("short"))
 
 
-@C.add("token_similarity", "x:s y:s sim:d", f"""SELECT x, y, CASE WHEN x = y THEN 1.0 WHEN {_ABB('x', 'y')} OR {_ABB('y', 'x')} THEN 0.9 WHEN regexp_matches(x, '^[0-9]+$') OR regexp_matches(y, '^[0-9]+$') THEN 0.0 WHEN least(length(x), length(y)) < 2 THEN CASE WHEN substr(x, 1, 1) = substr(y, 1, 1) THEN 0.5 ELSE 0.0 END
- WHEN least(length(x), length(y)) > 3 THEN CASE WHEN jaro_winkler_similarity(x, y) >= 0.9 THEN jaro_winkler_similarity(x, y) WHEN length(x) >= 5 AND {N.skeleton_sql('x')} = {N.skeleton_sql('y')} THEN 0.85 ELSE 0.0 END ELSE 0.0 END AS sim FROM ({_TOKENS})""")
+@C.add("token_similarity", "x:s y:s sim:d", f"SELECT x, y, {_SIM('x', 'y')} AS sim FROM ({_TOKENS})")
 def _(spark, d):
     return _tokens(spark, d).select("x", "y", R.similarity("x", "y").alias("sim"))
 
