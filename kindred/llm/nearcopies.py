@@ -35,8 +35,8 @@ BANDS, ROWS = 40, 6
 #: Shingles that are hashed at a time, and rows to which what is compared with one node is dealt.
 AT_ONCE = 1024
 DEALS = 16
-#: Members of a block of a bucket, of which two meet in a task.
-BLOCK = 2048
+#: Members of a block of a bucket, and members outside its largest component that may meet each block of that.
+BLOCK, MOST_OTHERS = 256, 2048
 
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,8 +128,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(same).unionByName(simhash.links(alike.select("fp", "doc_id")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = table(pairs.distinct().select("a", "b", deal), "stars")
 
-    some = each.join(star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct(), "node").select("key", "node", "doc_id")
-    texts = docs.join(some.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    # written, so that its size is known before the texts are joined with it: while it is small they aren't shuffled
+    ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    some = table(each.join(ends, "node").select("key", "node", "doc_id"), "some")
+    texts = docs.join(some.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
     found = texts.select("text").mapInPandas(_sets, "key string, hashes array<bigint>")
     sets = table(found.join(some.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
@@ -144,11 +146,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = held.where("n > 2").groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s"))
     open_ = table(open_.where("p < q").groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
     if open_.limit(1).count():
-        # a large bucket is cut into blocks, each pair of which meets in a task of its own
-        k = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), k).cast("int")
-        rest = held.join(open_, "bucket").join(sets, "node").select("bucket", "node", "part", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-        rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "hashes")
+        # what a bucket's largest component is joined by are its other members: these meet its blocks, each of its nodes in one;
+        # where they are very many themselves, every pair of blocks of the bucket meets in a task of its own
+        sizes = held.join(open_, "bucket").groupBy("bucket", "part").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("all")).select("bucket", F.col("m.part").alias("main"), F.col("m.k").alias("n_main"), (F.col("all") - F.col("m.k")).alias("others"))
+        block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1)
+        own = block(F.col("n_main"))
+        few = F.when(F.col("part") == F.col("main"), F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(upto(F.col("n_main")), lambda x: F.struct(x.alias("i"), x.alias("j"))))
+        every = F.transform(upto(F.col("n")), lambda x: F.struct(F.least(block(F.col("n")), x).alias("i"), F.greatest(block(F.col("n")), x).alias("j")))
+        rest = held.join(table(main, "mains"), "bucket").withColumn("at", F.explode(F.when(F.col("others") <= MOST_OTHERS, few).otherwise(every)))
+        rest = rest.join(sets, "node").select("bucket", "at.i", "at.j", "node", "part", "hashes")
         edges = edges.unionByName(table(rest.groupBy("bucket", "i", "j").applyInPandas(_joined, "a bigint, b bigint"), "more"))
     return each.select("node", "key", "doc_id"), edges
 

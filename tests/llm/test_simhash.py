@@ -77,9 +77,10 @@ def test_near_copies_down_to_the_least_similarity(spark):
     assert nearcopies.one_of_each(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 2])
-def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "others"), [(256, 2048), (2, 2048), (2, 0)])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, block, others):
     monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "MOST_OTHERS", others)
     monkeypatch.setattr(nearcopies, "LEAST", 0.95)  # far above what the bands bring together, so that buckets stay open
     base = [f"w{i}" for i in range(300)]
     rows = [(k, " ".join([*base[k * 4 :], *(f"v{i}" for i in range(k * 4))])) for k in range(40)]
