@@ -2,9 +2,9 @@
 
 import pytest
 
-from kindred.plans import channels, decisions, features, relations, texts
+from kindred.plans import channels, decisions, features, flagship, relations, texts
 
-ALL = {n: (f, c.oracles.get(n)) for c in (decisions.C, texts.C, features.C, relations.C, channels.C) for n, f in c.queries.items()}
+ALL = {n: (f, c.oracles.get(n)) for c in (decisions.C, texts.C, features.C, relations.C, channels.C) for n, f in c.queries.items()} | {"resolve_entities": (flagship.resolve, flagship.ORACLE)}
 
 
 def key(row):
