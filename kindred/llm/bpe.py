@@ -12,7 +12,7 @@ Arcs are spelled out byte by byte and the automaton is made deterministic: a sta
 be under way after the bytes so far, each as the token it leaves and the node it has reached in the trie of labels. As
 just one path spells any string, at most one arc ends with each byte: that token is the state's output. A table of all states
 would have no end worth having (the plain one, states by tokens, has 2.5 billion cells), so rows are compiled when a byte
-first leads to them and kept; a table that grows beyond TABLE_CELLS starts anew.
+first leads to them and kept; a table that grows beyond a bound starts anew.
 
 Encoding makes one transition a byte over the words that the pre-tokenizer's pattern cuts, and never steps back; the
 tokens of the path are read from the outputs, from the word's end. Decoding emits the byte labels of the arcs. A
@@ -40,11 +40,9 @@ from kindred.llm.common import ship
 #: The pre-tokenizer's pattern of byte-level BPE, and the bytes that stand for themselves in its vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
-#: Words of a generation of a worker's cache, which keeps two.
-CACHE_WORDS = 400_000
-#: Transitions that the table may have, after which it starts anew; known arcs likewise.
-TABLE_CELLS = 400_000
-CACHE_ARCS = 400_000
+#: Words of a generation of a worker's cache, which keeps two; transitions that the table may have, after which it starts anew; and
+#: known arcs likewise. A worker takes some 250 MB with it, half of it with half.
+CACHE = 400_000
 #: Where the number of an arc under way keeps the token it leaves, plus one, above its node in the trie.
 LEFT = 32
 #: Bytes of ids after which a worker hands over what it has.
@@ -76,7 +74,8 @@ class _Row(dict):
 class Automaton:
     """The tokenization automaton of one tokenizer file (the ``tokenizers`` library's JSON, byte-level BPE)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = byte_letters()
@@ -141,7 +140,7 @@ class Automaton:
         key = s * self.n + t
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) >= CACHE_ARCS:
+            if len(self.arcs) >= self.cache:
                 self.arcs.clear()
             if s >= 0:
                 known = self._meet(s, t, 1 << 62)
@@ -180,7 +179,7 @@ class Automaton:
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the only path that spells ``word``: one transition a byte, then the outputs from its end."""
-        if self.cells > TABLE_CELLS:
+        if self.cells > self.cache:
             self._clear()
         rows = list(accumulate(word, getitem, initial=self.start))
         labels, at = [], len(word)
@@ -225,28 +224,28 @@ class _Paths(dict):
             ids = _packed(self.automaton.path(raw))
             if len(raw) > CACHE_BYTES:
                 return ids
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.automaton.cache:
             self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
 
-_automata: dict[str, Automaton] = {}
+_automata: dict[tuple[str, int], Automaton] = {}
 
 
-def automaton(path: str) -> Automaton:
+def automaton(path: str, cache: int = CACHE) -> Automaton:
     """The automaton of a tokenizer file, built once in each process."""
-    if path not in _automata:
-        _automata[path] = Automaton(path)
-    return _automata[path]
+    if (path, cache) not in _automata:
+        _automata[path, cache] = Automaton(path, cache)
+    return _automata[path, cache]
 
 
-def _encoded(path: str, keep: bool):
+def _encoded(path: str, keep: bool, cache: int):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton(path)
+        a = automaton(path, cache)
         for b in batches:
             rows, held = [], 0
             for i, text in zip(b["doc_id"], b["text"], strict=True):
@@ -261,13 +260,14 @@ def _encoded(path: str, keep: bool):
     return run
 
 
-def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row, with the tokenizer file at path ``tokenizer``.
 
     Null and empty texts have no tokens. Rows are independent: repeated rows give repeated results, other columns are not
-    read, and an empty table gives none. The path must be readable on the executors.
+    read, and an empty table gives none. The path must be readable on the executors. ``cache`` is what a worker keeps; less takes
+    less memory and more time.
     """
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(_encoded(tokenizer, keep_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return rows.mapInPandas(_encoded(tokenizer, keep_ids, cache), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -77,9 +77,10 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (node, key, text) -> the sets of those whose key is the text's; an id that is repeated may bring other texts."""
     for b in batches:
-        sets = [shingles(t) for t in b["text"]]
-        yield pd.DataFrame({"key": [_key(h) for h in sets], "hashes": [h.view(np.int64) for h in sets]})
+        sets = [(n, h.view(np.int64)) for n, k, t in zip(b["node"], b["key"], b["text"], strict=True) if _key(h := shingles(t)) == k]
+        yield pd.DataFrame(sets, columns=["node", "hashes"])
 
 
 def similar(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -130,10 +131,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # written, so that its size is known before the texts are joined with it: while it is small they aren't shuffled
     ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    some = table(each.join(ends, "node").select("key", "node", "doc_id"), "some")
-    texts = docs.join(some.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
-    found = texts.select("text").mapInPandas(_sets, "key string, hashes array<bigint>")
-    sets = table(found.join(some.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    some = table(each.join(ends, "node").select(F.col("doc_id").alias("__id"), "node", "key"), "some")
+    texts = docs.join(some, F.col("doc_id") == F.col("__id")).select("node", "key", "text")
+    sets = table(texts.mapInPandas(_sets, "node bigint, hashes array<bigint>"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # repeated rows of one id and text
+        sets = table(sets.dropDuplicates(["node"]), "sets-once")
 
     hub = star.select("a", "deal").distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     pairs = star.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(hub, ["a", "deal"])

@@ -71,8 +71,7 @@ def test_bpe_makes_one_transition_a_byte(tokenizer, monkeypatch):
             row = row[byte]  # one row of the table for each byte, and no other
         assert row.token == a.path(w)[-1]
     assert not compiled
-    monkeypatch.setattr(bpe, "TABLE_CELLS", 5)  # a table that starts anew all the time gives the same
-    b = bpe.Automaton(queries.tokenizer_path())
+    b = bpe.Automaton(queries.tokenizer_path(), cache=5)  # a table that starts anew all the time gives the same
     assert [b.path(w) for w in words] == [a.path(w) for w in words] == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
 
 
