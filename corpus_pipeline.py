@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return tokenize(docs, tokenizer_path(), keep_ids=True)
+    """Token ids of every document; with half the cache, as workers keep what other stages left them, too."""
+    return tokenize(docs, tokenizer_path(), keep_ids=True, cache=200_000)
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("secret scans", secrets), ("mixing", mixing), ("tokens", tokens)]
