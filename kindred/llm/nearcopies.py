@@ -129,16 +129,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(same).unionByName(simhash.links(alike.select("fp", "doc_id")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = table(pairs.distinct().select("a", "b", deal), "stars")
 
-    # written, so that its size is known before the texts are joined with it: while it is small they aren't shuffled
+    # texts and sets are shuffled and merged whatever their number, so that this grows as the input does
     ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
     some = table(each.join(ends, "node").select(F.col("doc_id").alias("__id"), "node", "key"), "some")
-    texts = docs.join(some, F.col("doc_id") == F.col("__id")).select("node", "key", "text")
+    texts = docs.join(some.hint("merge"), F.col("doc_id") == F.col("__id")).select("node", "key", "text")
     sets = table(texts.mapInPandas(_sets, "node bigint, hashes array<bigint>"), "sets")
     if sets.groupBy("node").count().where("count > 1").limit(1).count():  # repeated rows of one id and text
         sets = table(sets.dropDuplicates(["node"]), "sets-once")
 
-    hub = star.select("a", "deal").distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    pairs = star.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(hub, ["a", "deal"])
+    hub = star.select("a", "deal").distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
+    pairs = star.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b").join(hub.hint("merge"), ["a", "deal"])
     both = F.size(F.array_intersect("x", "y"))
     edges = table(pairs.where(both >= LEAST * (F.size("x") + F.size("y") - both) - F.lit(1e-9)).select("a", "b"), "edges")
 
@@ -158,7 +158,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         few = F.when(F.col("part") == F.col("main"), F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(upto(F.col("n_main")), lambda x: F.struct(x.alias("i"), x.alias("j"))))
         every = F.transform(upto(F.col("n")), lambda x: F.struct(F.least(block(F.col("n")), x).alias("i"), F.greatest(block(F.col("n")), x).alias("j")))
         rest = held.join(table(main, "mains"), "bucket").withColumn("at", F.explode(F.when(F.col("others") <= MOST_OTHERS, few).otherwise(every)))
-        rest = rest.join(sets, "node").select("bucket", "at.i", "at.j", "node", "part", "hashes")
+        rest = rest.join(sets.hint("merge"), "node").select("bucket", "at.i", "at.j", "node", "part", "hashes")
         edges = edges.unionByName(table(rest.groupBy("bucket", "i", "j").applyInPandas(_joined, "a bigint, b bigint"), "more"))
     return each.select("node", "key", "doc_id"), edges
 
