@@ -2,8 +2,8 @@
 
 Two texts are near copies if the sets of their runs of SHINGLE words have a Jaccard similarity of LEAST or more. Texts of the
 very same set are one node. Nodes get a SimHash fingerprint of their set and go through the trie self-join of ``simhash``; each of
-its links is a candidate. That join finds nearly all pairs above a similarity of some 0.97, but at 0.8 fingerprints differ in
-ten bits on average, and a budget that wide leaves a trie nothing to prune. So further candidates come from BANDS bands of ROWS
+its links is a candidate. But at a similarity of 0.8 fingerprints differ in eight to ten bits on average, of which that join's
+budget of four finds about one pair in ten, and a budget as wide as that leaves a trie nothing to prune. So further candidates come from BANDS bands of ROWS
 minima of random hashes: nodes that agree on a band share its bucket, and a pair of similarity s is missed with
 probability (1 - s^ROWS)^BANDS, 5e-6 at 0.8 and less above. Nothing is taken for a copy without having been verified on the
 sets themselves.
