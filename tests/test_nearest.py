@@ -69,3 +69,14 @@ def test_empty(spark):
     w = _weights(spark, 10, 5, 1)
     assert blocking.best_forward(w.where("side = 0"), 3, 10).count() == 0
     assert blocking.best_forward(w.where("false"), 3, 10).count() == 0
+
+
+@pytest.mark.parametrize("name", ["candidate_list_writer", "two_hop"])
+def test_queries_make_no_table_of_all_pairs(spark, data, monkeypatch, name):
+    import __spark_entry__
+
+    def fail(*a, **b):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(blocking, "cosines", fail)
+    assert __spark_entry__.queries()[name](spark, data).columns
