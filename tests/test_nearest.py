@@ -71,7 +71,7 @@ def test_empty(spark):
     assert blocking.best_forward(w.where("false"), 3, 10).count() == 0
 
 
-@pytest.mark.parametrize("name", ["candidate_list_writer", "two_hop", "exact_cosines"])
+@pytest.mark.parametrize("name", ["candidate_list_writer", "two_hop", "exact_cosines", "union_provenance"])
 def test_queries_make_no_table_of_all_pairs(spark, data, monkeypatch, name):
     import __spark_entry__
 
