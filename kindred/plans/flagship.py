@@ -10,7 +10,6 @@ from kindred.operators import blocking, decision
 from kindred.plans.decisions import CLAIMS, VALS
 from kindred.plans.texts import ADDR_SQL, NAME_SQL, REC, WEIGHTED, sizes
 from kindred.sources.files import id_lists
-from kindred.sources.shared import table
 from kindred.sources.tables import records
 
 
@@ -23,9 +22,7 @@ def resolve(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """
     r = records(spark, d)
     toks = F.concat(N.tokens(N.fold_latin(F.col("name"))), F.transform(N.tokens(N.clean_address(F.col("addr"))), lambda w: F.concat(F.lit("@"), w)))
-    t = table(blocking.token_table(r, toks), "tokens")
-    w = table(blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes(spark, d)))), "weights")
-    pairs = blocking.top_forward(blocking.cosines(w).unionByName(blocking.copies(t, w, k)), k)
+    pairs = blocking.best_and_copies(r, toks, sizes(spark, d), k)
     scored = pairs.select("s1", "cand", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("score"))).alias("p"))
     chosen = decision.run_policy(scored, "hard")
     anchors = r.where("src = 'S1'").select(F.col("doc_id").alias("s1"))

@@ -71,7 +71,7 @@ def test_empty(spark):
     assert blocking.best_forward(w.where("false"), 3, 10).count() == 0
 
 
-@pytest.mark.parametrize("name", ["candidate_list_writer", "two_hop", "exact_cosines", "union_provenance"])
+@pytest.mark.parametrize("name", ["candidate_list_writer", "two_hop", "exact_cosines", "union_provenance", "resolve_entities"])
 def test_queries_make_no_table_of_all_pairs(spark, data, monkeypatch, name):
     import __spark_entry__
 
@@ -80,3 +80,16 @@ def test_queries_make_no_table_of_all_pairs(spark, data, monkeypatch, name):
 
     monkeypatch.setattr(blocking, "cosines", fail)
     assert __spark_entry__.queries()[name](spark, data).columns
+
+
+def test_blocks_of_records_are_those_of_rows(spark, monkeypatch):
+    """Records straight to blocks, or by a row for each token where an id is repeated: the same best, and the same copies."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "S1" if i % 3 == 0 else "S2", "en" if i % 4 else "de", ["all", f"a{i % 7}", f"a{i % 7}", f"b{i % 11}"] if i % 5 else ["all"]) for i in range(2000, 2240)] + [(1, "S1", None, ["a1"]), (2, "S2", "en", []), (3, "S1", "en", None)]
+    r = spark.createDataFrame(rows, "doc_id bigint, src string, cty string, t array<string>")
+    sizes = r.groupBy(F.col("cty").alias("part")).agg(F.count("*").alias("n"))
+    row = lambda df: sorted(tuple(x) for x in df.select("part", "s1", "cand", "score", "rank").collect())
+    got = row(blocking.best_and_copies(r, F.col("t"), sizes, 4))
+    monkeypatch.setattr(blocking, "packed", lambda *a: None)
+    assert got == row(blocking.best_and_copies(r, F.col("t"), sizes, 4)) and any(x[3] == 1.0 for x in got)
