@@ -1,7 +1,7 @@
 """The channels of blocking: token tables, searches forward and back, one union with provenance, and the meta-blocker over it.
 
-Every channel is a table of weights by token, so all searches are the same equi-join; a channel's scores are written once and
-ranked from both sides.
+Every channel searches a table of weights by token. Blocks of records hold all tables, so one product of blocks with blocks serves all
+searches, forward and back, and one more the cosines of what they found (``packs``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import normalize as N
-from kindred.operators import blocking, calibration, models
+from kindred.operators import blocking, calibration, models, packs
 from kindred.operators.ranking import grouped_rank
 from kindred.sources.shared import table
 
@@ -42,6 +42,8 @@ CHANNELS = {
 }
 #: Cosines of a pair by the token tables: characters, words and skeletons of names, characters and words of addresses, both together.
 COSINES = {"n_cos_c": "name_chars", "n_cos_w": "name", "n_cos_s": "skel", "a_cos_c": "addr_chars", "a_cos_w": "addr", "j_cos_c": "joint"}
+#: Places of the token tables, in the order of ``token_columns``.
+TABLES = {k: i for i, k in enumerate(("keys", "name", "skel", "addr", "joint", "house", "name_chars", "addr_chars"))}
 
 
 def token_columns(name: Column, addr: Column) -> dict[str, Column]:
@@ -58,19 +60,26 @@ def token_columns(name: Column, addr: Column) -> dict[str, Column]:
     }
 
 
-def weight_tables(records: DataFrame, name: str = "nt", addr: str = "at") -> dict[str, DataFrame]:
-    """Weights of every token table, written; ``records`` has cty, src, doc_id and canonical tokens of name and address."""
+def weight_tables(records: DataFrame, name: str = "nt", addr: str = "at") -> DataFrame | dict[str, DataFrame]:
+    """The weights of every token table in blocks, written; ``records`` has cty, src, doc_id and canonical tokens of name and address.
+    Where an id is repeated or null its tokens must be put together first: then a table by row of each."""
     sizes = records.groupBy(F.col("cty").alias("part")).agg(F.count("*").alias("n"))
+    toks = token_columns(F.col(name), F.col(addr))
+    if not records.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return packs.blocks(records, [toks[k] for k in TABLES], F.size(addr) == 0, sizes, blocking.pruned)
     out = {}
-    for key, toks in token_columns(F.col(name), F.col(addr)).items():
-        t = table(blocking.token_table(records, toks), f"tokens-{key}")
+    for key in TABLES:
+        t = table(blocking.token_table(records, toks[key]), f"tokens-{key}")
         out[key] = table(blocking.weighted(t, blocking.pruned(blocking.frequencies(t, sizes))), f"weights-{key}")
     return out
 
 
-def hits(weights: dict[str, DataFrame], bare: DataFrame, channels: dict[str, Channel] | None = None) -> DataFrame:
-    """(s1, cand, channel, score, rank) of every channel; ``bare`` (cand) are the pool's records without an address."""
+def hits(weights: DataFrame | dict[str, DataFrame], bare: DataFrame, channels: dict[str, Channel] | None = None) -> DataFrame:
+    """(s1, cand, channel, score, rank) of every channel; ``bare`` (cand) are the pool's records without an address, which blocks flag."""
     channels = CHANNELS if channels is None else channels
+    if isinstance(weights, DataFrame):
+        found = packs.search(weights, {i: packs.Search(TABLES[c.tokens], c.depth, c.back, c.bare) for i, c in enumerate(channels.values())})
+        return found.select("s1", "cand", F.get(F.array(*[F.lit(c) for c in channels]), F.col("channel")).alias("channel"), "score", "rank")
     scores = {k: table(blocking.cosines(weights[k]), f"scores-{k}") for k in dict.fromkeys(c.tokens for c in channels.values())}
     out = None
     for name, c in channels.items():
@@ -87,8 +96,11 @@ def union(found: DataFrame, channels: dict[str, Channel] | None = None) -> DataF
     return blocking.union(found, {k: c.depth for k, c in (CHANNELS if channels is None else channels).items()})
 
 
-def with_cosines(pairs: DataFrame, weights: dict[str, DataFrame]) -> DataFrame:
-    """``pairs`` and the COSINES."""
+def with_cosines(pairs: DataFrame, weights: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    """``pairs``, each once, and the COSINES."""
+    if isinstance(weights, DataFrame):
+        found = packs.cosines(weights, pairs, {name: TABLES[key] for name, key in COSINES.items()})
+        return found if pairs.columns == ["s1", "cand"] else pairs.join(found, ["s1", "cand"])
     for name, key in COSINES.items():
         pairs = pairs.join(blocking.exact_cosines(pairs, weights[key]).withColumnRenamed("cos", name), ["s1", "cand"])
     return pairs

@@ -60,7 +60,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(r, "web")
 
 
-def _union(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+def _union(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | dict[str, DataFrame], DataFrame]:
     r = _records(spark, d)
     w = channels.weight_tables(r)
     found = channels.hits(w, r.where(F.size("at") == 0).select(F.col("doc_id").alias("cand")))
