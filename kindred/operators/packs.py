@@ -21,8 +21,10 @@ from kindred.functions.ship import ship
 from kindred.operators import nearest
 from kindred.sources.shared import table
 
-#: Tokens and records of a block at most (but for the last record's tokens and a batch's records), and tokens that a record is taken to have.
+#: Tokens and records of a block, which is full when it has as many or more, and tokens that a record is taken to have.
 TOKENS, RECORDS, USUAL = 500_000, 10_000, 128
+#: Tokens that a batch adds to a block at once, but for a single record with more.
+ADDED = 1_500_000
 
 _LISTS = ("at", "toks", "which", "w")
 _TYPES = {"part": np.int32, "ids": np.int64, "flags": np.int8, "at": np.int64, "toks": np.int64, "which": np.int32, "w": np.float64, "tf": np.int32}
@@ -55,6 +57,16 @@ class _Block:
         self.tables = list(zip(many("at", np.int64), many("toks", np.int64), many("which", np.int32), many("w", _TYPES[weights]), strict=True))
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's records, in pieces of ADDED tokens at most or of one record."""
+    toks = b.column("toks")
+    upto, i = toks.values.offsets.to_numpy()[toks.offsets.to_numpy()], 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + ADDED, "right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records (part, side, id, flag, toks: hashes by table) in blocks: each table's distinct tokens, and places of tokens and counts by record."""
     held, size, rows = {0: [], 1: []}, {0: 0, 1: 0}, {0: 0, 1: 0}
@@ -83,13 +95,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sides = b.column(b.schema.get_field_index("side")).to_numpy()
         for s in (0, 1):
-            x = b.filter(pa.array(sides == s))
-            if x.num_rows:
+            for x in _pieces(b.filter(pa.array(sides == s))):
                 held[s].append(x)
                 rows[s] += x.num_rows
                 size[s] += len(x.column(x.schema.get_field_index("toks")).flatten().flatten())
-            if size[s] >= TOKENS or rows[s] >= RECORDS:
-                yield out(s)
+                if size[s] >= TOKENS or rows[s] >= RECORDS:
+                    yield out(s)
     for s in (0, 1):
         if held[s]:
             yield out(s)

@@ -1,10 +1,11 @@
 """Blocks of all token tables give what tables by row give, whichever way records are dealt, and no table of all pairs is written."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, channels
+from kindred.operators import blocking, channels, packs
 
 
 def _records(spark, n, seed):
@@ -60,3 +61,20 @@ def test_queries_make_no_table_of_all_pairs(spark, data, monkeypatch, name):
     monkeypatch.setattr(blocking, "cosines", fail)
     monkeypatch.setattr(blocking, "exact_cosines", fail)
     assert __spark_entry__.queries()[name](spark, data).columns
+
+
+def test_long_records_of_one_batch_are_several_blocks(monkeypatch):
+    monkeypatch.setattr(packs, "TOKENS", 100)
+    monkeypatch.setattr(packs, "ADDED", 150, raising=False)
+    n = [70, 0, 70, 400, 5, 80, 80, 1, 0]
+    toks = pa.array([[[100 * i + j for j in range(x)], [7] * (x % 3)] for i, x in enumerate(n)], pa.list_(pa.list_(pa.int64())))
+    b = pa.RecordBatch.from_arrays([pa.array(["en"] * 9), pa.array([1, 1, 1, 1, 1, 1, 0, 1, 1], pa.int32()), pa.array(range(9)), pa.array([0] * 9, pa.int8()), toks], ["part", "side", "id", "flag", "toks"])
+    got = [(x.column("side")[0].as_py(), packs._Block(x, 0, "tf")) for x in packs._counted(iter([b.slice(0, 0), b]))]
+    assert sorted(i for _, x in got for i in x.ids) == list(range(9)) and {int(i) for s, x in got if s == 0 for i in x.ids} == {6}
+    for _, x in got:
+        size = sum(int(t[3].sum()) for t in x.tables)
+        assert len(x.ids) == 1 or size <= 250
+        for i, rec in enumerate(x.ids):
+            for t, want in zip(x.tables, toks[int(rec)].as_py(), strict=True):
+                at, kinds, which, tf = t
+                assert sorted(np.repeat(kinds[which[at[i] : at[i + 1]]], tf[at[i] : at[i + 1]])) == sorted(want)
